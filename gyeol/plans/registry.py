@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("general",)
+MODULES = ("general", "text", "search")
 
 
 def queries() -> dict[str, Query]:
