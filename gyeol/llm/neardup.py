@@ -5,7 +5,7 @@ of E permutations both the smallest and the largest image are kept, so E hash ev
 signature values, whose agreement estimates the Jaccard similarity without bias. Bands of R values
 that agree make candidates; a two-bit sketch of the signature drops most false ones (five standard
 deviations below the threshold); the rest are verified on the texts themselves, so the result is
-exact up to candidates missed by all bands: (1 - 0.7^5)^40, below 0.07 % at the threshold.
+exact up to candidates missed by all bands: (1 - 0.7^6)^50, 0.2 % right at the threshold.
 
 Scale. Band rows are 16 bytes, deduplicated within a task, shuffled once by band value and sorted;
 pairs come from runs in a stream, so no bucket is held in memory. A bucket with more than MAX_RUN
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from gyeol.session import materialize
 
 SHINGLE = 5
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 50, 6
 EVALS = BANDS * ROWS // 2
-SKETCH_VALUES = 192  # two bits each: six longs
+SKETCH_VALUES = 128  # two bits each
+SKETCH_LONGS = SKETCH_VALUES // 32
 MAX_RUN = 400
 SEED = 20260105
 #: Nodes up to this number are sent to all executors to pick the texts that candidates need (8 bytes each); beyond it they are joined by shuffle.
@@ -67,9 +68,9 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return x[keep[:n]], starts
 
 
-def signatures(texts: list[str]) -> np.ndarray:
-    """len(texts) x 2E values: the minimum and maximum under each permutation, side by side."""
-    out = np.empty((len(texts), 2 * EVALS), np.uint32)
+def signatures(texts: list[str], evals: int = EVALS) -> np.ndarray:
+    """len(texts) x 2 evals: the minimum and maximum under each permutation, side by side."""
+    out = np.empty((len(texts), 2 * evals), np.uint32)
     lo = 0
     while lo < len(texts):
         hi, size = lo, 0
@@ -78,7 +79,7 @@ def signatures(texts: list[str]) -> np.ndarray:
             hi += 1
         x, starts = shingle_hashes(texts[lo:hi])
         y = np.empty_like(x)
-        for k in range(EVALS):
+        for k in range(evals):
             np.multiply(x, _MUL[k], out=y)
             y += _ADD[k]
             out[lo:hi, 2 * k] = np.minimum.reduceat(y, starts)
@@ -98,7 +99,7 @@ def band_values(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
-    """len x 6 longs with two bits of each of the first SKETCH_VALUES values."""
+    """len x SKETCH_LONGS longs with two bits of each of the first SKETCH_VALUES values."""
     v = (sig[:, :SKETCH_VALUES] * np.uint32(0x85EBCA6B) >> np.uint32(30)).astype(np.uint64).reshape(len(sig), -1, 32)
     shift = np.arange(0, 64, 2, dtype=np.uint64)
     return np.bitwise_or.reduce(v << shift, axis=2).view(np.int64)
@@ -117,11 +118,11 @@ def node_of(squeezed: str) -> tuple[int, int]:
     return a - (a >> 63 << 64), b - (b >> 63 << 64)
 
 
-def _eligible(batch: pa.RecordBatch, min_chars: int, extra: list[str]):
+def _eligible(batch: pa.RecordBatch, min_chars: int):
     """Rows with an id and a text long enough: (row, squeezed text)."""
     ids, texts = batch.column("id"), batch.column("text")
     for i, (k, t) in enumerate(zip(ids.to_pylist(), texts.to_pylist())):
-        if k is not None and t is not None and len(t) >= min_chars:
+        if k is not None and t is not None and 3 * len(t) >= min_chars:  # lower case can be longer
             s = squeeze(t)
             if len(s) >= min_chars:
                 yield i, k, s
@@ -132,7 +133,7 @@ def _band_rows(min_chars: int):
         seen: set[int] = set()
         for batch in batches:
             texts, nodes = [], []
-            for _, _, s in _eligible(batch, min_chars, []):
+            for _, _, s in _eligible(batch, min_chars):
                 node = node_of(s)[0]
                 if node not in seen:
                     if len(seen) < 2_000_000:  # rows left twice only cost time; a later distinct removes them
@@ -150,21 +151,21 @@ def _band_rows(min_chars: int):
 def _member_rows(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_eligible(batch, min_chars, []))
+            found = list(_eligible(batch, min_chars))
             for lo in range(0, len(found), 4096):
                 part = found[lo : lo + 4096]
                 nodes = [node_of(s) for _, _, s in part]
-                sk = sketches(signatures([s for _, _, s in part]))
+                sk = sketches(signatures([s for _, _, s in part], SKETCH_VALUES // 2))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for _, k, _ in part], pa.string()), pa.array([a for a, _ in nodes], pa.int64()), pa.array([b for _, b in nodes], pa.int64()), *[pa.array(np.ascontiguousarray(sk[:, j])) for j in range(6)]],
-                    ["id", "node", "node2", *[f"s{j}" for j in range(6)]],
+                    [pa.array([k for _, k, _ in part], pa.string()), pa.array([a for a, _ in nodes], pa.int64()), pa.array([b for _, b in nodes], pa.int64()), *[pa.array(np.ascontiguousarray(sk[:, j])) for j in range(SKETCH_LONGS)]],
+                    ["id", "node", "node2", *[f"s{j}" for j in range(SKETCH_LONGS)]],
                 )
 
     return run
 
 
 def _runs_to_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by band value and node: pairs (kind 0: a, b) of the members of each run, and
+    """From rows sorted by band value: pairs (kind 0: a, b) of the members of each run, and
     the members of runs over MAX_RUN (kind 1: band, node). At most a batch and a run are held."""
     empty = np.empty(0, np.int64)
     keep_b, keep_n, long_band = empty, empty, None
@@ -208,6 +209,8 @@ def _runs_to_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     continue
             long_band = None
         b, n = np.concatenate([keep_b, b]), np.concatenate([keep_n, n])
+        order = np.lexsort((n, b))
+        b, n = b[order], n[order]
         last = int(np.searchsorted(b, b[-1], "left"))
         yield from work(b[:last], n[:last])
         keep_b, keep_n = b[last:], n[last:]
@@ -221,7 +224,7 @@ def _agree(left: str, right: str):
     """Number of sketch values that agree."""
     mask = F.lit(0x5555555555555555)
     differ = None
-    for j in range(6):
+    for j in range(SKETCH_LONGS):
         x = F.col(f"{left}.s{j}").bitwiseXOR(F.col(f"{right}.s{j}"))
         n = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(mask))
         differ = n if differ is None else differ + n
@@ -250,7 +253,7 @@ def _verified(threshold: float):
 def _squeezed_texts(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s for _, _, s in _eligible(batch, min_chars, [])]
+            found = [s for _, _, s in _eligible(batch, min_chars)]
             for lo in range(0, len(found), 4096):
                 part = found[lo : lo + 4096]
                 nodes = [node_of(s) for s in part]
@@ -284,14 +287,14 @@ class NearDuplicates:
         spark = df.sparkSession
         min_chars = max(min_chars, SHINGLE)
         src = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-        cols = ", ".join(f"s{j} bigint" for j in range(6))
+        cols = ", ".join(f"s{j} bigint" for j in range(SKETCH_LONGS))
         rows = materialize(src.mapInArrow(_member_rows(min_chars), f"id string, node bigint, node2 bigint, {cols}"), "members")
         self.members = rows.select("id", "node", "node2").distinct()
         bands = src.select("id", "text").mapInArrow(_band_rows(min_chars), "band bigint, node bigint")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        runs = bands.repartition(parts, "band").sortWithinPartitions("band", "node").mapInArrow(_runs_to_pairs, "kind tinyint, a bigint, b bigint")
+        runs = bands.repartition(parts, "band").sortWithinPartitions("band").mapInArrow(_runs_to_pairs, "kind tinyint, a bigint, b bigint")
         runs = materialize(runs.distinct(), "runs")
-        sk = rows.dropDuplicates(["node"]).select("node", *[f"s{j}" for j in range(6)])
+        sk = rows.dropDuplicates(["node"]).select("node", *[f"s{j}" for j in range(SKETCH_LONGS)])
         floor = sketch_floor(threshold)
         light = runs.where("kind = 0").select("a", "b")
         light = light.join(sk.alias("x"), F.col("a") == F.col("x.node")).join(sk.alias("y"), F.col("b") == F.col("y.node")).where(_agree("x", "y") >= floor).select("a", "b")
