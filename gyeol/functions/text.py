@@ -22,6 +22,11 @@ BLANK_PATTERN = r"\(\s*\)|\(\s*%\s*\)|（\s*）|_{3,}|\.{5,}|☐|□"
 SUBTITLE_MAX = 24
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: lambdas are not searched for common parts."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Without any white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -166,15 +171,15 @@ def word_tokens(c: Column) -> Column:
 
 def gram_set(c: Column, n: int = 3) -> Column:
     """Distinct n-character sequences of letters and digits; a shorter text is its own."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), "[^가-힣A-Za-z0-9]", "")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substr(t, i, F.lit(n))))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(grams)
+    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substr(t, i, F.lit(n))))
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), "[^가-힣A-Za-z0-9]", "")
+    return let(plain, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(grams(t)))
 
 
 def overlap(a: Column, b: Column) -> Column:
     """Common members over the smaller set; 0 if one is empty."""
-    small = F.least(F.size(a), F.size(b))
-    return F.when(small > 0, F.size(F.array_intersect(a, b)) / small).otherwise(F.lit(0.0))
+    small = lambda x: F.least(F.size(x["a"]), F.size(x["b"]))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: F.when(small(x) > 0, F.size(F.array_intersect(x["a"], x["b"])) / small(x)).otherwise(F.lit(0.0)))
 
 
 def terms(c: Column) -> Column:
@@ -186,14 +191,14 @@ def terms(c: Column) -> Column:
 
 def lexical_overlap(words: Column, text: Column) -> Column:
     """Share of the words that occur in the text as substrings."""
-    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(text, w))) / F.size(words)).otherwise(F.lit(0.0))
+    return let(words, lambda ws: F.when(F.size(ws) > 0, F.size(F.filter(ws, lambda w: F.contains(text, w))) / F.size(ws)).otherwise(F.lit(0.0)))
 
 
 def stem_overlap(question: Column, text: Column) -> Column:
     """Share of the words of three letters or more whose first three occur in the text; 0 for under three such words."""
     words = F.regexp_extract_all(question, F.lit("([가-힣]{3,})"), F.lit(1))
     words = F.filter(words, lambda w: ~w.isin(*COMMON_TERMS) & ~F.substring(w, 1, 2).isin(*COMMON_TERMS))
-    return F.when(F.size(words) >= 3, F.size(F.filter(words, lambda w: F.contains(text, F.substring(w, 1, 3)))) / F.size(words)).otherwise(F.lit(0.0))
+    return let(words, lambda ws: F.when(F.size(ws) >= 3, F.size(F.filter(ws, lambda w: F.contains(text, F.substring(w, 1, 3)))) / F.size(ws)).otherwise(F.lit(0.0)))
 
 
 def first_shared_term(source: Column, target: Column, pattern: str, strip_particles: bool, least: int) -> Column:
