@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gyeol.session import materialize
+
 RANGE = 8192
 HALO = 1024
 MAX_CHARS = 900
@@ -39,13 +41,11 @@ MARKS = {
     "numbered": re.compile(r"[0-9]{1,2}[.)][^\S\n]"),
     "qa_pair": re.compile(r"[QA]\."),
 }
-#: Structures whose text before the first mark is unit 0; in the others the first text is unit 1.
-PREFACED = ("article", "clause", "numbered")
 _LINE = re.compile(r"[^\S\n]*(?=\S)")
 _SENTENCE = re.compile(r"[.!?。…]+[\"'”’)\]』」】]*(?=\s)")
 
 REPORT = (
-    "uid bigint, range_no int, n_chars bigint, n_breaks bigint, first_mark boolean, first_breaks bigint, last_breaks bigint, "
+    "uid bigint, id {id}, range_no int, n_chars bigint, n_breaks bigint, first_mark boolean, first_breaks bigint, last_breaks bigint, "
     "seg_first array<bigint>, seg_last array<bigint>, structure string"
 )
 
@@ -80,25 +80,33 @@ def report(text: str, halo: str, structure: str) -> tuple:
     return breaks, first_mark, text.count("\n", 0, lead), text.count("\n", 0, last[-1] + 1), starts, last
 
 
+_NAMES = [f.split()[0] for f in REPORT.split(", ")]
+
+
+def _types(key: pa.DataType) -> list[pa.DataType]:
+    return [pa.int64(), key, pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
+
+
 def _reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in REPORT.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
     for batch in batches:
         rows = []
-        for uid, text, structure in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), batch.column("structure").to_pylist()):
+        for uid, key, text, structure in zip(*(batch.column(c).to_pylist() for c in ("uid", "id", "text", "structure"))):
             for k, lo in enumerate(range(0, max(len(text), 1), RANGE)):
                 part = text[lo : lo + RANGE]
                 b, fm, fb, lb, s, e = report(part, text[lo + RANGE : lo + RANGE + HALO], structure)
-                rows.append((uid, k, len(part), b, fm, fb, lb, s, e, structure))
-        cols = list(zip(*rows)) if rows else [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+                rows.append((uid, key, k, len(part), b, fm, fb, lb, s, e, structure))
+        cols = list(zip(*rows)) if rows else [()] * len(_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _types(batch.column("id").type))], _NAMES)
 
 
-def stitch(reports: DataFrame) -> DataFrame:
-    """uid, unit_no, start, stop (offsets of the unit's first and behind its last text), n_chars.
+def reports(src: DataFrame) -> DataFrame:
+    """The reports of all ranges of a prepared table."""
+    return src.select("uid", "id", "text", "structure").mapInArrow(_reports, REPORT.format(id=src.schema["id"].dataType.simpleString()))
 
-    The window runs over the reports of one document, a row per range; all sums are prefix sums.
-    """
+
+def placed(reports: DataFrame) -> DataFrame:
+    """Reports with what lies before their range: characters, breaks, units, and the break count at the
+    last text. The window runs over the reports of one document, a row per range."""
     before = Window.partitionBy("uid").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     r = reports.withColumn("off", F.coalesce(F.sum("n_chars").over(before), F.lit(0)))
     r = r.withColumn("breaks_before", F.coalesce(F.sum("n_breaks").over(before), F.lit(0)))
@@ -108,13 +116,17 @@ def stitch(reports: DataFrame) -> DataFrame:
     opens = F.col("first_mark") & (F.col("last_at").isNull() | (gap >= need))
     r = r.withColumn("opens", F.coalesce(opens, F.lit(False)))
     r = r.withColumn("n_opens", F.greatest(F.size("seg_first") - 1, F.lit(0)) + F.col("opens").cast("int"))
-    r = r.withColumn("units_before", F.coalesce(F.sum("n_opens").over(before), F.lit(0)))
-    segs = r.select("uid", "off", "units_before", "opens", "structure", F.posexplode(F.arrays_zip("seg_first", "seg_last")).alias("i", "z"))
+    return r.withColumn("units_before", F.coalesce(F.sum("n_opens").over(before), F.lit(0)))
+
+
+def stitch(placed_reports: DataFrame) -> DataFrame:
+    """uid, id, unit_no, start, stop (offsets of the unit's first and behind its last text), n_chars."""
+    segs = placed_reports.select("uid", "id", "off", "units_before", "opens", F.posexplode(F.arrays_zip("seg_first", "seg_last")).alias("i", "z"))
     no = F.col("units_before") + F.col("i") + F.col("opens").cast("int")
     return (
-        segs.select("uid", no.cast("int").alias("unit_no"), (F.col("off") + F.col("z.seg_first")).alias("a"), (F.col("off") + F.col("z.seg_last")).alias("b"))
+        segs.select("uid", "id", no.cast("int").alias("unit_no"), (F.col("off") + F.col("z.seg_first")).alias("a"), (F.col("off") + F.col("z.seg_last")).alias("b"))
         .groupBy("uid", "unit_no")
-        .agg(F.min("a").alias("start"), (F.max("b") + 1).alias("stop"))
+        .agg(F.first("id").alias("id"), F.min("a").alias("start"), (F.max("b") + 1).alias("stop"))
         .withColumn("n_chars", F.col("stop") - F.col("start"))
     )
 
@@ -135,15 +147,13 @@ def units(df: DataFrame, id_col: str, text_col: str = "text", structure_col: str
     repeat or are null. Lengths are code points without surrounding whitespace.
     """
     src = prepared(df, text_col, structure_col, [F.col(id_col).alias("id")])
-    found = stitch(src.select("uid", "text", "structure").mapInArrow(_reports, REPORT))
-    return found.join(src.select("uid", "id"), "uid").drop("uid")
+    return stitch(placed(reports(src))).select("id", "unit_no", "start", "stop", "n_chars")
 
 
 def units_found(df: DataFrame, id_col: str, limit: int = MAX_CHARS) -> DataFrame:
     """The units over the limit. Only ids and offsets are shuffled, never texts."""
     src = prepared(df, "text", "structure", [F.col(id_col).alias("id")])
-    found = stitch(src.select("uid", "text", "structure").mapInArrow(_reports, REPORT))
-    return found.where(F.col("n_chars") > limit).join(src.select("uid", "id"), "uid").select("id", "unit_no", "start", "n_chars")
+    return stitch(placed(reports(src))).where(F.col("n_chars") > limit).select("id", "unit_no", "start", "n_chars")
 
 
 def cut_points(text: str, lo: int, hi: int, goal: int) -> int:
@@ -186,7 +196,7 @@ def _chunks(limit: int, overlap: int, reach: int):
                 for u in sorted(us, key=lambda x: x["unit_no"]):
                     body = t[u["start"] : u["stop"]]
                     head = MARKS[kind].match(body) if kind in MARKS else None
-                    section = head.group(0) if head and kind == "article" else head.group(0).strip() if head else ""
+                    section = head.group(0).strip() if head else ""
                     for i, (a, b) in enumerate(pieces_of(body, limit, overlap, reach)):
                         out.append((k, u["unit_no"], i, u["start"] + a, section, body[a:b]))
             cols = list(zip(*out)) if out else [()] * 6
@@ -200,25 +210,13 @@ def split_documents(df: DataFrame, id_col: str, limit: int = MAX_CHARS, overlap:
     text: all of every document in pieces of at most `limit` characters; consecutive pieces of one
     unit overlap by `overlap`. Nothing is dropped: the pieces cover every unit from end to end."""
     src = prepared(df, "text", "structure", [F.col(id_col).cast("string").alias("id")])
-    found = stitch(src.select("uid", "text", "structure").mapInArrow(_reports, REPORT))
+    found = stitch(placed(reports(src)))
     per = found.groupBy("uid").agg(F.collect_list(F.struct("unit_no", "start", "stop")).alias("units"))  # offsets of one document
     joined = src.join(per, "uid").select("id", "text", "units", "structure")
     return joined.mapInArrow(_chunks(limit, overlap, reach), "doc_id string, unit_no int, piece_no int, start bigint, section string, text string")
 
 
-def _file_reports(size: int, halo: int):
-    """Ranges of UTF-8 files: a range owns the characters whose first byte lies in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in REPORT.split(", ")]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
-        for batch in batches:
-            for uid, path, k, structure in zip(*(batch.column(c).to_pylist() for c in ("uid", "path", "range_no", "structure"))):
-                own, after = read_range(path, k * size, size, halo)
-                b, fm, fb, lb, s, e = report(own, after, structure)
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((uid, k, len(own), b, fm, fb, lb, s, e, structure), types)], names)
-
-    return run
+# Files
 
 
 def read_range(path: str, start: int, size: int, halo: int) -> tuple[str, str]:
@@ -235,11 +233,82 @@ def read_range(path: str, start: int, size: int, halo: int) -> tuple[str, str]:
     return raw[lo:hi].decode("utf-8", "replace"), raw[hi : hi + halo].decode("utf-8", "ignore")
 
 
-def file_units(spark: SparkSession, files: Sequence[tuple[str, str, int]], range_bytes: int = 4 << 20, halo_bytes: int = 4096) -> DataFrame:
-    """path, unit_no, start, stop, n_chars of files in the shared file system, given as (path,
-    structure, bytes): ranges of `range_bytes` are read by different workers, none reads a file
-    whole."""
+def _file_reports(size: int, halo: int):
+    """Ranges of UTF-8 files: a range owns the characters whose first byte lies in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, path, k, structure in zip(*(batch.column(c).to_pylist() for c in ("uid", "path", "range_no", "structure"))):
+                own, after = read_range(path, k * size, size, halo)
+                b, fm, fb, lb, s, e = report(own, after, structure)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((uid, path, k, len(own), b, fm, fb, lb, s, e, structure), _types(pa.string()))], _NAMES)
+
+    return run
+
+
+def piece_at(text: str, base: int, start: int, stop: int, k: int, limit: int, overlap: int, reach: int) -> tuple[int, int] | None:
+    """Piece k of a unit by itself, from a text that begins at offset `base` and covers its cells."""
+    n, stride = stop - start, limit - overlap - reach
+
+    def cut(j: int) -> int:
+        goal = stride * j + reach
+        return 0 if j == 0 else cut_points(text, start - base + goal - reach, stop - base, start - base + goal) - (start - base)
+
+    def more(j: int) -> bool:  # does a cut follow cut j?
+        return n - (cut(j) - (overlap if j else 0)) > limit
+
+    if k and not more(k - 1):
+        return None
+    first = cut(k)
+    last = cut(k + 1) if more(k) else n
+    return start + max(0, first - (overlap if k else 0)), start + last
+
+
+def _file_pieces(size: int, halo: int, limit: int, overlap: int, reach: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, k, off, cells in zip(*(batch.column(c).to_pylist() for c in ("id", "range_no", "off", "cells"))):
+                own, after = read_range(path, k * size, size, halo)
+                text = own + after
+                for c in cells:
+                    span = piece_at(text, off, c["start"], c["stop"], c["k"], limit, overlap, reach)
+                    if span:
+                        out.append((path, c["unit_no"], c["k"], span[0], text[span[0] - off : span[1] - off]))
+            cols = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string()))], ["path", "unit_no", "piece_no", "start", "text"])
+
+    return run
+
+
+def _file_ranges(spark: SparkSession, files: Sequence[tuple[str, str, int]], range_bytes: int, halo_bytes: int) -> DataFrame:
     rows = spark.createDataFrame([(i, p, s if s in MARKS else "flat", n) for i, (p, s, n) in enumerate(files)], "uid bigint, path string, structure string, n bigint")
     ranges = rows.withColumn("range_no", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.col("n") - 1) / range_bytes), F.lit(0)).cast("int"))))
     ranges = ranges.repartition(F.col("uid"), F.col("range_no"))
-    return stitch(ranges.mapInArrow(_file_reports(range_bytes, halo_bytes), REPORT)).join(rows.select("uid", "path"), "uid").drop("uid")
+    return placed(ranges.mapInArrow(_file_reports(range_bytes, halo_bytes), REPORT.format(id="string")))
+
+
+def file_units(spark: SparkSession, files: Sequence[tuple[str, str, int]], range_bytes: int = 4 << 20, halo_bytes: int = 4096) -> DataFrame:
+    """path, unit_no, start, stop, n_chars of files in the shared file system, given as (path,
+    structure, bytes): ranges of `range_bytes` are read by different workers, none reads a file whole."""
+    return stitch(_file_ranges(spark, files, range_bytes, halo_bytes)).select(F.col("id").alias("path"), "unit_no", "start", "stop", "n_chars")
+
+
+def file_pieces(spark: SparkSession, files: Sequence[tuple[str, str, int]], range_bytes: int = 4 << 20, limit: int = MAX_CHARS, overlap: int = OVERLAP, reach: int = REACH) -> DataFrame:
+    """path, unit_no, piece_no, start, text: the pieces of files, as split_documents gives them for rows.
+
+    Boundaries are stitched first; then each grid cell of each unit goes to the range in which the text
+    it needs begins, found by an equi join on coarse offsets, and every range is read once more to
+    emit its pieces."""
+    halo = max(4096, 4 * (4 * limit + reach))
+    ranges = materialize(_file_ranges(spark, files, range_bytes, 4096), "ranges")
+    stride, coarse = limit - overlap - reach, max(range_bytes // 4, 1)
+    n_cells = F.when(F.col("n_chars") <= limit, 1).otherwise(F.floor(F.col("n_chars") / stride) + 2).cast("int")
+    cells = stitch(ranges).withColumn("k", F.explode(F.sequence(F.lit(0), n_cells - 1)))
+    needs = F.greatest(F.col("start"), F.col("start") + stride * (F.col("k") - 1) - overlap)  # where cell k - 1 begins
+    cells = cells.withColumn("needs", needs).withColumn("bucket", F.floor(F.col("needs") / coarse))
+    spans = ranges.where("n_chars > 0").select("uid", "range_no", "off", "n_chars").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("off") / coarse), F.floor((F.col("off") + F.col("n_chars") - 1) / coarse))))
+    spans = spans.withColumnRenamed("n_chars", "range_chars")
+    at = cells.join(spans, ["uid", "bucket"]).where((F.col("off") <= F.col("needs")) & (F.col("needs") < F.col("off") + F.col("range_chars")))
+    per = at.groupBy("id", "uid", "range_no", "off").agg(F.collect_list(F.struct("unit_no", "k", "start", "stop")).alias("cells"))  # at most one per `stride` characters of a range
+    return per.select("id", "range_no", "off", "cells").mapInArrow(_file_pieces(range_bytes, halo, limit, overlap, reach), "path string, unit_no int, piece_no int, start bigint, text string")
