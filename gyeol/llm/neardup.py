@@ -34,8 +34,8 @@ SKETCH_VALUES = 128  # two bits each
 SKETCH_LONGS = SKETCH_VALUES // 32
 MAX_RUN = 400
 SEED = 20260105
-#: Nodes up to this number are sent to all executors to pick the texts that candidates need (8 bytes each); beyond it they are joined by shuffle.
-BROADCAST_NODES = 1_000_000
+#: Up to so many ids of texts that candidates need are broadcast to pick them; more are joined by shuffle.
+BROADCAST_IDS = 100_000
 BLOCK_CHARS = 65_536
 
 _rng = np.random.default_rng(SEED)
@@ -262,20 +262,6 @@ def _squeezed_texts(min_chars: int):
     return run
 
 
-def _wanted_texts(min_chars: int, wanted):
-    inner = _squeezed_texts(min_chars)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = wanted.value
-        for batch in inner(batches):
-            nodes = batch.column("node").to_numpy()
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, nodes), len(keys) - 1)
-                yield batch.filter(pa.array(keys[at] == nodes))
-
-    return run
-
-
 class NearDuplicates:
     """The result: `members` (id, node, node2) and `links` (a, a2, b, b2) between different texts.
 
@@ -308,12 +294,9 @@ class NearDuplicates:
         heavy_pairs = x.join(y, on).where(_agree("x", "y") >= floor).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         pairs = materialize(light.union(heavy_pairs).distinct(), "candidates")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-        if few:
-            wanted = spark.sparkContext.broadcast(np.sort(np.array(nodes.toPandas()["node"], np.int64)))
-            texts = src.mapInArrow(_wanted_texts(min_chars, wanted), "node bigint, node2 bigint, t string")
-        else:
-            texts = src.mapInArrow(_squeezed_texts(min_chars), "node bigint, node2 bigint, t string").join(nodes, "node", "left_semi")
+        ids = materialize(rows.join(nodes, "node", "left_semi").groupBy("node", "node2").agg(F.min("id").alias("id")).select("id").distinct(), "ids")
+        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        texts = src.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_squeezed_texts(min_chars), "node bigint, node2 bigint, t string")
         texts = texts.dropDuplicates(["node", "node2"])
         ta = texts.select(F.col("node").alias("a"), F.col("node2").alias("a2"), F.col("t").alias("ta"))
         tb = texts.select(F.col("node").alias("b"), F.col("node2").alias("b2"), F.col("t").alias("tb"))
