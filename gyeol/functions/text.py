@@ -19,6 +19,7 @@ COMMON_TERMS = (
     "지급", "발급", "이용", "확인", "제공", "하나", "하나은행", "본인", "가능", "불가", "해당", "관련", "내용", "사항", "방법", "필요",
 )
 BLANK_PATTERN = r"\(\s*\)|\(\s*%\s*\)|（\s*）|_{3,}|\.{5,}|☐|□"
+LABELS = r"^(?:(?:Q\.|A\.|질문|답변)\s*){1,2}"
 SUBTITLE_MAX = 24
 
 
@@ -41,23 +42,23 @@ def filled(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def normalize_string(t: str | None) -> str | None:
-    """NFC, plain spaces, no spaces at line ends, at most one empty line in a row."""
-    if t is None:
-        return None
-    t = unicodedata.normalize("NFC", t).replace("　", " ").replace("\xa0", " ")
-    t = re.sub(r"[ \t]+", " ", t)
-    t = "\n".join(x.rstrip() for x in t.splitlines())
-    return re.sub(r"\n{3,}", "\n\n", t).strip()
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
 
+def nfc(c: Column | str) -> Column:
+    """NFC has no built-in function, hence Python, and nothing but NFC."""
+    return F.pandas_udf(_nfc, "string")(c)
 
-def _normalized(s: pd.Series) -> pd.Series:
-    return s.map(normalize_string)
+
+#: A line end of any kind with the white space before it.
+LINE_END = r"(?U)[^\S\n]*(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}])"
 
 
 def normalize_text(c: Column | str) -> Column:
-    """As normalize_string. NFC has no built-in function, hence Python."""
-    return F.pandas_udf(_normalized, "string")(c)
+    """NFC, plain spaces, no spaces at line ends, at most one empty line in a row."""
+    t = F.regexp_replace(nfc(c), r"[ \t\x{a0}\x{3000}]+", " ")
+    return strip(F.regexp_replace(F.regexp_replace(t, LINE_END, "\n"), "\n{3,}", "\n\n"))
 
 
 _SPACED = re.compile(r"(?:[가-힣]\s){2,}[가-힣]")
@@ -253,10 +254,7 @@ def filename_hint(c: Column) -> Column:
 
 def faq_label_free(c: Column) -> Column:
     """White space squashed, labels in front removed twice."""
-    t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WS, " "))
-    for _ in range(2):
-        t = F.regexp_replace(t, r"^(Q\.|A\.|질문|답변)\s*", "")
-    return F.trim(t)
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WS, " ")), LABELS, ""))
 
 
 def cache_key(*parts: Column, separator: str = "|") -> Column:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,55 +9,43 @@ from gyeol.functions import text as T
 
 #: What is taken off the end of a title, longest alternatives first.
 SUFFIXES = ("요약 상품설명서", "상품설명서(핵심/요약)", "핵심설명서", "상품설명서", "계약권유문서", "서비스 설명서", "서비스설명서", "설명서", "기본약관", "이용약관", "약관")
-_BRACKET = re.compile(r"[『「](.+?)[』」]")
-_PAREN = re.compile(r"\s*[(（][^)）]*[)）]\s*$")
+QUOTED = "[『「](.+?)[』」]"
+#: All brackets and document kinds at the end of a title at once.
+TAILS = r"(?:\s*(?:[(（][^)）]*[)）]|" + "|".join(s.replace("(", r"\(").replace(")", r"\)") for s in SUFFIXES) + r"))+\s*$"
 OVERLAP_LEAST = 4
 GENERIC_DF = 10
 
 
-def bare_title(title: str) -> str:
-    """Without brackets and document kinds at the end, as often as there are any."""
-    was = None
-    while was != title:
-        was = title
-        title = _PAREN.sub("", title).strip()
-        hit = next((s for s in SUFFIXES if title.endswith(s)), "")
-        title = title[: len(title) - len(hit)].strip() if hit else title
-    return title.strip(" -–—·")
+def bare_title(c: Column) -> Column:
+    """Without brackets and document kinds at the end, however many."""
+    return F.regexp_replace(F.regexp_replace(F.trim(c), TAILS, ""), r"^[ \-–—·]+|[ \-–—·]+$", "")
 
 
-def usable_subtitle(tail: str) -> bool:
+def usable_subtitle(c: Column) -> Column:
     """Short, no text run on, not a revision history."""
-    return bool(tail) and not tail.startswith("(") and len(tail) <= T.SUBTITLE_MAX and ":" not in tail and sum(c.isdigit() for c in tail) <= 0.3 * len(tail)
-
-
-def product_of(title: str | None) -> tuple[str, str]:
-    """(name, specific_product or product_family): what stands in corner brackets, else the longer of
-    the bare head and subtitle."""
-    t = (title or "").strip()
-    quoted = _BRACKET.search(t)
-    if quoted:
-        return quoted[1].strip(), "specific_product"
-    head, dash, tail = t.partition(" - ")
-    if not dash:
-        return bare_title(t), "product_family"
-    names = [bare_title(head.strip()), bare_title(tail.strip()) if usable_subtitle(tail.strip()) else ""]
-    return max(names, key=len), "product_family"
+    return c.rlike(f"^[^(:][^:]{{0,{T.SUBTITLE_MAX - 1}}}$") & (F.regexp_count(c, F.lit("[0-9]")) <= F.length(c) * 0.3)
 
 
-def _products(titles: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([product_of(t) for t in titles], columns=["name", "granularity"])
+def product(c: Column) -> Column:
+    """struct(name, granularity): what stands in corner brackets is a specific_product; else the
+    longer of the bare head and a usable subtitle is a product_family, the head if equal."""
 
+    def name(t: Column) -> Column:
+        at = F.instr(t, F.lit(" - "))
+        head = bare_title(F.when(at > 0, F.substr(t, F.lit(1), at - 1)).otherwise(t))
+        tail = F.trim(F.substr(t, at + 3, F.length(t)))
+        bare_tail = F.when((at > 0) & usable_subtitle(tail), bare_title(tail)).otherwise("")
+        longer = T.let(F.struct(head.alias("h"), bare_tail.alias("t")), lambda x: F.when(F.length(x["t"]) > F.length(x["h"]), x["t"]).otherwise(x["h"]))
+        quoted = F.trim(F.regexp_extract(t, QUOTED, 1))
+        return F.when(t.rlike(QUOTED), F.struct(quoted.alias("name"), F.lit("specific_product").alias("granularity"))).otherwise(F.struct(longer.alias("name"), F.lit("product_family").alias("granularity")))
 
-def product(c: Column | str) -> Column:
-    """struct(name, granularity); removal until nothing changes has no built-in function."""
-    return F.pandas_udf(_products, "name string, granularity string")(c)
+    return T.let(F.trim(F.coalesce(c, F.lit(""))), name)
 
 
 def catalog(docs: DataFrame) -> DataFrame:
     """doc_id, bucket (product, family, general, or skipped_...), name, key of the documents outside
     the FAQ; latest and parsable ones with a title have a name."""
-    d = docs.where(F.coalesce("doc_type", F.lit("")) != "FAQ").withColumn("p", product("title"))
+    d = docs.where(F.coalesce("doc_type", F.lit("")) != "FAQ").withColumn("p", product(F.col("title")))
     general = ((F.col("doc_type") == "약관") & F.col("title").contains("약관")) | F.col("title").rlike("기본약관|이용약관")
     bucket = (
         F.when(~F.coalesce("is_parsable", F.lit(False)), "skipped_unparsable")
@@ -116,17 +100,8 @@ def same_product(asked: Column, name: Column, generic: Column) -> Column:
     return T.let(parts, decide)
 
 
-def distinct_products(keys: Sequence[str]) -> list[str]:
-    """Keys in order, without those that a kept one begins, or that begin a kept one."""
-    out: list[str] = []
-    for k in keys:
-        if k and not any(k.startswith(x) or x.startswith(k) for x in out):
-            out.append(k)
-    return out
-
-
 def n_distinct_products(keys: Column) -> Column:
-    """The number of distinct_products of an ordered array, as an expression."""
+    """How many of the keys, in order, neither begin nor are begun by one counted before."""
     seen = lambda acc, k: F.exists(acc, lambda x: F.startswith(x, k) | F.startswith(k, x))
     step = lambda acc, k: F.when((k == "") | seen(acc, k), acc).otherwise(F.concat(acc, F.array(k)))
     return F.size(F.aggregate(keys, F.array().cast("array<string>"), step))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gyeol.functions import text as T
 from gyeol.operators import chunking as C
 from gyeol.operators import quality as Q
+from gyeol.operators import similar as S
 from gyeol.plans.text import _GRAMS, CHUNKS_ONCE, LABELS, SP, chunks_once, labels_long
 from gyeol.sources.tables import table
 
@@ -98,6 +99,13 @@ def dq_faq(spark: SparkSession, d: str) -> DataFrame:
     return Q.faq_flags(table(spark, d, "faq_records"))
 
 
+def dq_similar_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Links of each distinct question that has any: how many, and the closest."""
+    p = S.similar_texts(table(spark, d, "faq_records"), "faq_id", "question")
+    both = p.union(p.select("id_b", "id_a", "ratio"))
+    return both.groupBy(F.col("id_a").alias("faq_id")).agg(F.count("*").alias("n_links"), F.max("ratio").alias("closest"))
+
+
 def dq_faq_counts(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "faq_records")
     return f.groupBy("category").agg(F.count("*").alias("n"), F.min(F.length("question")).alias("min_q"), F.max(F.length("question")).alias("max_q"), F.round(F.avg(F.length("answer")), 4).alias("avg_a"))
@@ -184,7 +192,7 @@ def remap_self(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "chunk_structural": chunk_structural, "chunk_flat": chunk_flat, "chunk_stats": chunk_stats, "chunk_stats_by_doc": chunk_stats_by_doc, "chunk_force_split": chunk_force_split,
     "sentences_of_chunks": sentences_of_chunks, "dq_duplicates": dq_duplicates, "dq_versions": dq_versions, "dq_dates": dq_dates, "dq_overrides": dq_overrides, "dq_sequence": dq_sequence,
-    "dq_old_versions": dq_old_versions, "dq_hash_groups": dq_hash_groups, "dq_titles": dq_titles, "dq_faq": dq_faq, "dq_faq_counts": dq_faq_counts, "faq_documents": faq_documents, "faq_quota": faq_quota,
+    "dq_old_versions": dq_old_versions, "dq_hash_groups": dq_hash_groups, "dq_titles": dq_titles, "dq_faq": dq_faq, "dq_similar_questions": dq_similar_questions, "dq_faq_counts": dq_faq_counts, "faq_documents": faq_documents, "faq_quota": faq_quota,
     "dq_boilerplate": dq_boilerplate, "dq_eval_set": dq_eval_set, "dq_eval_flags": dq_eval_flags, "dq_manifest": dq_manifest, "sample_quota": sample_quota, "sample_blank": sample_blank,
     "sample_strata": sample_strata, "remap": remap, "remap_self": remap_self,
 }

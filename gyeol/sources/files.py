@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gyeol.functions.text import LABELS
+
 FAQ_FIELDS = "faq_id string, bank_code string, bank_name string, category string, question string, answer string, source_url string, collected_at string, status string"
 
 
@@ -49,10 +51,7 @@ class _Pairs(HTMLParser):
 
 
 def clean_label(text: str) -> str:
-    t = re.sub(r"\s+", " ", text or "").strip()
-    for _ in range(2):
-        t = re.sub(r"^(Q\.|A\.|질문|답변)\s*", "", t)
-    return t.strip()
+    return re.sub(LABELS, "", " ".join((text or "").split())).strip()
 
 
 def question_pairs(html: str | None) -> list[tuple[str, str]]:

@@ -65,144 +65,87 @@ def test_snapshot_changes(spark):
     assert snapshots.snapshot_changes(df.limit(0), "n", "k", {"h": F.col("h")}, "t").count() == 0
 
 
-# Chunking, in plain Python by the same rules
-
-
-def sentences(text):
-    out = []
-    for line in text.split("\n"):
-        if line.strip():
-            out += [s.strip() for s in re.split(r"(?<=[다요음함][.!?])\s+", line.strip()) if s.strip()]
-    return out
-
-
-def by_length(text, target=500, longest=900, shortest=100, overlap=80):
-    if len(text) <= longest:
-        return [text] if len(text) >= shortest else []
-    done, buf = [], ""
-    for s in sentences(text):
-        if len(s) > longest:
-            done += ([buf] if buf else []) + [p for p in (s[i : i + target].strip() for i in range(0, len(s), target)) if len(p) >= shortest]
-            buf = ""
-        elif buf and len(buf) + len(s) > target:
-            done.append(buf)
-            buf = f"{buf[-overlap:]} {s}".strip()
-        else:
-            buf = f"{buf} {s}".strip()
-    return [p for p in done + ([buf] if buf else []) if len(p) >= shortest]
-
-
-def packed(pieces, target=500):
-    out, buf, first = [], "", 0
-    for i, p in enumerate(pieces):
-        if buf and len(buf) + len(p) > target:
-            out.append((buf, first))
-            buf, first = p, i
-        elif buf:
-            buf = f"{buf}\n{p}".strip()
-        else:
-            buf, first = p, i
-    return out + ([(buf, first)] if buf else [])
-
-
-def cut(pattern, text, flags=0):
-    return [p.strip() for p in re.split(pattern, text, flags=flags) if p.strip()]
-
-
-def structural(text, pieces):
-    flat = lambda: [(t, "") for t in by_length(text)]
-    kept = [(t.strip(), s) for t, s in (pieces if len(pieces) >= 2 else flat()) if len(t.strip()) >= 20]
-    return kept or flat()
-
-
-def oversized(text):
-    subs = cut("(?=[①-⑮])", text)
-    out = [q for p, _ in packed(subs) for q in ([p] if len(p) <= 900 else by_length(p))] if len(subs) > 1 else by_length(text)
-    return out or [text[:900]]
-
-
-def article_label(p):
-    m = re.match(r"제\s*(\d+)\s*조\s*[(（]?\s*([^)）\n]{0,24})?", p)
-    if not m:
-        return ""
-    t = (m[2] or "").strip()
-    return f"제{m[1]}조" + (f"({t})" if t and len(t) <= 20 and not t.endswith(("다", "다.", "함", "음")) else "")
-
-
-def articles(text):
-    merged = []
-    for p in cut(r"(?=제\s*\d+\s*조)", text):
-        if merged and (len(p) < 60 or len(merged[-1]) < 60):
-            merged[-1] += "\n" + p
-        else:
-            merged.append(p)
-    return structural(text, [(q, article_label(p)) for p in merged for q in ([p] if len(p) <= 900 else oversized(p))])
-
-
-def items(text, pattern, label, flags=0):
-    raw = cut(pattern, text, flags)
-    if len(raw) < 2:
-        return structural(text, [(t, "") for t in by_length(text)])
-    return structural(text, [(q, label(raw[i])) for p, i in packed(raw) for q in ([p] if len(p) <= 900 else by_length(p))])
-
-
-def faq(text):
-    t = text.strip()
-    if not t:
-        return []
-    if len(t) <= 700:
-        return [(t, "FAQ")]
-    q, a = "", t
-    if t.startswith("Q. ") and "\nA. " in t:
-        head, _, tail = t.partition("\nA. ")
-        q, a = head[3:].strip(), tail.strip()
-    prefix = f"Q. {q}\nA. " if q else ""
-    budget = max(500 - len(prefix), 100)
-    return [((prefix + p).strip(), "FAQ") for p in by_length(a, budget, budget) or [a]]
-
-
-def expected_chunks(text, structure):
-    if structure == "qa_pair":
-        return faq(text)
-    if structure == "article":
-        return articles(text)
-    if structure == "clause":
-        return items(text, "(?=[①-⑮])", lambda p: p[0] if re.match("[①-⑮]", p) else "")
-    if structure == "numbered":
-        lab = lambda p: (m := re.match(r"\s*(\d{1,2}[.)]|[가-힣][.)])", p)) and m[1].rstrip(".)") or ""
-        return items(text, r"(?=^\s*(?:\d{1,2}[.)]|[가-힣][.)])\s)", lab, re.M)
-    return [(t.strip(), "") for t in by_length(text)]
+# Chunking
 
 
-def test_chunks_of_all_documents(spark):
-    import pandas as pd
+LINE = "문장이 하나 더 있습니다. "
+COLS = "doc_id string, text string, structure string, is_parsable boolean, title string, subtitle string, orig_filename string, effective_date date, source_url string, doc_type string, category string"
 
-    b = pd.read_parquet(f"{SMALL}/bank_documents.parquet")
-    docs = tables.table(spark, SMALL, "bank_documents")
-    got = {}
-    for r in chunking.chunk_documents(docs).orderBy("doc_id", "chunk_order").collect():
-        assert r.chunk_id == f"{r.doc_id}_c{r.chunk_order:03d}" and r.char_count == len(r.text)
-        got.setdefault(r.doc_id, []).append((r.text, r.section))
-    want = {r.doc_id: expected_chunks(r.text, r.structure.lower()) for r in b.itertuples() if r.is_parsable and isinstance(r.text, str)}
-    assert got == {k: v for k, v in want.items() if v}
-
-
-S, ANS = "문장이 하나 더 있습니다. ", "답변 문장입니다. "
-CHUNK_CASES = [
-    ("제1조(목적) 짧다\n제2조(정의) " + S * 60 + "① 하나 " + S * 20 + "② 둘 " + S * 30 + "③ 셋", "article"), ("조항 없는 글 " + S * 80, "article"), ("가" * 99, "flat"), ("가" * 100, "flat"), ("가" * 900, "flat"), ("가" * 901, "flat"), ("나" * 1200 + "다. " + S * 3, "flat"),
-    ("Q. 묻나요\nA. " + "답" * 690, "qa_pair"), ("Q. 묻나요\nA. " + ANS * 80, "qa_pair"), ("질문 없는 긴 글 " + ANS * 80, "qa_pair"), (" \n ", "flat"), (" \n ", "qa_pair"), (" \n ", "article"), ("① " + S * 20 + "② " + S * 5 + "⑯ " + S * 70, "clause"), ("1. " + S * 9 + "\n2) 둘\n가. 셋 " + S * 60 + "\n\n  3. 넷", "numbered"),
-    ("제1조 이것은 제목이 아니라 본문으로 이어지는 문장이다\n제 2 조（이자）" + S * 10, "article"), ("제1조(가)\n제2조(나)\n제3조(다)", "article"),
-]
-
-
-def test_chunk_cases(spark):
-    rows = [(f"d{i:02}", t, s, True, "제목", None, "f", None, None, "약관", "loan") for i, (t, s) in enumerate(CHUNK_CASES)] + [("no", "글 " * 100, "flat", False, "", None, "f", None, None, "약관", "loan"), ("nul", None, "flat", True, "", None, "f", None, None, "약관", "loan")]
-    df = spark.createDataFrame(rows, "doc_id string, text string, structure string, is_parsable boolean, title string, subtitle string, orig_filename string, effective_date date, source_url string, doc_type string, category string")
-    got = {}
+
+def chunks_of(spark, cases):
+    rows = [(f"d{i:02}", t, s, True, "제목", None, "f", None, None, "약관", "loan") for i, (t, s) in enumerate(cases)]
+    rows += [("no", "글 " * 100, "flat", False, "", None, "f", None, None, "약관", "loan"), ("nul", None, "flat", True, "", None, "f", None, None, "약관", "loan")]
+    got = [[] for _ in cases]
+    df = spark.createDataFrame(rows, COLS)
     for r in chunking.chunk_documents(df).orderBy("doc_id", "chunk_order").collect():
-        got.setdefault(r.doc_id, []).append((r.text, r.section))
-    assert got == {f"d{i:02}": e for i, (t, s) in enumerate(CHUNK_CASES) if (e := expected_chunks(t, s))}
+        assert r.chunk_id == f"{r.doc_id}_c{r.chunk_order:03d}" and r.char_count == len(r.text) and r.chunk_order == len(got[int(r.doc_id[1:])]) + 1
+        got[int(r.doc_id[1:])].append((r.text, r.section))
     assert chunking.chunk_documents(df.limit(0)).count() == 0
+    return got
+
+
+def test_lengths_at_the_limits(spark):
+    got = chunks_of(spark, [("가" * n, "flat") for n in (99, 100, 900, 901, 1050)] + [(" \n ", s) for s in ("flat", "article", "qa_pair")] + [("나" * 1200 + "다. " + LINE * 10, "flat")])
+    assert [[len(t) for t, _ in g] for g in got[:8]] == [[], [100], [900], [500, 401], [500, 500], [], [], []]
+    assert [t for t, _ in got[8]] == ["나" * 500, "나" * 500, "나" * 200 + "다.", (LINE * 10).strip()]
+
+
+def test_sentences_are_packed_with_overlap(spark):
+    (got,) = chunks_of(spark, [(LINE * 100, "flat")])
+    texts = [t for t, _ in got]
+    assert all(len(t) <= 500 for t in texts) and texts[0] == (LINE * 33).strip()
+    for a, b in zip(texts, texts[1:]):
+        assert b.startswith(a[-80:].strip())
+
+
+def test_articles(spark):
+    long = "제2조(정의) " + LINE * 20 + "① 하나 " + LINE * 20 + "② 둘 " + LINE * 30 + "③ 셋"
+    got = chunks_of(spark, [
+        ("머리말\n제1조(목적) " + LINE * 10 + "\n" + long, "article"),
+        ("제1조(가) 짧다\n제2조(나) 짧다\n제3조(다) 짧은 조항들은 하나로 이어 붙는다 그래서 한 덩이가 된다 " + LINE, "article"),
+        ("조항 없는 글입니다. " + LINE * 80, "article"),
+        ("제1조 이것은 제목이 아니라 본문으로 이어지는 문장이다\n" + LINE * 5 + "\n제 2 조（이자）" + LINE * 10, "article"),
+    ])
+    assert [s for _, s in got[0]] == ["", "제2조(정의)", "제2조(정의)", "제2조(정의)"] and got[0][0][0].startswith("머리말\n제1조(목적)")
+    assert got[0][1][0].startswith("제2조(정의)") and got[0][2][0].startswith("① 하나") and got[0][3][0].startswith("② 둘") and got[0][3][0].endswith("③ 셋")
+    assert all(len(t) <= 900 for t, _ in got[0])
+    assert got[1] == []  # joined to one piece, hence by length, and under the minimum
+    assert len(got[2]) > 1 and {s for _, s in got[2]} == {""}
+    assert [s for _, s in got[3]] == ["제1조", "제2조(이자)"]
+
+
+def test_clauses_and_numbers(spark):
+    got = chunks_of(spark, [
+        ("① " + LINE * 20 + "② " + LINE * 5 + "③ " + LINE * 25 + "⑯ 열여섯은 표지가 아니다", "clause"),
+        ("1. " + LINE * 20 + "\n2) 둘\n가. 셋 " + LINE * 20 + "\n\n  3. 넷 " + LINE * 20, "numbered"),
+        ("표지 없는 글 " + LINE * 3, "clause"),
+    ])
+    assert [s for _, s in got[0]] == ["①", "③"] and got[0][0][0].startswith("① ") and "\n② " in got[0][0][0] and got[0][1][0].endswith("⑯ 열여섯은 표지가 아니다")
+    assert [s for _, s in got[1]] == ["1", "가", "3"] and "2) 둘" in got[1][0][0]
+    assert [s for _, s in got[2]] == [] or len(got[2]) <= 1
+
+
+def test_faq_chunks(spark):
+    head, answer_line = "Q. 묻나요?\nA. ", "답변 문장입니다. "
+    got = chunks_of(spark, [(head + "답" * (700 - len(head)), "qa_pair"), (head + answer_line * 70, "qa_pair"), ("질문 없는 긴 글 " + answer_line * 80, "qa_pair"), (head + "답" * (701 - len(head)), "qa_pair")])
+    assert [len(t) for t, _ in got[0]] == [700]
+    assert len(got[1]) > 1 and all(t.startswith(head) and len(t) <= 500 + 10 for t, _ in got[1])
+    assert len(got[2]) > 1 and not any(t.startswith("Q.") for t, _ in got[2])
+    assert len(got[3]) == 2 and {s for g in got for _, s in g} == {"FAQ"}
+
+
+def test_chunks_of_all_documents(spark):
+    docs = tables.table(spark, SMALL, "bank_documents")
+    texts = {r.doc_id: (r.text or "", r.structure.lower()) for r in docs.where("is_parsable").collect()}
+    seen = set()
+    for r in chunking.chunk_documents(docs).collect():
+        text, structure = texts[r.doc_id]
+        seen.add(r.doc_id)
+        assert 20 <= len(r.text) <= 1000
+        if structure not in ("qa_pair",):
+            words = r.text.split()
+            assert words[-1] in text and words[len(words) // 2] in text
+    assert {k for k, (t, _) in texts.items() if len(t) >= 100} <= seen
 
 
 # Text functions
@@ -335,8 +278,8 @@ def test_auc_kappa_pareto(spark):
         ("ISA 설명서 (AI 최고위험) 설명서", ("ISA", "product_family")), ("대출 - 아주 긴 이름의 상품 - 둘", ("아주 긴 이름의 상품 - 둘", "product_family")), (None, ("", "product_family")), ("", ("", "product_family")),
     ],
 )
-def test_product_names(title, want):
-    assert catalog.product_of(title) == want
+def test_product_names(spark, title, want):
+    assert tuple(one(spark, catalog.product(F.col("t")), "t string", title)[0]) == want
 
 
 def test_catalog_matching(spark):
@@ -348,7 +291,6 @@ def test_catalog_matching(spark):
     same = [r[0] for r in pairs.select(catalog.same_product(F.col("a"), F.col("b"), F.array(F.lit("하나은행")))).collect()]
     assert same == [True, False, True, True]
     keys = ["가나", "가나다", "라", "", "나"]
-    assert catalog.distinct_products(keys) == ["가나", "라", "나"]
     assert spark.range(1).select(catalog.n_distinct_products(F.array(*map(F.lit, keys)))).collect()[0][0] == 3
 
 
@@ -414,3 +356,70 @@ def test_files(spark, tmp_path):
     tables.write_once(df, out)
     with pytest.raises(Exception):
         tables.write_once(df, out)
+
+
+# Similar questions, layout, stores
+
+
+def test_similar_texts_against_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    from gyeol.operators import similar
+
+    rng = random.Random(11)
+    base = ["예금 가입 기간을 바꾸려면 어떤 서류가 필요한가요", "대출 한도를 늘리려면 얼마나 걸리나요?", "카드 분실 신고", "ab"]
+    texts = []
+    for i in range(120):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(7)):
+            at = rng.randrange(len(t) + 1)
+            t[at : at + rng.randrange(3)] = rng.choice(["가", "", "나다", "x"])
+        texts.append((f"f{i:03}", "".join(t)))
+    rows = texts + [("n", None), ("e", ""), ("z", texts[0][1] + " ")]
+    plain = {}
+    for k, t in rows:
+        if t and (s := "".join(t.split())):
+            plain[s] = min(k, plain.get(s, k))
+    items = sorted((k, s) for s, k in plain.items())
+    want = {(a, b) for i, (a, s) in enumerate(items) for b, t in items[i + 1 :] if SequenceMatcher(None, s, t).ratio() >= 0.85}
+    got = {(r.id_a, r.id_b) for r in similar.similar_texts(spark.createDataFrame(rows, "id string, q string"), "id", "q").collect()}
+    assert got == want and len(want) > 50
+
+
+def test_layout(spark):
+    from gyeol.operators import layout
+
+    words = [("d", 10.2, 5.0, 20.0, "예 금"), ("d", 9.8, 50.0, 20.0, "설명서"), ("d", 40.0, 1.0, 15.0, "가계용"), ("d", 60.0, 1.0, 30.0, "12"), ("e", 1.0, 1.0, 20.0, "제목입니다"), ("e", 2.6, 1.0, 9.0, "본문 글자")]
+    f = layout.lines_by_font(spark.createDataFrame(words, "doc_id string, top double, x0 double, size double, text string"))
+    assert {(r.doc_id, r.place, r.line) for r in f.collect()} == {("d", 1, "예 금 설명서"), ("d", 2, "가계용"), ("e", 1, "제목입니다"), ("e", 2, "본문 글자")}
+    k = spark.createDataFrame([("d", "예 금 설명서 (가계용)"), ("x", "약관")], "doc_id string, title_found string")
+    got = {r.doc_id: (r.title, r.subtitle, r.confidence) for r in layout.reconcile_titles(f, k).collect()}
+    assert got == {"d": ("예 금 설명서 (가계용)", "가계용", "high"), "e": ("제목입니다", "", "medium"), "x": ("약관", "", "medium")}
+    pages = spark.createDataFrame([("d", i, f"머리\n본문 {i}\n" + ("발" if i < 3 else "")) for i in range(5)], "doc_id string, page int, text string")
+    assert {(r.line, r.n_pages) for r in layout.repeated_page_lines(pages).collect()} == {("머리", 5), ("발", 3)}
+    some = layout.evenly_spaced(spark.createDataFrame([("g", i) for i in range(10)], "g string, i int"), ["g"], ["i"], 3)
+    assert sorted(r.i for r in some.collect()) == [0, 4, 7]
+    kinds = ["FAQ", "약관", "설명서", "FAQ", "기타", "약관"]
+    allowed, mix = {"FAQ": ["easy", "medium"], "설명서": ["easy", "medium", "hard"], "약관": ["medium", "hard"]}, {"easy": 0.3, "medium": 0.5, "hard": 0.2}
+    got = spark.range(1).select(layout.assign_by_deficit(F.array(*map(F.lit, kinds)), allowed, mix)).first()[0]
+    assert got == ["medium", "medium", "easy", "medium", "medium", "hard"]
+    tally = layout.mismatch_tally(spark.createDataFrame([("B", True), ("B", None), ("D", False)], "class string, is_real boolean"), "class").collect()
+    assert {tuple(r) for r in tally} == {("B", 2, 1, 0.5), ("D", 1, 0, 0.0)}
+
+
+def test_stores(spark, tmp_path):
+    from gyeol.sources import store
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "k int, v array<double>")
+    store.save_dense(v, "k", "v", str(tmp_path / "d"))
+    assert store.load_dense(spark, str(tmp_path / "d")).count() == 2
+    with pytest.raises(Exception):
+        store.save_dense(v, "k", "v", str(tmp_path / "d"))
+    with pytest.raises(ValueError):
+        store.save_dense(v.union(spark.createDataFrame([(3, [1.0])], v.schema)), "k", "v", str(tmp_path / "x"))
+    docs = spark.createDataFrame([("a", "예금 이자"), ("b", "대출"), ("c", "약관")], "id string, t string")
+    index = retrieval.bm25_index(docs, "id", T.word_tokens(F.col("t")))
+    store.save_sparse(index, str(tmp_path / "s"))
+    q = retrieval.query_terms(spark.createDataFrame([("q", "이자")], "query_id string, q string"), "query_id", T.word_tokens(F.col("q")))
+    assert [r.id for r in retrieval.bm25_search(store.load_sparse(spark, str(tmp_path / "s")), q, 3).collect()] == ["a"]
+    assert store.index_name("x/chunks.jsonl") == "base" and store.index_name("chunks_structural.jsonl") == "structural"
