@@ -1,7 +1,9 @@
 """Sparse and dense retrieval, fusion of both, and retrieval metrics, for tables of queries.
 
 Sparse: an inverted index is three tables (postings, document frequencies, lengths); a search is an
-equi join on terms. Postings of terms that no query holds are dropped before anything is shuffled.
+equi join on terms. Postings are partitioned by document once; the weights of the queries' terms, few
+beside them, are broadcast after a check of their number, so that the sum per query and document needs
+no further shuffle, and only the best k of each partition leave it.
 Dense: the query set goes through in blocks of bounded size; each block is one matrix product per
 batch of vectors, of which only the best k leave. Top-k windows are limited before their shuffle.
 """
@@ -18,14 +20,16 @@ from pyspark.sql.window import Window
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 0.25
 BLOCK_QUERIES = 4096
+#: Up to so many weights of query terms are broadcast; more are joined by shuffle.
+BROADCAST_WEIGHTS = 500_000
 
 
 # Sparse
 
 
 def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """id, term, tf and the length dl of the document."""
-    t = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"))
+    """id, term, tf and the length dl of the document, partitioned by id."""
+    t = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).repartition("id")
     rows = t.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     return rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
@@ -52,12 +56,13 @@ def query_terms(queries: DataFrame, query_col: str, tokens: Column) -> DataFrame
 def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, id, score for every pair with a term in common."""
     p, idf, stats = index
-    wanted = terms.select("term").distinct()
-    weighted = p.join(wanted, "term").join(idf.select("term", "idf"), "term").crossJoin(F.broadcast(stats))
+    weights = terms.join(idf.select("term", "idf"), "term")
+    few = terms.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS
     tf = F.col("tf").cast("double")
-    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl").cast("double") / F.col("avgdl")))
-    weighted = weighted.select("id", "term", part.alias("w"))
-    return weighted.join(terms, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl").cast("double") / F.col("avgdl")))
+    saturated = p.crossJoin(F.broadcast(stats)).select("id", "term", part.alias("s"))
+    joined = saturated.join(F.broadcast(weights) if few else weights, "term")
+    return joined.groupBy("id", "query_id").agg(F.sum(F.col("s") * F.col("idf") * F.col("qf")).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: Sequence[str] = ("query_id",), score: str = "score", descending_id: bool = False) -> DataFrame:

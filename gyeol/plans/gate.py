@@ -21,7 +21,7 @@ GRID = ((25.0, 30.0, 35.0, 40.0, 45.0, 50.0), (1.0, 2.5, 4.0, 8.0), (0.2, 0.4, 0
 def _signals(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "retrieval_eval").select("query_id", "question", "difficulty", "doc_type")
     hits = chunk_hits(spark, d, 10).select("query_id", "id", "rank", "score")
-    s = G.signals(q, hits, chunks_once(spark, d).select(F.col("chunk_id").alias("id"), "text"))
+    s = G.signals(q, hits, chunks_once(spark, d, "text").select(F.col("chunk_id").alias("id"), "text"))
     return s.withColumn("expected", F.coalesce(F.col("difficulty") == "hard", F.lit(False)))
 
 

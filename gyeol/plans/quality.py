@@ -26,23 +26,23 @@ def chunk_flat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks_once(spark, d).where("text is not null").select("doc_type", F.length("text").alias("char_count"))
+    c = chunks_once(spark, d, "doc_type", "text").where("text is not null").select("doc_type", F.length("text").alias("char_count"))
     return C.length_stats(c, "doc_type")
 
 
 def chunk_stats_by_doc(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks_once(spark, d).where("text is not null")
+    c = chunks_once(spark, d, "doc_id", "text").where("text is not null")
     return c.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.floor(F.sum(F.length("text")) / F.count("*")).alias("avg_chars"), F.max(F.length("text")).alias("max_chars"))
 
 
 def chunk_force_split(spark: SparkSession, d: str) -> DataFrame:
     """Chunks over the limit cut at fixed steps."""
-    c = chunks_once(spark, d).where(F.length("text") > C.LONGEST)
+    c = chunks_once(spark, d, "text").where(F.length("text") > C.LONGEST)
     return c.select("chunk_id", F.posexplode(C.force_split(F.col("text"), F.lit(C.TARGET), F.lit(C.SHORTEST))).alias("pos", "piece")).select("chunk_id", "pos", F.md5("piece").alias("piece_md5"))
 
 
 def sentences_of_chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks_once(spark, d).where("text is not null")
+    c = chunks_once(spark, d, "text").where("text is not null")
     return c.select("chunk_id", F.size(C.split_sentences(F.col("text"))).alias("n_sentences"))
 
 
@@ -120,7 +120,7 @@ def faq_quota(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dq_boilerplate(spark: SparkSession, d: str) -> DataFrame:
-    return Q.boilerplate(chunks_once(spark, d))
+    return Q.boilerplate(chunks_once(spark, d, "doc_id", "text"))
 
 
 def dq_eval_set(spark: SparkSession, d: str) -> DataFrame:
@@ -155,14 +155,14 @@ def dq_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 def sample_quota(spark: SparkSession, d: str) -> DataFrame:
     """A sample for question writing: by document type, categories in turn, few of one document."""
-    c = chunks_once(spark, d).where(Q.suitable(F.col("text"))).select("chunk_id", "doc_id", "doc_type", "category")
-    c = c.join(Q.boilerplate(chunks_once(spark, d)).select("chunk_id"), "chunk_id", "left_anti")
+    c = chunks_once(spark, d, "doc_id", "doc_type", "category", "text").where(Q.suitable(F.col("text"))).select("chunk_id", "doc_id", "doc_type", "category")
+    c = c.join(Q.boilerplate(chunks_once(spark, d, "doc_id", "text")).select("chunk_id"), "chunk_id", "left_anti")
     return Q.quota_sample(c, {"설명서": 0.5, "약관": 0.3, "FAQ": 0.2}, 100)
 
 
 def sample_blank(spark: SparkSession, d: str) -> DataFrame:
     """One chunk with a blank to fill in per document, the first by the hash of its id."""
-    c = chunks_once(spark, d).where(T.has_blank(F.col("text"))).withColumn("h", F.md5(F.concat(F.lit("7"), F.col("chunk_id"))))
+    c = chunks_once(spark, d, "doc_id", "text").where(T.has_blank(F.col("text"))).withColumn("h", F.md5(F.concat(F.lit("7"), F.col("chunk_id"))))
     return c.groupBy("doc_id").agg(F.min(F.struct("h", "chunk_id")).alias("m")).select("doc_id", F.col("m.chunk_id").alias("chunk_id"))
 
 
@@ -177,14 +177,14 @@ def sample_strata(spark: SparkSession, d: str) -> DataFrame:
 
 def remap(spark: SparkSession, d: str) -> DataFrame:
     """Labels carried from the given chunks to chunks cut anew by structure."""
-    old = chunks_once(spark, d).select("chunk_id", "doc_id", "text")
+    old = chunks_once(spark, d, "doc_id", "text").select("chunk_id", "doc_id", "text")
     new = C.chunk_documents(_docs(spark, d)).select("chunk_id", "doc_id", "text")
     return Q.remap_labels(labels_long(spark, d), old, new)
 
 
 def remap_self(spark: SparkSession, d: str) -> DataFrame:
     """Labels carried from the given chunks to the same chunks under the ids of their successors."""
-    old = chunks_once(spark, d).select("chunk_id", "doc_id", "text").where("text is not null")
+    old = chunks_once(spark, d, "doc_id", "text").select("chunk_id", "doc_id", "text").where("text is not null")
     new = old.withColumn("chunk_id", F.concat(F.col("chunk_id"), F.lit("n")))
     return Q.remap_labels(labels_long(spark, d), old, new)
 

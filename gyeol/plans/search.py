@@ -24,7 +24,7 @@ def _chunk_tokens():
 
 
 def chunk_index(spark: SparkSession, d: str):
-    return R.bm25_index(chunks_once(spark, d).select("chunk_id", "doc_display_name", "section", "text"), "chunk_id", _chunk_tokens())
+    return R.bm25_index(chunks_once(spark, d, "doc_display_name", "section", "text").select("chunk_id", "doc_display_name", "section", "text"), "chunk_id", _chunk_tokens())
 
 
 def question_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ def bm25_score_all(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "retrieval_eval")
     first = r.agg(F.min_by(F.struct("query_id", "question"), "query_id").alias("q")).select("q.*")
     scores = R.bm25_scores(chunk_index(spark, d), R.query_terms(first, "query_id", T.word_tokens(F.col("question"))))
-    return chunks_once(spark, d).select(F.col("chunk_id").alias("id")).join(scores, "id", "left").select(F.col("id").alias("chunk_id"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+    return chunks_once(spark, d, "doc_id").select(F.col("chunk_id").alias("id")).join(scores, "id", "left").select(F.col("id").alias("chunk_id"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
 def self_check(spark: SparkSession, d: str) -> DataFrame:
@@ -172,12 +172,12 @@ def eval_success_scores(spark: SparkSession, d: str) -> DataFrame:
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "retrieval_eval").select("query_id", F.explode(F.array_distinct(T.word_tokens(F.col("question")))).alias("term"))
     counts = r.groupBy("term").agg(F.countDistinct("query_id").alias("query_count"))
-    v = R.vocabulary(chunks_once(spark, d), "chunk_id", "doc_type", _chunk_tokens(), counts)
+    v = R.vocabulary(chunks_once(spark, d, "doc_type", "doc_display_name", "section", "text"), "chunk_id", "doc_type", _chunk_tokens(), counts)
     return v.select("term", "df", F.round("ratio", 6).alias("ratio"), F.round("type_std", 5).alias("type_std"), "query_count", "verdict")
 
 
 def typical_terms(spark: SparkSession, d: str) -> DataFrame:
-    return R.typical_terms(chunks_once(spark, d), "chunk_id", "doc_type", _chunk_tokens())
+    return R.typical_terms(chunks_once(spark, d, "doc_type", "doc_display_name", "section", "text"), "chunk_id", "doc_type", _chunk_tokens())
 
 
 QUERIES = {

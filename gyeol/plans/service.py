@@ -14,6 +14,8 @@ from gyeol.plans.text import _CLEAN, SP, chunks_once
 from gyeol.sources.tables import table
 from gyeol.streaming import ingest as S
 
+EVIDENCE = ("doc_display_name", "section", "effective_date", "text", "doc_type", "metadata")
+
 
 def catalog_entries(spark: SparkSession, d: str) -> DataFrame:
     return K.catalog(table(spark, d, "bank_documents"))
@@ -36,13 +38,13 @@ def catalog_generic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_evidence(spark: SparkSession, d: str) -> DataFrame:
-    e = A.evidence(chunk_hits(spark, d, 3), chunks_once(spark, d))
+    e = A.evidence(chunk_hits(spark, d, 3), chunks_once(spark, d, *EVIDENCE))
     return e.select("query_id", F.size("evidence").alias("n_evidence"), F.md5("block").alias("block_md5"))
 
 
 def answer_batch(spark: SparkSession, d: str) -> DataFrame:
     """Decisions and evidence of all questions; texts come from cached answers of half of them."""
-    e = A.evidence(chunk_hits(spark, d, 3), chunks_once(spark, d))
+    e = A.evidence(chunk_hits(spark, d, 3), chunks_once(spark, d, *EVIDENCE))
     r = table(spark, d, "retrieval_eval")
     cached = r.where("answer_hint is not null").select("query_id", F.col("answer_hint").alias("answer"))
     return A.build_answers(gate_decisions(spark, d), e, cached).select("query_id", "decision", "stage", "reason", "answer", "n_evidence", "has_old")

@@ -14,12 +14,11 @@ COMMON = ", ".join(f"'{w}'" for w in T.COMMON_TERMS)
 TOKENS = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[0-9a-z가-힣]+'), lambda x: length(x) >= 2)"
 
 
-def chunks_once(spark: SparkSession, d: str) -> DataFrame:
-    """One row per chunk_id, the one loaded last."""
+def chunks_once(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """One row per chunk_id, the one loaded last, with the columns named: no other is read."""
     c = table(spark, d, "chunks").where(F.col("chunk_id").isNotNull())
-    cols = [x for x in c.columns if x not in ("chunk_id", "metadata")]
-    last = c.groupBy("chunk_id").agg(F.max(F.struct("loaded_at", *[x for x in cols if x != "loaded_at"], "metadata")).alias("r"))
-    return last.select("chunk_id", *[F.col(f"r.{x}").alias(x) for x in cols], "r.metadata")
+    last = c.groupBy("chunk_id").agg(F.max(F.struct("loaded_at", *cols)).alias("r"))
+    return last.select("chunk_id", *[F.col(f"r.{x}").alias(x) for x in cols])
 
 
 CHUNKS_ONCE = "c AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1)"
@@ -45,7 +44,7 @@ def f_citation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f_chunk_text(spark: SparkSession, d: str) -> DataFrame:
-    c, col = chunks_once(spark, d), F.col
+    c, col = chunks_once(spark, d, "doc_display_name", "section", "doc_type", "effective_date", "text"), F.col
     cite = T.chunk_citation(col("doc_display_name"), col("section"), col("doc_type"), col("effective_date"))
     index = T.indexable_text(col("doc_display_name"), col("section"), col("text"))
     counted = T.indexable_text(col("doc_display_name"), col("section"), col("text"), keep_faq=True)
@@ -85,7 +84,7 @@ def labels_long(spark: SparkSession, d: str) -> DataFrame:
 
 def f_lexical_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Best share of a question's terms in one of its labelled chunks, with both measures of copying."""
-    pairs = labels_long(spark, d).join(chunks_once(spark, d).select("chunk_id", "text"), "chunk_id").where("text is not null")
+    pairs = labels_long(spark, d).join(chunks_once(spark, d, "text").select("chunk_id", "text"), "chunk_id").where("text is not null")
     q, t = F.col("question"), F.col("text")
     pairs = pairs.select("query_id", "chunk_id", T.lexical_overlap(T.terms(q), t).alias("lexical"), T.stem_overlap(q, t).alias("stems"))
     best = pairs.groupBy("query_id").agg(F.max("lexical").alias("lexical"), F.max("stems").alias("stems"))
@@ -95,7 +94,7 @@ def f_lexical_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 def f_hard_terms(spark: SparkSession, d: str) -> DataFrame:
     """Terms by which a question gives its document or chunk away."""
-    pairs = labels_long(spark, d).join(chunks_once(spark, d).select("chunk_id", "text", "doc_display_name"), "chunk_id")
+    pairs = labels_long(spark, d).join(chunks_once(spark, d, "text", "doc_display_name").select("chunk_id", "text", "doc_display_name"), "chunk_id")
     name = T.first_shared_term(F.col("doc_display_name"), F.col("question"), "[가-힣A-Za-z]{3,}", False, 3)
     text = T.first_shared_term(F.col("question"), F.col("text"), "[가-힣]{4,}", True, 4)
     return pairs.select("query_id", "chunk_id", name.alias("name_term"), text.alias("text_term"))
@@ -103,7 +102,7 @@ def f_hard_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def f_spacing(spark: SparkSession, d: str) -> DataFrame:
     """Damage to spacing by document type."""
-    c = chunks_once(spark, d).where("text is not null").withColumn("r", T.space_ratio(F.col("text"))).withColumn("run", T.longest_hangul_run(F.col("text")))
+    c = chunks_once(spark, d, "doc_type", "text").where("text is not null").withColumn("r", T.space_ratio(F.col("text"))).withColumn("run", T.longest_hangul_run(F.col("text")))
     return c.groupBy("doc_type").agg(
         F.count("*").alias("n_chunks"), F.sum((F.col("r") < 0.10).cast("int")).alias("n_damaged"), F.round(F.avg("r"), 6).alias("avg_ratio"), F.max("run").alias("longest_run"),
         F.sum(T.has_blank(F.col("text")).cast("int")).alias("n_blank"),

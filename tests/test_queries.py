@@ -42,6 +42,11 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters: [" in p and "EqualTo(is_parsable,true)" in p and "ReadSchema: struct<doc_id:string,doc_type:string,content_hash:string,is_parsable:boolean,orig_filename:string>" in p
 
 
+def test_only_needed_columns_are_read(spark):
+    p = plan(registry.queries()["chunk_stats"](spark, SMALL))
+    assert "ReadSchema: struct<chunk_id:string,text:string,doc_type:string,loaded_at:timestamp_ntz>" in p
+
+
 @pytest.mark.parametrize("name", [n for n in NAMES if not n.startswith("stream")])
 def test_no_cartesian_product(spark, name):
     assert "CartesianProduct" not in plan(registry.queries()[name](spark, SMALL))
