@@ -16,7 +16,7 @@ CATEGORIES = ("digital_banking", "retirement_pension", "derivatives", "deposit",
 KIND_WORDS = ("상품설명서", "설명서", "약관", "약정서", "계약서", "동의서", "신청서", "확인서", "권유문서", "포트폴리오")
 COMMON_TERMS = (
     "예금", "적금", "대출", "은행", "고객", "계좌", "통장", "이자", "이율", "금리", "신청", "가입", "해지", "거래", "서비스", "상품", "경우", "기간",
-    "지급", "발급", "이용", "확인", "제공", "하나", "하나은행", "본인", "가능", "불가", "해당", "관련", "내용", "사항", "방법", "필요",
+    "지급", "발급", "이용", "확인", "제공", "하나", "본인", "가능", "불가", "해당", "관련", "내용", "사항", "방법", "필요",
 )
 BLANK_PATTERN = r"\(\s*\)|\(\s*%\s*\)|（\s*）|_{3,}|\.{5,}|☐|□"
 LABELS = r"^(?:(?:Q\.|A\.|질문|답변)\s*){1,2}"

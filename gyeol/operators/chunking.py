@@ -52,7 +52,7 @@ def split_by_length(text: Column, target: int | Column = TARGET, longest: int |
     def step(acc: Column, s: Column) -> Column:
         buf, done = acc["buf"], acc["done"]
         flushed = F.when(buf != "", F.concat(done, F.array(buf))).otherwise(done)
-        joined = F.when(buf != "", strip(F.concat(buf, F.lit(" "), s))).otherwise(s)
+        joined = F.when(buf != "", F.concat(buf, F.lit(" "), s)).otherwise(s)  # both are stripped
         tail = F.substr(buf, F.greatest(F.length(buf) - overlap + 1, F.lit(1)), F.lit(overlap)) if overlap else F.lit("")
         carried = F.when(tail != "", strip(F.concat(tail, F.lit(" "), s))).otherwise(s)
         return (
@@ -76,7 +76,7 @@ def pack(pieces: Column, target: int = TARGET) -> Column:
         piece = F.array(F.struct(a["buf"].alias("text"), a["first"].alias("first")))
         return F.struct(
             F.when(full, F.concat(a["done"], piece)).otherwise(a["done"]).alias("done"),
-            F.when(full | (a["buf"] == ""), p).otherwise(strip(F.concat(a["buf"], F.lit("\n"), p))).alias("buf"),
+            F.when(full | (a["buf"] == ""), p).otherwise(F.concat(a["buf"], F.lit("\n"), p)).alias("buf"),
             F.when(full | (a["buf"] == ""), a["i"]).otherwise(a["first"]).alias("first"),
             (a["i"] + 1).alias("i"),
         )

@@ -214,6 +214,7 @@ SQL = {
     "chunk_stats_by_doc": f"WITH {CHUNKS_ONCE} SELECT doc_id, count(*) AS n_chunks, (sum(length(text)) // count(*))::BIGINT AS avg_chars, max(length(text))::INT AS max_chars FROM c WHERE text IS NOT NULL GROUP BY 1",
     "chunk_force_split": rf"""WITH {CHUNKS_ONCE}, p AS (SELECT chunk_id, i, regexp_replace(substr(text, i * 500 + 1, 500), '^{SP}+|{SP}+$', '', 'g') AS piece FROM (SELECT chunk_id, text, unnest(range(0, (length(text) - 1) // 500 + 1)) AS i FROM c WHERE length(text) > 900))
         SELECT chunk_id, (row_number() OVER (PARTITION BY chunk_id ORDER BY i) - 1)::INT AS pos, md5(piece) AS piece_md5 FROM p WHERE length(piece) >= 100""",
+    "sentences_of_chunks": rf"""WITH {CHUNKS_ONCE} SELECT chunk_id, len(list_filter(string_split(regexp_replace(text, '([다요음함][.!?]){SP}+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '[^\s\p{{Z}}\x0b\x{{85}}]')))::INT AS n_sentences FROM c WHERE text IS NOT NULL""",
     "dq_duplicates": f"WITH {_DUP} SELECT doc_id, original, rn > 1 AS is_duplicate FROM du WHERE n > 1",
     "dq_versions": f"""WITH {_DUP}, v AS (SELECT doc_id, effective_date, content_hash, regexp_replace(title || '|' || subtitle, '{SP}+', '', 'g') AS k FROM bank_documents
         WHERE {_IN} AND coalesce(subtitle, '') <> '' AND title IS NOT NULL AND effective_date IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM du WHERE n > 1 AND rn > 1)),

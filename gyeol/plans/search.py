@@ -281,3 +281,15 @@ SQL = {
         s AS (SELECT kind, term, n / total::DOUBLE AS i, CASE WHEN a - total > 0 THEN (df - n) / (a - total)::DOUBLE ELSE 0 END AS o FROM ct JOIN k USING (kind) JOIN (SELECT term, sum(n) AS df FROM ct GROUP BY 1) USING (term), (SELECT sum(total) AS a FROM k) WHERE n >= 10)
         SELECT kind, rank::INT AS rank, term, round(i, 6) AS in_ratio FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round(i - o, 9) DESC, term DESC) AS rank FROM s WHERE i > 0.15 AND i > o * 3) WHERE rank <= 8""",
 }
+
+_MMF = "SELECT *, {a}::DOUBLE * " + _MM.format("ds") + " + {b}::DOUBLE * " + _MM.format("ss") + " AS score FROM ca WINDOW w AS (PARTITION BY query_id)"
+_ZSF = "SELECT *, {a}::DOUBLE * " + _ZS.format("ds") + " + {b}::DOUBLE * " + _ZS.format("ss") + " AS score FROM ca WINDOW w AS (PARTITION BY query_id)"
+_RRF = "SELECT *, coalesce({a}::DOUBLE / (60 + dr), 0) + coalesce({b}::DOUBLE / (60 + sr), 0) AS score FROM ca"
+_GRID = {"dense": ("SELECT *, ds AS score FROM ca WHERE dr IS NOT NULL", ""), "sparse": ("SELECT *, ss AS score FROM ca WHERE sr IS NOT NULL", "")}
+for _a, _b in ((0.3, 0.7), (0.5, 0.5), (0.7, 1 - 0.7)):
+    _GRID |= {f"weighted_{_a}": (_MMF.format(a=_a, b=_b), ""), f"weighted_z_{_a}": (_ZSF.format(a=_a, b=_b), ""), f"rrf_{_a}": (_RRF.format(a=_a, b=_b), "DESC")}
+SQL["fusion_grid"] = f"""{_CANDS}, q AS (SELECT doc_id AS query_id, source, doc_type FROM documents WHERE doc_id % 100 = 0),
+    rl AS (SELECT DISTINCT ca.query_id, ca.id FROM ca JOIN q ON ca.query_id = q.query_id JOIN documents x ON ca.id = x.doc_id WHERE ca.query_id <> ca.id AND q.source = x.source AND q.doc_type = x.doc_type),
+    hits AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS config, query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id {o}) AS rank FROM ({f})" for n, (f, o) in _GRID.items()) + """),
+    fh AS (SELECT config, query_id, min(rank) AS r FROM hits JOIN rl USING (query_id, id) WHERE rank <= 10 GROUP BY 1, 2)
+    SELECT config, count(*) AS n, round(avg((coalesce(r, 99) <= 5)::INT), 4) AS recall_5, round(avg(coalesce(1.0::DOUBLE / r, 0)), 4) AS mrr FROM (SELECT DISTINCT config FROM hits) CROSS JOIN (SELECT query_id FROM q) LEFT JOIN fh USING (config, query_id) GROUP BY 1"""

@@ -83,7 +83,16 @@ _NAME = _CLEAN.replace("trim(n)", "trim(coalesce(doc_display_name, ''))")
 _HEAD = f"concat_ws(' ', nullif(trim({_NAME}), ''), CASE WHEN coalesce(section, '') NOT IN ('', 'FAQ') THEN section END, CASE WHEN coalesce(effective_date, '') <> '' THEN '(' || effective_date || ' 시행)' END)"
 _EV = f", ev AS (SELECT sp.query_id, count(*) AS n, string_agg('[' || sp.rank || '] ' || {_HEAD} || chr(10) || substr(coalesce(text, ''), 1, 700), chr(10) || chr(10) ORDER BY sp.rank) AS block, bool_or(NOT coalesce(metadata.is_latest, true)) AS old FROM sp JOIN c ON sp.id = c.chunk_id WHERE sp.rank <= 3 GROUP BY 1)"
 
+_BARE = lambda c: f"regexp_replace(regexp_replace(trim({c}), '{K.TAILS}', ''), '^[ –—·-]+|[ –—·-]+$', '', 'g')"
+
 SQL = {
+    "catalog_entries": f"""WITH t AS (SELECT *, trim(coalesce(title, '')) AS t FROM bank_documents WHERE coalesce(doc_type, '') <> 'FAQ'),
+        h AS (SELECT *, CASE WHEN contains(t, ' - ') THEN substr(t, 1, instr(t, ' - ') - 1) ELSE t END AS head, CASE WHEN contains(t, ' - ') THEN trim(substr(t, instr(t, ' - ') + 3)) ELSE '' END AS tail FROM t),
+        n AS (SELECT *, {_BARE('head')} AS bh, CASE WHEN regexp_matches(tail, '^[^(:][^:]{{0,23}}$') AND len(regexp_extract_all(tail, '[0-9]')) <= length(tail) * 0.3 THEN {_BARE('tail')} ELSE '' END AS bt, trim(regexp_extract(t, '{K.QUOTED}', 1)) AS quoted FROM h),
+        p AS (SELECT *, CASE WHEN quoted <> '' THEN quoted WHEN length(bt) > length(bh) THEN bt ELSE bh END AS name,
+          CASE WHEN NOT coalesce(is_parsable, false) THEN 'skipped_unparsable' WHEN NOT coalesce(is_latest, false) THEN 'skipped_old' WHEN t = '' THEN 'skipped_untitled' WHEN CASE WHEN quoted <> '' THEN quoted WHEN length(bt) > length(bh) THEN bt ELSE bh END = '' THEN 'skipped_unnamed'
+          WHEN (doc_type = '약관' AND contains(title, '약관')) OR regexp_matches(title, '기본약관|이용약관') THEN 'general' WHEN quoted <> '' THEN 'product' ELSE 'family' END AS bucket FROM n),
+        r AS (SELECT doc_id, bucket, CASE WHEN bucket = 'general' THEN category WHEN NOT starts_with(bucket, 'skipped') THEN name END AS name, doc_type, category FROM p) SELECT doc_id, bucket, name, {_KEY.format('name')} AS key, doc_type, category FROM r""",
     "catalog_match": f"""WITH q AS (SELECT DISTINCT name, {_KEY.format('name')} AS k FROM (SELECT unnest([regexp_extract(title, '[『「](.+?)[』」]', 1), title]) AS name FROM registry_snapshots WHERE title IS NOT NULL) WHERE name <> ''),
         e AS (SELECT k, min(doc_id) AS doc_id FROM (SELECT doc_id, {_KEY.format('title')} AS k FROM bank_documents WHERE doc_type <> 'FAQ' AND is_latest) WHERE k <> '' GROUP BY 1),
         x AS (SELECT q.name, min(e.doc_id) AS near_id, count(*) AS n FROM q JOIN e ON length(q.k) >= 4 AND length(e.k) >= 4 AND (contains(e.k, q.k) OR contains(q.k, e.k)) GROUP BY 1)

@@ -192,5 +192,7 @@ SQL = {
         g AS (SELECT doc_id, {_GRAMS.format('t')} AS a, {_GRAMS.format('s')} AS b FROM n)
         SELECT doc_id, len(a)::INT AS n_title, len(b)::INT AS n_subtitle, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b))::DOUBLE ELSE 0 END, 6) AS overlap FROM g""",
     "f_faq_clean": f"SELECT DISTINCT faq_id, {_FAQ('question')} AS question_clean, length({_FAQ('answer')})::INT AS answer_chars FROM faq_records",
+    "f_sentences": rf"""WITH s AS (SELECT faq_id, list_filter(list_transform(string_split(regexp_replace(answer, '([.!?]){SP}+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^{SP}+|{SP}+$', '', 'g')), lambda x: length(x) > 5) AS l FROM (SELECT DISTINCT faq_id, answer FROM faq_records))
+        SELECT faq_id, (generate_subscripts(l, 1) - 1)::INT AS pos, unnest(l) AS sentence FROM s""",
     "f_cache_key": "WITH k AS (SELECT *, substr(sha256('model|prompt|' || question), 1, 24) AS key FROM retrieval_eval) SELECT query_id, key FROM k WHERE key NOT IN (SELECT key FROM k WHERE difficulty = 'easy')",
 }

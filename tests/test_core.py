@@ -287,8 +287,8 @@ def test_catalog_matching(spark):
     asked = spark.createDataFrame([("별빛 적금",), ("나의 별빛적금플러스 통장",), ("별빛적금플",), ("환전 지갑",), ("없는 상품",), ("!!",)], "name string")
     got = {r.name: (r.status, r.doc_id) for r in catalog.match_names(asked, e).collect()}
     assert got == {"별빛 적금": ("covered", "d1"), "나의 별빛적금플러스 통장": ("ambiguous", "d1"), "별빛적금플": ("ambiguous", "d1"), "환전 지갑": ("unmatched", None), "없는 상품": ("unmatched", None), "!!": ("none", None)}
-    pairs = spark.createDataFrame([("청년 통장", "청년통장 설명서"), ("하나은행 적금", "하나은행 예금"), ("입출금", "입출금이 자유로운"), ("적금", "자유적금")], "a string, b string")
-    same = [r[0] for r in pairs.select(catalog.same_product(F.col("a"), F.col("b"), F.array(F.lit("하나은행")))).collect()]
+    pairs = spark.createDataFrame([("청년 통장", "청년통장 설명서"), ("나래은행 적금", "나래은행 예금"), ("입출금", "입출금이 자유로운"), ("적금", "자유적금")], "a string, b string")
+    same = [r[0] for r in pairs.select(catalog.same_product(F.col("a"), F.col("b"), F.array(F.lit("나래은행")))).collect()]
     assert same == [True, False, True, True]
     keys = ["가나", "가나다", "라", "", "나"]
     assert spark.range(1).select(catalog.n_distinct_products(F.array(*map(F.lit, keys)))).collect()[0][0] == 3
