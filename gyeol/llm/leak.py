@@ -1,8 +1,9 @@
 """Held-out evaluation passages inside a corpus, by canonical templates.
 
 A text is reduced to letters and digits (NFC, letter case ignored). Numbers with their unit, currency
-codes and month names become typed placeholders; every other character stands for itself. Windows of
-WINDOW such symbols are hashed; those of the corpus that are also windows of an item are the join.
+codes, month names and any names given become typed placeholders; every other character stands for
+itself. Windows of WINDOW such symbols are hashed; those of the corpus that are also windows of an item
+are the join.
 The slots of a joined window are then compared: equal slots are a verbatim seed, which is extended
 on the texts to the whole run in common; slots that differ, but consistently (one value of the item
 is always the same value in the document), are a re-parameterised copy.
@@ -20,8 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +49,6 @@ MONTHS = ("january", "february", "march", "april", "june", "july", "august", "se
 
 _TYPE = {u: t for t, us in UNITS.items() for u in us}
 _UNIT = "|".join(sorted(_TYPE, key=lambda u: (-len(u), u)))
-_SLOT = re.compile(rf"([0-9]+)({_UNIT})?|({'|'.join(CURRENCIES)})|({'|'.join(MONTHS)})")
 _DROP = re.compile(r"[\W_]+")
 _BASE = 0x200000  # placeholders lie above all characters
 
@@ -59,13 +58,19 @@ def normal(text: str) -> str:
     return _DROP.sub("", unicodedata.normalize("NFC", text).lower())
 
 
-def symbols(s: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def slots(names: Sequence[str] = ()) -> re.Pattern:
+    """What placeholders stand for: numbers with a unit, currencies, months, and the names given."""
+    named = "|".join(sorted((re.escape(normal(n)) for n in names if normal(n)), key=lambda n: (-len(n), n))) or "(?!)"
+    return re.compile(rf"([0-9]+)({_UNIT})?|({'|'.join(CURRENCIES)})|({'|'.join(MONTHS)})|({named})")
+
+
+def symbols(s: str, slot: re.Pattern) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes of the symbols, where each begins in s with the end added, code of each character)."""
     cp = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     keep, code = np.ones(len(cp), bool), cp.copy()
-    for m in _SLOT.finditer(s):
+    for m in slot.finditer(s):
         a, b = m.span()
-        code[a] = _BASE + (_TYPE[m[2]] if m[2] else 0 if m[1] else 8 if m[3] else 9)
+        code[a] = _BASE + (_TYPE[m[2]] if m[2] else 0 if m[1] else 8 if m[3] else 9 if m[4] else 10)
         keep[a + 1 : b] = False
     at = np.flatnonzero(keep)
     return code[at], np.append(at, len(cp)), cp
@@ -85,9 +90,9 @@ def _hashes(codes: np.ndarray, width: int, at: np.ndarray | None = None) -> np.n
     return (h ^ (h >> np.uint64(32))) * _M
 
 
-def windows(s: str, everywhere: bool) -> tuple[np.ndarray, np.ndarray]:
+def windows(s: str, everywhere: bool, slot: re.Pattern) -> tuple[np.ndarray, np.ndarray]:
     """(hash, place in s) of all windows; of the second kind those where symbols are sparse, or all."""
-    codes, at, cp = symbols(s)
+    codes, at, cp = symbols(s, slot)
     h1, p1 = _hashes(codes, WINDOW), at[: max(len(codes) - WINDOW + 1, 0)]
     if len(cp) < SPAN:
         return h1, p1
@@ -104,12 +109,13 @@ def windows(s: str, everywhere: bool) -> tuple[np.ndarray, np.ndarray]:
 class Items:
     """The windows of a block of items."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
+    def __init__(self, rows: list[tuple[str, str]], names: Sequence[str] = ()):
+        self.slot = slots(names)
         self.ids = [k for k, _ in rows]
         self.texts = [normal(t) for _, t in rows]
         hs, who, where = [], [], []
         for i, s in enumerate(self.texts):
-            h, p = windows(s, True)
+            h, p = windows(s, True, self.slot)
             hs.append(h)
             who.append(np.full(len(h), i))
             where.append(p)
@@ -120,11 +126,10 @@ class Items:
         self.where = np.concatenate(where)[o] if hs else np.empty(0, int)
         self.bits = np.zeros(1 << BITS, bool)
         self.bits[self.h >> np.uint64(64 - BITS)] = True
-        self.slots = [[(m.start(), m.end()) for m in _SLOT.finditer(s)] for s in self.texts]
 
     def hits(self, s: str):
         """(place in s, item, place in the item) of every window in common."""
-        h, p = windows(s, False)
+        h, p = windows(s, False, self.slot)
         near = np.flatnonzero(self.bits[h >> np.uint64(64 - BITS)])
         if not len(near):
             return
@@ -167,12 +172,12 @@ def reworded_of(s: str, items: Items, symbols_min: int) -> dict[int, tuple[int,
     slots: item -> (symbols, slots, slots that differ) of the longest."""
     found: dict[int, tuple[int, int, int]] = {}
     seen: set[tuple[int, int]] = set()
-    codes, at, _ = symbols(s)
+    codes, at, _ = symbols(s, items.slot)
     index = {int(x): k for k, x in enumerate(at[:-1])}
     cache: dict[int, tuple] = {}
     for i, who, j in items.hits(s):
         if who not in cache:
-            c, a, _ = symbols(items.texts[who])
+            c, a, _ = symbols(items.texts[who], items.slot)
             cache[who] = (c, a, {int(x): k for k, x in enumerate(a[:-1])})
         c, a, where = cache[who]
         if i not in index or j not in where:
@@ -233,29 +238,29 @@ def _scan_reworded(items, symbols_min: int):
     return go
 
 
-def _blocks(items: DataFrame, item_col: str, passage_col: str):
+def _blocks(items: DataFrame, item_col: str, passage_col: str, names: Sequence[str]):
     """The query set in broadcast blocks of bounded size."""
     rows: list[tuple[str, str]] = []
     kept = items.where(F.col(item_col).isNotNull() & F.col(passage_col).isNotNull()).select(F.col(item_col).cast("string"), passage_col).distinct()
     for r in kept.toLocalIterator():
         rows.append((r[0], r[1]))
         if len(rows) == BLOCK_ITEMS:
-            yield Items(rows)
+            yield Items(rows, names)
             rows = []
     if rows:
-        yield Items(rows)
+        yield Items(rows, names)
 
 
-def leaked_items(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str = "item_id", passage_col: str = "passage", run: int = RUN) -> DataFrame:
+def leaked_items(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str = "item_id", passage_col: str = "passage", run: int = RUN, names: Sequence[str] = ()) -> DataFrame:
     """id, item_id, run_chars: documents with an unbroken run of at least `run` letters and digits of
-    an item's passage, with the longest. Null and short texts have none; repeated rows count once."""
+    an item's passage, with the longest. `names` (of products, people) become placeholders too. Null and short texts have none; repeated rows count once."""
     if run < RUN:
         raise ValueError(f"windows are laid out for runs of {RUN} or more")
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     schema, out = f"id {kind}, item_id string, run_chars int", None
-    for block in _blocks(items, item_col, passage_col):
+    for block in _blocks(items, item_col, passage_col, names):
         part = src.mapInArrow(_scan(spark.sparkContext.broadcast(block), run), schema)
         out = part if out is None else out.union(part)
     if out is None:
@@ -263,14 +268,14 @@ def leaked_items(docs: DataFrame, id_col: str, text_col: str, items: DataFrame,
     return out.groupBy("id", "item_id").agg(F.max("run_chars").alias("run_chars")).withColumnRenamed("id", id_col)
 
 
-def reworded_items(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str = "item_id", passage_col: str = "passage", symbols_min: int = 60) -> DataFrame:
+def reworded_items(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str = "item_id", passage_col: str = "passage", symbols_min: int = 60, names: Sequence[str] = ()) -> DataFrame:
     """id, item_id, symbols, slots, differing: documents that hold a stretch of an item with other
     numbers, units or names in its slots, each value replaced consistently."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     schema, out = f"id {kind}, item_id string, symbols int, slots int, differing int", None
-    for block in _blocks(items, item_col, passage_col):
+    for block in _blocks(items, item_col, passage_col, names):
         part = src.mapInArrow(_scan_reworded(spark.sparkContext.broadcast(block), symbols_min), schema)
         out = part if out is None else out.union(part)
     if out is None:

@@ -320,17 +320,31 @@ def language(col: Column) -> Column:
     return out.otherwise(s)
 
 
+def _most_frequent(lengths: DataFrame, hot: int) -> DataFrame:
+    """The pieces of the highest frequency classes, as many classes as hold at most `hot` pieces: found
+    from the sizes of a few hundred classes, without sorting pieces."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    sizes = sorted(((r.level, r.k) for r in lengths.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    least, total = None, 0
+    for lv, k in sizes:
+        total += k
+        if total > hot:
+            break
+        least = lv
+    return lengths.where(level >= least) if least is not None else lengths.limit(0)
+
+
 def token_counts(df: DataFrame, keys: list[str], text_col: str = "text", path: str | None = None, hot: int = HOT_PIECES) -> DataFrame:
     """keys..., n_chars, n_tokens: exact, one row per row of df; null and empty texts have 0.
 
-    Each distinct piece of the corpus is tokenized once. The lengths of the `hot` most frequent
-    pieces, a bounded number, are broadcast; texts' other pieces are joined to theirs by shuffle.
+    Each distinct piece of the corpus is tokenized once. The lengths of at most `hot`
+    pieces, the most frequent, are broadcast; texts' other pieces are joined to theirs by shuffle.
     """
     path, spark = path or vocabulary(), df.sparkSession
     src = df.select(F.monotonically_increasing_id().alias("_uid"), *keys, F.col(text_col).alias("text"))
     found = src.select("text").mapInArrow(_pieces(path), "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
     lengths = materialize(found.mapInArrow(_piece_lengths(path), "piece string, n bigint, len int"), "pieces")
-    top = lengths.orderBy(F.desc("n"), "piece").limit(hot).select("piece", "len").toArrow()
+    top = _most_frequent(lengths, hot).select("piece", "len").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column("piece").to_pylist(), top.column("len").to_pylist())))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.drop("text").schema)
     counted = materialize(src.mapInArrow(_count_known(known), f"{kept}, n_chars bigint, known bigint, rare array<struct<piece:string,k:bigint>>"), "counted")

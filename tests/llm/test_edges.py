@@ -172,6 +172,16 @@ def test_leaks(spark):
     assert leak.leaked_items(df, "id", "text", items.limit(0)).count() == 0
 
 
+def test_names_are_slots(spark):
+    text = "{0}의 계좌를 해지하려는 {1} 고객에게 창구 직원이 알려야 할 내용은 약관에 적혀 있으며 서면으로 다시 확인하여야 하고 그 밖의 절차는 따로 정한 바에 따른다"
+    items = spark.createDataFrame([("i", text.format("별빛적금", "김나래"))], "item_id string, passage string")
+    docs = table(spark, [("d", text.format("달빛 예금", "박소담")), ("odd", text.format("달빛예금", "달빛예금"))])
+    names = ["별빛 적금", "달빛 예금", "김나래", "박소담"]
+    assert leak.reworded_items(docs, "id", "text", items, symbols_min=50).where("symbols > 60").count() == 0
+    got = {r.id: r.differing for r in leak.reworded_items(docs, "id", "text", items, symbols_min=50, names=names).collect()}
+    assert got["d"] == 2
+
+
 def test_no_run_is_missed():
     import random
 
