@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from gyeol.functions import text as T
 from gyeol.operators import answer as A
 from gyeol.operators import catalog as K
-from gyeol.plans.gate import _DECIDED, _JUDGED, gate_decisions
+from gyeol.operators import encode as E
+from gyeol.operators import gate as G
+from gyeol.operators import retrieval as R
+from gyeol.plans.gate import _DECIDED, _JUDGED, _verdicts, gate_decisions
 from gyeol.plans.search import _CHUNK_INDEX, _QUESTIONS, _sparse, chunk_hits
-from gyeol.plans.text import _CLEAN, SP, chunks_once
+from gyeol.plans.text import _CLEAN, SP, chunks_once, labels_long
+from gyeol.session import materialize
 from gyeol.sources.tables import table
 from gyeol.streaming import ingest as S
 
@@ -65,17 +69,49 @@ def answer_support(spark: SparkSession, d: str) -> DataFrame:
     return A.sentence_support(v)
 
 
+DIM = 256
+
+
+def pipeline_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted fusion of hashed vectors and BM25 over chunks for the questions of retrieval_eval."""
+    c = chunks_once(spark, d, "doc_display_name", "section", "text")
+    text = T.indexable_text(F.col("doc_display_name"), F.col("section"), F.col("text"))
+    vectors = E.encode_texts(c.select("chunk_id", text.alias("t")), "chunk_id", "t", E.hashing_encoder(DIM), DIM)
+    asked = E.encode_texts(table(spark, d, "retrieval_eval"), "query_id", "question", E.hashing_encoder(DIM), DIM)
+    dense = R.dense_search(vectors, "id", "vector", asked, "id", "vector", 100)
+    return R.fuse_weighted(R.candidates(dense, chunk_hits(spark, d, 100)), 0.5, 10)
+
+
+def pipeline_answers(spark: SparkSession, d: str) -> DataFrame:
+    """From question to answer: retrieval, rules, signals, cached verdicts, evidence."""
+    hits = materialize(pipeline_hits(spark, d).select("query_id", "id", "rank", "score"), "hits")
+    c = chunks_once(spark, d, *EVIDENCE)
+    q = table(spark, d, "retrieval_eval").select("query_id", "question")
+    s = G.signals(q, hits, c.select(F.col("chunk_id").alias("id"), "text"))
+    decided = G.judge(s, _verdicts(spark, d), 0.75, 0.08, 0.2)
+    return A.build_answers(decided, A.evidence(hits, c)).select("query_id", "decision", "stage", "reason", "n_evidence", "has_old", "json")
+
+
+def pipeline_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the fused search by document, overall and by difficulty."""
+    q = table(spark, d, "retrieval_eval").select("query_id", "difficulty", "doc_type")
+    hits = R.collapse_to_docs(pipeline_hits(spark, d), T.chunk_to_doc(F.col("id")))
+    relevant = labels_long(spark, d).select("query_id", T.chunk_to_doc(F.col("chunk_id")).alias("id")).distinct()
+    return R.averaged(R.per_query(q, relevant, hits), ["difficulty", "doc_type"], ("recall_1", "recall_5", "recall_10", "rr", "ndcg_10"))
+
+
 def stream_new_faq(spark: SparkSession, d: str) -> DataFrame:
     return S.run_to_table(S.new_faq(S.file_stream(spark, d, "faq_records")), "faq")
 
 
 def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
-    return S.run_to_table(S.event_windows(S.file_stream(spark, d, "events")), "events")
+    w = S.run_to_table(S.event_windows(S.file_stream(spark, d, "events")), "events")
+    return w.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 QUERIES = {
     "catalog_entries": catalog_entries, "catalog_match": catalog_match, "catalog_generic": catalog_generic, "answer_evidence": answer_evidence, "answer_batch": answer_batch,
-    "answer_missing_calls": answer_missing_calls, "answer_support": answer_support, "stream_new_faq": stream_new_faq, "stream_event_windows": stream_event_windows,
+    "answer_missing_calls": answer_missing_calls, "answer_support": answer_support, "pipeline_answers": pipeline_answers, "pipeline_quality": pipeline_quality, "stream_new_faq": stream_new_faq, "stream_event_windows": stream_event_windows,
 }
 
 _KEY = "regexp_replace(lower(coalesce({0}, '')), '[^0-9a-z가-힣]', '', 'g')"
@@ -103,5 +139,5 @@ SQL = {
     "answer_missing_calls": "WITH k AS (SELECT *, substr(sha256('m|' || question), 1, 24) AS key FROM retrieval_eval) SELECT query_id, key FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_type = '약관')",
     "answer_support": "WITH f AS (SELECT faq_id, max(struct_pack(a := answer, q := question)) AS r FROM faq_records GROUP BY 1), s AS (SELECT faq_id AS id, r.q AS q, unnest(list_filter(string_split(r.a, chr(10)), lambda x: length(x) > 5)) AS s FROM f) SELECT id, count(*) AS n_sentences, count(*) FILTER (NOT contains(q, substr(s, 1, 2))) AS n_unsupported, bool_or(NOT contains(q, substr(s, 1, 2))) AS hallucinated FROM s GROUP BY 1",
     "stream_new_faq": f"SELECT DISTINCT sha256(regexp_replace(concat_ws(chr(10), question, answer), '{SP}+', '', 'g')) AS content_hash, length(regexp_replace(concat_ws(chr(10), question, answer), '{SP}+', '', 'g'))::INT AS n_chars FROM faq_records",
-    "stream_event_windows": "WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) SELECT * FROM w WHERE window_start + INTERVAL '1 hour' <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10 minutes' FROM events)",
+    "stream_event_windows": "WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n, total FROM w WHERE window_start + INTERVAL '1 hour' <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10 minutes' FROM events)",
 }

@@ -423,3 +423,17 @@ def test_stores(spark, tmp_path):
     q = retrieval.query_terms(spark.createDataFrame([("q", "이자")], "query_id string, q string"), "query_id", T.word_tokens(F.col("q")))
     assert [r.id for r in retrieval.bm25_search(store.load_sparse(spark, str(tmp_path / "s")), q, 3).collect()] == ["a"]
     assert store.index_name("x/chunks.jsonl") == "base" and store.index_name("chunks_structural.jsonl") == "structural"
+
+
+def test_encoders(spark):
+    import numpy as np
+
+    from gyeol.operators import encode
+
+    df = spark.createDataFrame([("a", "예금 이자"), ("b", "예금이자"), ("c", ""), ("d", None), ("e", "대출")], "k string, t string")
+    got = {r.id: np.array(r.vector) for r in encode.encode_texts(df, "k", "t", encode.hashing_encoder(64), 64).collect()}
+    assert set(got) == set("abce") and np.allclose(got["a"], got["b"]) and not got["c"].any() and abs(np.linalg.norm(got["e"]) - 1) < 1e-6
+    with pytest.raises(Exception, match="columns are due"):
+        encode.encode_texts(df, "k", "t", encode.hashing_encoder(32), 64).collect()
+    n = {r.id: r.n_tokens for r in encode.token_numbers(df, "k", "t", lambda: lambda texts: [len(t.split()) for t in texts]).collect()}
+    assert n == {"a": 2, "b": 1, "c": 0, "d": 0, "e": 1}
