@@ -30,7 +30,7 @@ BROADCAST_WEIGHTS = 500_000
 def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """id, term, tf and the length dl of the document, partitioned by id."""
     t = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).repartition("id")
-    rows = t.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    rows = t.select("id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where("term is not null")  # explode itself would tokenize a second time, in a filter
     return rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 

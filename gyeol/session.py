@@ -62,3 +62,10 @@ def drop_materialized(df: DataFrame) -> None:
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
         if "/gyeol-" in f and f.startswith("file:"):
             shutil.rmtree("/" + f.removeprefix("file:").lstrip("/"), ignore_errors=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a few files give fewer partitions than there are cores. What comes in so
+    few partitions is cheap to move; other tables stay as they are read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
