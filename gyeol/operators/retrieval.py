@@ -3,7 +3,8 @@
 Sparse: an inverted index is three tables (postings, document frequencies, lengths); a search is an
 equi join on terms. Postings are partitioned by document once; the weights of the queries' terms, few
 beside them, are broadcast after a check of their number, so that the sum per query and document needs
-no further shuffle, and only the best k of each partition leave it.
+no further shuffle. The search for the k best of a bounded query set goes further: Arrow batches of
+token arrays are scored by numpy against all queries, and only the best leave a task.
 Dense: the query set goes through in blocks of bounded size; each block is one matrix product per
 batch of vectors, of which only the best k leave. Top-k windows are limited before their shuffle.
 """
@@ -14,6 +15,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,8 +37,8 @@ def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25_index(docs: DataFrame, id_col: str, tokens: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, df with idf, stats): Okapi BM25; an idf below zero becomes `IDF_FLOOR` times the
+def bm25_index(docs: DataFrame, id_col: str, tokens: Column) -> tuple[DataFrame, ...]:
+    """(postings, df with idf, stats, tokens per document): Okapi BM25; an idf below zero becomes `IDF_FLOOR` times the
     mean idf, the mean being over the values as they were."""
     p = postings(docs, id_col, tokens)
     sizes = docs.select(F.size(tokens).cast("double").alias("dl"))
@@ -44,7 +47,7 @@ def bm25_index(docs: DataFrame, id_col: str, tokens: Column) -> tuple[DataFrame,
     raw = df.crossJoin(F.broadcast(stats)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean_idf") * IDF_FLOOR).otherwise(F.col("raw")).alias("idf"))
-    return p, idf, stats
+    return p, idf, stats, docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"))
 
 
 def query_terms(queries: DataFrame, query_col: str, tokens: Column) -> DataFrame:
@@ -53,9 +56,9 @@ def query_terms(queries: DataFrame, query_col: str, tokens: Column) -> DataFrame
     return q.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_scores(index: tuple[DataFrame, ...], terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, id, score for every pair with a term in common."""
-    p, idf, stats = index
+    p, idf, stats = index[:3]
     weights = terms.join(idf.select("term", "idf"), "term")
     few = terms.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS
     tf = F.col("tf").cast("double")
@@ -71,9 +74,92 @@ def top_k(scores: DataFrame, k: int, by: Sequence[str] = ("query_id",), score: s
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], terms: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank; scores of zero or less are dropped after the top k."""
-    return top_k(bm25_scores(index, terms), k).where("score > 0")
+class _Weights:
+    """The terms of a query set: for each the queries that hold it and its weight in them."""
+
+    def __init__(self, rows: pa.Table, avgdl: float, k1: float, b: float):
+        self.avgdl, self.k1, self.b = avgdl, k1, b
+        term, query = rows.column("term").combine_chunks().dictionary_encode(), rows.column("query_id").combine_chunks().dictionary_encode()
+        self.terms, self.queries = term.dictionary, query.dictionary
+        t = term.indices.to_numpy()
+        order = np.argsort(t, kind="stable")
+        self.at = np.searchsorted(t[order], np.arange(len(self.terms) + 1))
+        self.query = query.indices.to_numpy()[order].astype(np.int64)
+        self.weight = (rows.column("idf").to_numpy() * rows.column("qf").to_numpy())[order]
+
+
+def _best(k: int, weights):
+    """From documents as token arrays: for each query those among the k best of the task, ties kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights.value
+        nq, nt = len(w.queries), len(w.terms)
+        floor = np.full(nq, -np.inf)
+        q_all, s_all, id_all, held = [], [], [], 0
+
+        def compact():
+            nonlocal q_all, s_all, id_all, held
+            q, s, ids = np.concatenate(q_all), np.concatenate(s_all), pa.concat_arrays(id_all)
+            order = np.lexsort((-s, q))
+            q, s = q[order], s[order]
+            first = np.searchsorted(q, np.arange(nq + 1))
+            kth = first[:-1] + k - 1
+            full = kth < first[1:]
+            floor[full] = np.round(s[kth[full]], 9)
+            keep = np.round(s, 9) >= floor[q]
+            q_all, s_all, id_all, held = [q[keep]], [s[keep]], [ids.take(pa.array(order[keep]))], int(keep.sum())
+
+        for batch in batches:
+            ids, tokens = batch.column("id"), batch.column("tokens")
+            dl = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            term = pc.fill_null(pc.index_in(tokens.flatten(), value_set=w.terms), -1).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(dl)), dl)[term >= 0]
+            pair, tf = np.unique(doc * nt + term[term >= 0], return_counts=True)
+            doc, term = pair // nt, pair % nt
+            part = tf * (w.k1 + 1) / (tf + w.k1 * (1 - w.b + w.b * dl[doc] / w.avgdl))
+            step = max(1, 2_000_000 // nq)
+            for lo in range(0, len(dl), step):
+                a, b = np.searchsorted(doc, (lo, lo + step))
+                n = w.at[term[a:b] + 1] - w.at[term[a:b]]
+                if not n.sum():
+                    continue
+                ends = np.cumsum(n)
+                place = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(w.at[term[a:b]], n)
+                cell = np.repeat(doc[a:b] - lo, n) * nq + w.query[place]
+                score = np.bincount(cell, np.repeat(part[a:b], n) * w.weight[place], step * nq)
+                score = np.where(np.bincount(cell, minlength=step * nq) > 0, score, -np.inf).reshape(step, nq)
+                d, q = np.nonzero((np.round(score, 9) >= floor) & (score > 0))
+                q_all.append(q)
+                s_all.append(score[d, q])
+                id_all.append(ids.take(pa.array(d + lo)))
+                held += len(d)
+                if held > 3_000_000:
+                    compact()
+        if held:
+            compact()
+            for lo in range(0, held, 200_000):
+                cut = slice(lo, lo + 200_000)
+                yield pa.RecordBatch.from_arrays([w.queries.take(pa.array(q_all[0][cut])), id_all[0][cut], pa.array(s_all[0][cut])], ["query_id", "id", "score"])
+
+    return run
+
+
+def bm25_search(index: tuple[DataFrame, ...], terms: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, id, score, rank; scores of zero or less are dropped after the top k.
+
+    With a query set of a bounded number of terms and the tokens at hand, each task scores its
+    documents against all queries and lets only the k best of each leave: the pairs of query and
+    document, far more than all else, never become rows. Otherwise terms are joined by shuffle."""
+    if len(index) < 4 or terms.limit(BROADCAST_WEIGHTS + 1).count() > BROADCAST_WEIGHTS:
+        return top_k(bm25_scores(index, terms, k1, b), k).where("score > 0")
+    _, idf, stats, tokens = index
+    spark = tokens.sparkSession
+    schema = f"query_id {terms.schema['query_id'].dataType.simpleString()}, id {tokens.schema['id'].dataType.simpleString()}, score double"
+    rows = terms.join(idf.select("term", "idf"), "term").select("query_id", "term", "qf", "idf").toArrow()
+    if not rows.num_rows:
+        return top_k(spark.createDataFrame([], schema), k)
+    weights = spark.sparkContext.broadcast(_Weights(rows, stats.first().avgdl, k1, b))
+    return top_k(tokens.mapInArrow(_best(k, weights), schema), k)
 
 
 # Dense

@@ -201,6 +201,20 @@ def test_bm25_by_hand(spark):
     assert [r["rank"] for r in sorted(got, key=lambda r: r["rank"])] == list(range(1, len(got) + 1))
 
 
+def test_both_ways_of_searching_agree(spark):
+    rng = random.Random(2)
+    words = [f"말{i}" for i in range(40)]
+    docs = [(f"d{i:04}", " ".join(rng.choices(words, k=rng.randrange(12)))) for i in range(700)] + [("n", None)]
+    df = spark.createDataFrame(docs, "id string, t string").repartition(5)
+    q = spark.createDataFrame([(i, " ".join(rng.choices(words, k=4))) for i in range(30)] + [(99, "없음")], "query_id int, q string")
+    index, terms = retrieval.bm25_index(df, "id", T.word_tokens(F.col("t"))), retrieval.query_terms(q, "query_id", T.word_tokens(F.col("q")))
+    show = lambda x: {(r.query_id, r.id, r["rank"], round(r.score, 9)) for r in x.collect()}
+    for k in (1, 7, 1000):
+        assert show(retrieval.bm25_search(index, terms, k)) == show(retrieval.bm25_search(index[:3], terms, k))
+    assert retrieval.bm25_search(index, terms.limit(0), 3).count() == 0
+    assert retrieval.bm25_search(retrieval.bm25_index(df.limit(0), "id", T.word_tokens(F.col("t"))), terms, 3).count() == 0
+
+
 def test_fusion_edges(spark):
     d = spark.createDataFrame([("q", "a", 1, 0.9), ("q", "b", 2, 0.5)], "query_id string, id string, rank int, score double")
     s = spark.createDataFrame([("q", "b", 1, 3.0), ("q", "c", 2, 3.0), ("p", "z", 1, 1.0)], "query_id string, id string, rank int, score double")
