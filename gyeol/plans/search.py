@@ -41,7 +41,7 @@ def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
     """Document frequency and idf of every term."""
-    _, idf, _ = chunk_index(spark, d)
+    idf = chunk_index(spark, d)[1]
     return idf.select("term", F.col("df").cast("bigint").alias("df"), F.round("idf", 6).alias("idf"))
 
 
