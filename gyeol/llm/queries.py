@@ -20,7 +20,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_documents(_parsable(spark, d), "doc_id")
+    """The pieces of every document with a text, also of those that aren't parsable."""
+    return split.split_documents(table(spark, d, "bank_documents").select("doc_id", "text", "structure"), "doc_id")
 
 
 def _positions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -67,6 +67,17 @@ def test_p1_chunks(spark):
         assert all(i in seen[doc] for i, c in enumerate(t) if not c.isspace()), doc
 
 
+def test_p1_chunks_of_every_document(spark):
+    b = pq(MEDIUM, "bank_documents", "doc_id", "text", "is_parsable")
+    b = b[b.text.fillna("").str.strip() != ""]
+    seen = defaultdict(set)
+    for r in q.p1_chunks(spark, MEDIUM).collect():
+        seen[r.doc_id].update(range(r.start, r.start + len(r.text)))
+    assert set(seen) == set(b.doc_id) and not b.is_parsable.fillna(False).astype(bool).all()
+    for r in b.itertuples():
+        assert all(i in seen[r.doc_id] for i, c in enumerate(r.text) if not c.isspace()), r.doc_id
+
+
 def test_p5_pairs(spark):
     c = pq(MEDIUM, "chunks", "chunk_id", "text").dropna().drop_duplicates("chunk_id")
     c["s"] = ["".join(t.lower().split()) for t in c.text]
