@@ -128,11 +128,12 @@ class Items:
         self.bits[self.h >> np.uint64(64 - BITS)] = True
 
     def hits(self, s: str):
-        """(place in s, item, place in the item) of every window in common."""
+        """(place in s, item, place in the item) of every window in common, by place in s."""
         h, p = windows(s, False, self.slot)
         near = np.flatnonzero(self.bits[h >> np.uint64(64 - BITS)])
         if not len(near):
             return
+        near = near[np.argsort(p[near], kind="stable")]  # both kinds of windows together
         lo, hi = np.searchsorted(self.h, h[near], "left"), np.searchsorted(self.h, h[near], "right")
         for place, a, b in zip(p[near].tolist(), lo.tolist(), hi.tolist()):
             for k in range(a, b):

@@ -195,6 +195,13 @@ def test_no_run_is_missed():
         assert leak.leaks_of(s, leak.Items([("i", t)]), 50).get("i", leak.leaks_of(s, leak.Items([("i", t)]), 50).get(0, 0)) >= 50, (s, t)
 
 
+def test_two_runs_on_one_diagonal():
+    digits = "".join(str(pow(3, k + 1, 101) % 10) for k in range(55))
+    tail = leak.normal("고객은 창구에서 서면으로 뜻을 밝히고 은행은 이를 장부에 적어")
+    s, t = "가나" + digits + "다" + tail, "가나" + digits + "라" + tail
+    assert leak.leaks_of(s, leak.Items([("i", t)]), 50) == {0: 57}
+
+
 # Residue
 
 
