@@ -33,6 +33,7 @@ WINDOW = 16
 SPAN = 25
 SPARSE = 11  # symbols in SPAN characters up to which windows of the second kind are made
 BLOCK_ITEMS = 20_000
+MAX_NAMES = 200_000  # up to which names are broadcast as one pattern
 BITS = 22
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -58,9 +59,28 @@ def normal(text: str) -> str:
     return _DROP.sub("", unicodedata.normalize("NFC", text).lower())
 
 
+def _either(words: Sequence[str]) -> str:
+    """A pattern of all words, the longest first, with common beginnings written once, so that a place
+    is left after a few characters however many words there are."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def write(node: dict) -> str:
+        ways = [re.escape(c) + write(n) for c, n in sorted(node.items()) if c]
+        if not ways:
+            return ""
+        return f"(?:{'|'.join(ways)})" + ("?" if "" in node else "")
+
+    return write(root) or "(?!)"
+
+
 def slots(names: Sequence[str] = ()) -> re.Pattern:
     """What placeholders stand for: numbers with a unit, currencies, months, and the names given."""
-    named = "|".join(sorted((re.escape(normal(n)) for n in names if normal(n)), key=lambda n: (-len(n), n))) or "(?!)"
+    named = _either([n for n in map(normal, names) if n])
     return re.compile(rf"([0-9]+)({_UNIT})?|({'|'.join(CURRENCIES)})|({'|'.join(MONTHS)})|({named})")
 
 
@@ -172,7 +192,7 @@ def reworded_of(s: str, items: Items, symbols_min: int) -> dict[int, tuple[int,
     """Items of which a stretch of at least `symbols_min` symbols occurs with other, consistent
     slots: item -> (symbols, slots, slots that differ) of the longest."""
     found: dict[int, tuple[int, int, int]] = {}
-    seen: set[tuple[int, int]] = set()
+    done: dict[tuple[int, int], int] = {}  # (item, diagonal of symbols) -> end of the stretch already followed
     codes, at, _ = symbols(s, items.slot)
     index = {int(x): k for k, x in enumerate(at[:-1])}
     cache: dict[int, tuple] = {}
@@ -184,7 +204,7 @@ def reworded_of(s: str, items: Items, symbols_min: int) -> dict[int, tuple[int,
         if i not in index or j not in where:
             continue
         x, y = index[i], where[j]
-        if (who, x - y) in seen and found.get(who, (0, 0, 0))[0]:
+        if done.get((who, x - y), -1) > x:
             continue
         lo_x, lo_y = x, y
         while lo_x and lo_y and codes[lo_x - 1] == c[lo_y - 1]:
@@ -192,7 +212,7 @@ def reworded_of(s: str, items: Items, symbols_min: int) -> dict[int, tuple[int,
         hi_x, hi_y = x, y
         while hi_x < len(codes) and hi_y < len(c) and codes[hi_x] == c[hi_y]:
             hi_x, hi_y = hi_x + 1, hi_y + 1
-        seen.add((who, x - y))
+        done[who, x - y] = hi_x
         if hi_x - lo_x < symbols_min:
             continue
         t, pairs, n, differ, consistent = items.texts[who], {}, 0, 0, True
@@ -269,14 +289,36 @@ def leaked_items(docs: DataFrame, id_col: str, text_col: str, items: DataFrame,
     return out.groupBy("id", "item_id").agg(F.max("run_chars").alias("run_chars")).withColumnRenamed("id", id_col)
 
 
-def reworded_items(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str = "item_id", passage_col: str = "passage", symbols_min: int = 60, names: Sequence[str] = ()) -> DataFrame:
+def _names(names: DataFrame | Sequence[str]) -> list[str]:
+    """The distinct normal forms of names; of a table, its first column, read up to MAX_NAMES."""
+    if isinstance(names, DataFrame):
+        col = F.col(names.columns[0])
+        names = [r[0] for r in names.select(col).where(col.isNotNull()).distinct().limit(MAX_NAMES + 1).toLocalIterator()]
+    if len(names) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} names")
+    return sorted({normal(n) for n in names} - {""})
+
+
+def _readings(items: DataFrame, item_col: str, passage_col: str, names: Sequence[str]):
+    """Blocks of items without names as placeholders, and those that hold a name with them too: a
+    name takes one symbol, so either reading can find stretches the other has too few symbols for."""
+    named = re.compile(_either(names))
+    for block in _blocks(items, item_col, passage_col, ()):
+        yield block
+        held = [(k, t) for k, t in zip(block.ids, block.texts) if named.search(t)]
+        if held:
+            yield Items(held, names)
+
+
+def reworded_items(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str = "item_id", passage_col: str = "passage", symbols_min: int = 60, names: DataFrame | Sequence[str] = ()) -> DataFrame:
     """id, item_id, symbols, slots, differing: documents that hold a stretch of an item with other
-    numbers, units or names in its slots, each value replaced consistently."""
+    numbers, units or names in its slots, each value replaced consistently. Names are those given, at
+    most MAX_NAMES; only items that hold one are read with names, and all without."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     schema, out = f"id {kind}, item_id string, symbols int, slots int, differing int", None
-    for block in _blocks(items, item_col, passage_col, names):
+    for block in _readings(items, item_col, passage_col, _names(names)):
         part = src.mapInArrow(_scan_reworded(spark.sparkContext.broadcast(block), symbols_min), schema)
         out = part if out is None else out.union(part)
     if out is None:

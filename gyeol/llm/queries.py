@@ -88,8 +88,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of products (in the titles of documents, or their subtitles) and of banks."""
+    b = table(spark, d, "bank_documents").where("doc_type != 'FAQ'")
+    quoted, guide = F.regexp_extract("title", "『([^』]+)』", 1), F.regexp_extract("title", "^(.+) product guide$", 1)
+    products = b.select(F.explode(F.array(quoted, guide, "subtitle")).alias("name"))
+    banks = table(spark, d, "faq_records").select(F.col("bank_name").alias("name"))
+    return products.union(banks).where("length(trim(name)) > 1").distinct()
+
+
 def p8_reworded(spark: SparkSession, d: str) -> DataFrame:
-    return leak.reworded_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"))
+    return leak.reworded_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), names=_names(spark, d))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -182,6 +182,33 @@ def test_names_are_slots(spark):
     assert got["d"] == 2
 
 
+def test_registered_query_takes_names_from_tables(spark, tmp_path):
+    from gyeol.llm import queries
+
+    text = "{0}의 계좌를 해지하려는 {1} 고객에게 창구 직원이 알려야 할 내용은 {0} 약관에 적혀 있으며 서면으로 다시 확인하여야 하고 그 밖의 절차는 따로 정한 바에 따르되 {1} 누리집에서도 볼 수 있다"
+    write = lambda n, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{n}.parquet")
+    write("bank_documents", [("『별빛길 적금』 약관", "", "약관"), ("Upland Loan product guide", None, "설명서"), ("예금 상품설명서", "합본", "설명서")], "title string, subtitle string, doc_type string")
+    write("faq_records", [("나래은행",), (None,)], "bank_name string")
+    write("eval_items", [("i", text.format("별빛길 적금", "나래은행"))], "item_id string, passage string")
+    docs = [(1, text.format("Upland Loan", "나래은행")), (2, text.format("별빛길 적금", "나래은행")), (3, text.format("다른 것", "나래은행"))]
+    write("documents", docs, "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id, r.slots, r.differing) for r in queries.p8_reworded(spark, str(tmp_path)).collect()} == {(1, "i", 4, 2)}
+
+
+def test_reworded_reports_the_longest_stretch():
+    rng = __import__("random").Random(5)
+    make = lambda n: "".join(rng.choices("가나다라마바사아자차카타파하", k=n))
+    a, b = make(20), make(40)
+    item, doc = a + "1원" + a[::-1] + "다" + b + "2원" + b[::-1], a + "3원" + a[::-1] + "라" + b + "4원" + b[::-1]
+    assert leak.reworded_of(doc, leak.Items([("i", item)]), 30)[0] == (81, 1, 1)
+
+
+def test_many_names_in_one_pattern():
+    names = [f"이름{i}호" for i in range(3000)] + ["별", "별빛"]
+    slot = leak.slots(names)
+    assert [m[0] for m in slot.finditer("이름2999호별빛별")] == ["이름2999호", "별빛", "별"]
+
+
 def test_no_run_is_missed():
     import random
 
