@@ -1,7 +1,8 @@
 """Template residue: unfilled fields, filler, error and maintenance pages, notices that scripts are needed.
 
 Fields are found by one grammar per delimiter, also amid ordinary text; a field in a code block, or
-in a sentence that explains notation to the reader, is discounted. For the rest, all notices and
+in a sentence that explains notation to the reader, is discounted, unless the text is nearly all code
+without a sentence beside it, which is an unrendered template. For the rest, all notices and
 filler are taken out of a text; it is a case if something was taken out and what remains is no more
 than navigation and a title. A text whose beginning already holds more ordinary text than that
 cannot be a case whatever follows, so long texts are decided early; all others are read whole.
@@ -115,6 +116,9 @@ MOCK_LATIN = frozenset(
     "nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
     "dolorem neque orbis marenda postulo tivat luris quintis homine serenum velarum calandi afficit fustra".split()
 )
+#: Words that a run of English has and mock Latin has not; invented words between those above are filler too.
+_ENGLISH = frozenset("the of and to is are for with on by this that you your we be will from or as can may not if it was has have our their when which".split())
+MOCK_SHARE = 0.3
 _LATIN_RUN = re.compile(r"[A-Za-z]+(?:[ ,]+[A-Za-z]+){3,}[.]?")
 #: Navigation and what stands around a page (fixed values).
 _NAVIGATION = [
@@ -141,6 +145,8 @@ _ANCHORS = (
 )
 _LATIN_WORDS = re.compile(r"(?:[A-Za-z]+[ ,]+){3}[A-Za-z]")
 TITLE_LETTERS = 45
+CODE_SHARE = 0.8  # of the letters, from which on a text in code is a template
+_SENTENCE_END = re.compile(r"니다[.]|[a-z]{3}[.](?:\s|$)")
 NEAR = 500
 HEAD = 1200
 EDGE = 200
@@ -152,12 +158,22 @@ def _clean(text: str) -> str:
     return _INVISIBLE.sub("", text).replace("\xa0", " ")
 
 
+def _all_template(text: str, outside: str) -> bool:
+    """Is a text with fields in code nearly all code? An unrendered template has no sentence beside it
+    and at least CODE_SHARE of its letters in code; a text that shows code to the reader has sentences."""
+    return len(_WORD.findall(outside)) < (1 - CODE_SHARE) * len(_WORD.findall(text)) and not _SENTENCE_END.search(outside) and not _EXPLAINS.search(outside)
+
+
 def unfilled(text: str) -> str | None:
     """The delimiter of the first unfilled field, discounting code blocks and explanations."""
     if not any(x in text for x in _OPENS) and not _ENTER.search(text):
         return None
     if "```" in text or "<code>" in text or "<pre>" in text:
-        text = _CODE.sub(" ", text)
+        outside = _CODE.sub(" ", text)
+        inside = _FIELD.search(text)
+        if inside and _all_template(text, outside):
+            return inside.lastgroup
+        text = outside
     for m in _FIELD.finditer(text):
         a = max(text.rfind(x, 0, m.start()) for x in (". ", "\n\n", "다.")) + 1
         b = min((x for x in (text.find(". ", m.end()), text.find("\n\n", m.end()), text.find("다.", m.end())) if x >= 0), default=len(text))
@@ -168,7 +184,9 @@ def unfilled(text: str) -> str | None:
 
 def _mock_latin(m: re.Match) -> str:
     words = [w.lower() for w in re.findall(r"[A-Za-z]+", m[0])]
-    return "\x01" if sum(w in MOCK_LATIN for w in words) >= 0.8 * len(words) else m[0]
+    if _ENGLISH.intersection(words):
+        return m[0]
+    return "\x01" if sum(w in MOCK_LATIN for w in words) >= MOCK_SHARE * len(words) else m[0]
 
 
 def _has_mock_latin(text: str) -> bool:
@@ -202,7 +220,7 @@ def residue_kind(text: str | None) -> str | None:
     if not n:
         return None
     left = left.replace("\x01", " ").strip()
-    if len(_WORD.findall(left)) <= TITLE_LETTERS and not re.search(r"니다[.]|[a-z]{3}[.](?:\s|$)", left):
+    if len(_WORD.findall(left)) <= TITLE_LETTERS and not _SENTENCE_END.search(left):
         return "page"
     return None
 

@@ -246,6 +246,18 @@ def test_residue(text, kind):
     assert residue.residue_kind(text) == kind
 
 
+def test_mock_latin_with_invented_words():
+    assert residue.residue_kind("Lorem ipsum gravonti sit perluna consectetur melvaris tendo elit sorvanti dolore") == "page"
+    assert residue.residue_kind("Guide to the elit sit in do card") is None
+
+
+def test_unrendered_template_in_a_fence():
+    template = "```\n안녕하세요 {{ customer_name }} 고객님, {{ product_name }} 만기일은 {{ due_date }}이며 이율은 {{ rate }}입니다. 문의는 {{ branch }} 지점으로 주십시오.\n```"
+    assert residue.residue_kind(template) == residue.residue_kind("만기 안내\n" + template) == "field"
+    assert residue.residue_kind("아래는 알림 양식을 적는 방법을 보이는 예입니다.\n" + template) is None
+    assert residue.residue_kind("템플릿 문법\n" + template) is None
+
+
 def test_residue_long_and_table(spark):
     notice = "일시적인 오류가 발생하여 화면을 표시하지 못했습니다. 잠시 후 다시 접속하여 주십시오. "
     rows = [("long", notice * 300), ("mixed", notice + "보통 글이 이어집니다. " * 300), ("n", None), (None, "{{x}}"), ("f", "{{x}} " + "글 " * 20000), ("f", "{{x}} " + "글 " * 20000)]
