@@ -1,9 +1,9 @@
 """Lines and blocks of lines repeated across the documents of one source.
 
 Each line stands for an id, a hash of its letters; the ids of a source, text after text, are one
-long sequence. Its suffix array is built by prefix doubling, all sources at once and without
-gathering any: a suffix's rank by its first 2k ids follows from the rank by its first k and that of
-the suffix k further on. Suffixes of equal rank have a common prefix of that many lines, a block;
+long sequence. Its suffixes are named by doubling, all sources at once and without gathering any;
+they aren't ordered: a suffix's rank by its first 2k ids, a hash, follows from the rank by its first
+k and that of the suffix k further on. Suffixes of equal rank have a common prefix of that many lines, a block;
 the documents of a rank are counted by partial aggregates. A block that spans too few documents can
 only have longer ones that do, so after each round just the suffixes of blocks that span enough stay,
 and the rounds end when none does. Lines covered by a block are deleted from each text.
