@@ -25,18 +25,17 @@ def p1_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _positions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, d, "chunks").where(F.col("chunk_id").isNotNull())
-    return lines.repeated_blocks(c, "chunk_id", "doc_id", "text", lines.source_key(F.col("doc_type"), F.col("category")))
+    return lines.repeated_blocks(table(spark, d, "chunks"), "chunk_id", "doc_id", "text", lines.source_key(F.col("doc_type"), F.col("category")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return lines.covered(_positions(spark, d)[0]).withColumnRenamed("id", "chunk_id")
+    return lines.covered(_positions(spark, d)[0]).where("id is not null").select(F.col("id").alias("chunk_id"), "line_no").distinct()
 
 
 def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """How many blocks of 1, 2, 4... lines span enough documents of their source."""
+    """How many blocks of each length span enough documents of their source, of those that are the longest at some line."""
     source = F.split("src", "\x1f")
-    b = _positions(spark, d)[1].withColumn("doc_type", source[0]).withColumn("category", source[1])
+    b = _positions(spark, d)[1].withColumn("doc_type", F.nullif(source[0], F.lit("\x00"))).withColumn("category", F.nullif(source[1], F.lit("\x00")))
     return b.groupBy("doc_type", "category", "block_lines").agg(F.count("*").alias("n_blocks"), F.max("n_docs").alias("most_docs"))
 
 
@@ -124,16 +123,59 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 P3_LINES = """
 lines AS (
-  SELECT chunk_id, doc_id, coalesce(doc_type, '') AS t, coalesce(category, '') AS c, unnest(string_split(text, chr(10))) AS line,
+  SELECT chunk_id, doc_id, text, doc_type AS t, category AS c, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS line_no
-  FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL),
+  FROM chunks WHERE text IS NOT NULL),
 keyed AS (SELECT *, regexp_replace(lower(nfc_normalize(line)), '[^\\p{L}]', '', 'g') AS k FROM lines),
-docs AS (SELECT coalesce(doc_type, '') AS t, coalesce(category, '') AS c, count(DISTINCT doc_id) AS n FROM chunks GROUP BY 1, 2),
+docs AS (SELECT doc_type AS t, category AS c, count(DISTINCT doc_id) AS n FROM chunks GROUP BY 1, 2),
 often AS (
-  SELECT t, c, k FROM keyed JOIN docs USING (t, c) WHERE length(k) >= 12
-  GROUP BY t, c, k, n HAVING count(DISTINCT doc_id) >= 4 AND count(DISTINCT doc_id) * 10 >= n)
+  SELECT keyed.t, keyed.c, k FROM keyed JOIN docs ON keyed.t IS NOT DISTINCT FROM docs.t AND keyed.c IS NOT DISTINCT FROM docs.c WHERE length(k) >= 12
+  GROUP BY keyed.t, keyed.c, k, n HAVING count(DISTINCT doc_id) >= 4 AND count(DISTINCT doc_id) * 10 >= n),
+hit AS (
+  SELECT DISTINCT chunk_id, text, line_no FROM keyed JOIN often
+  ON keyed.t IS NOT DISTINCT FROM often.t AND keyed.c IS NOT DISTINCT FROM often.c AND keyed.k = often.k)
+"""
+
+P3_BLOCKS = f"""
+WITH {P3_LINES},
+counting AS (
+  SELECT DISTINCT chunk_id, text, doc_id, t, c, k, line_no FROM keyed WHERE length(k) >= 12),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY chunk_id, text, doc_id, t, c ORDER BY line_no) AS p FROM counting),
+kept AS (
+  SELECT placed.*, p - row_number() OVER (PARTITION BY chunk_id, text, doc_id, placed.t, placed.c ORDER BY p) AS run
+  FROM placed SEMI JOIN often ON placed.t IS NOT DISTINCT FROM often.t AND placed.c IS NOT DISTINCT FROM often.c AND placed.k = often.k),
+suffix AS (
+  SELECT chunk_id, text, doc_id, t, c, p,
+         list(k) OVER (PARTITION BY chunk_id, text, doc_id, t, c, run ORDER BY p ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING) AS s FROM kept),
+prefix AS (SELECT *, unnest(generate_series(1, len(s))) AS m FROM suffix),
+named AS (SELECT chunk_id, text, doc_id, t, c, p, m, s[1:m] AS b FROM prefix),
+counts AS (SELECT t, c, b, count(DISTINCT doc_id) AS docs_of FROM named GROUP BY ALL),
+spans AS (
+  SELECT counts.* FROM counts JOIN docs ON counts.t IS NOT DISTINCT FROM docs.t AND counts.c IS NOT DISTINCT FROM docs.c
+  WHERE docs_of >= 4 AND docs_of * 10 >= n),
+longest AS (
+  SELECT named.t, named.c, max(m) AS m, arg_max(named.b, m) AS b, arg_max(docs_of, m) AS docs_of
+  FROM named JOIN spans ON named.t IS NOT DISTINCT FROM spans.t AND named.c IS NOT DISTINCT FROM spans.c AND named.b = spans.b
+  GROUP BY chunk_id, text, doc_id, named.t, named.c, p)
+SELECT t AS doc_type, c AS category, m::INT AS block_lines, count(DISTINCT b) AS n_blocks, max(docs_of) AS most_docs
+FROM longest GROUP BY t, c, m
+"""
+
+P3_CLEAN = f"""
+WITH {P3_LINES},
+marked AS (
+  SELECT DISTINCT l.chunk_id, l.text, l.line_no, l.line, h.line_no IS NOT NULL AS gone
+  FROM lines l LEFT JOIN hit h ON l.chunk_id IS NOT DISTINCT FROM h.chunk_id AND l.text = h.text AND l.line_no = h.line_no)
+SELECT chunk_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS text, count(*) FILTER (gone)::INT AS n_removed
+FROM marked GROUP BY chunk_id, marked.text
+UNION ALL SELECT DISTINCT chunk_id, NULL, 0 FROM chunks WHERE text IS NULL
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": f"WITH {P3_LINES} SELECT DISTINCT chunk_id, line_no::INT AS line_no FROM keyed JOIN often USING (t, c, k)"}
+    return {
+        "p3_found": f"WITH {P3_LINES} SELECT DISTINCT chunk_id, line_no::INT AS line_no FROM hit WHERE chunk_id IS NOT NULL",
+        "p3_blocks": P3_BLOCKS,
+        "p3_clean": P3_CLEAN,
+    }

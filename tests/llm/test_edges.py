@@ -76,31 +76,70 @@ def test_runs_across_batches():
 # Lines
 
 
+def block_rows(positions):
+    return {(r.id, tuple(r.line_nos), r.n_docs) for r in positions.collect()}
+
+
 def test_lines_edges(spark):
     note, foot = "이 안내가 도움이 되었다면 널리 알려 주십시오", "문의는 가까운 영업점에서 언제든 받습니다"
     rows = [(f"c{i}", f"본문 {i}번째 줄은 서로 다른 내용입니다 {'가나다라'[i % 4] * (i + 1)}\n{note} {i}!\n{foot}", f"d{i}", "약관", None) for i in range(6)]
-    rows += [("x1", note, "d9", "FAQ", "loan"), ("x2", None, "d1", "약관", None), ("x3", "", "d2", "약관", None), ("c0", rows[0][1], "d0", "약관", None), ("x4", note, None, "약관", None)]
-    df = spark.createDataFrame(rows, "chunk_id string, text string, doc_id string, doc_type string, category string").withColumn("src", F.lit(1)).withColumn("ranks", F.lit("r"))
+    rows += [("x1", note, "d9", "FAQ", "loan"), ("x2", None, "d1", "약관", None), ("x3", "", "d2", "약관", None), ("c0", rows[0][1], "d0", "약관", None), ("x4", note, None, "약관", None), (None, foot, "d1", "약관", None), ("c1", foot, "d1", "약관", None)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, doc_id string, doc_type string, category string").withColumn("src", F.lit(1)).withColumn("suffix", F.lit("r"))
     pos, blocks = lines.repeated_blocks(df, "chunk_id", "doc_id", "text", lines.source_key(F.col("doc_type"), F.col("category")))
-    got = {(r.id, r.line_no, r.block_lines) for r in pos.collect()}
-    assert got == {(f"c{i}", 2, 2) for i in range(6)} | {(f"c{i}", 3, 1) for i in range(6)} | {("x4", 1, 1)}
+    assert block_rows(pos) == {(f"c{i}", (2, 3), 6) for i in range(6)} | {(f"c{i}", (3,), 6) for i in range(6)} | {("x4", (1,), 6), (None, (1,), 6), ("c1", (1,), 6)}
     assert {(r.block_lines, r.n_docs) for r in blocks.collect()} == {(1, 6), (2, 6)}
-    clean = {r.chunk_id: (r.text, r.n_removed) for r in lines.without_repeated(df, "chunk_id", "text", pos).collect()}
-    assert clean["x1"] == (note, 0) and clean["x4"] == ("", 1) and clean["x2"] == (None, 0) and clean["c3"][1] == 2 and "\n" not in clean["c3"][0]
+    clean = {(r.chunk_id, r.text, r.n_removed) for r in lines.without_repeated(df, "chunk_id", "text", pos).collect()}
+    assert {("x1", note, 0), ("x4", "", 1), ("x2", None, 0), ("x3", "", 0), (None, "", 1), ("c1", "", 1)} < clean
+    assert len(clean) == 12 and sorted(n for k, t, n in clean if k and k.startswith("c") and t) == [2] * 6
     e = df.limit(0)
     assert lines.repeated_blocks(e, "chunk_id", "doc_id", "text", F.lit("s"))[0].count() == 0
 
 
+def test_blocks_of_any_length(spark):
+    """Three lines that repeat together are one block of three; two of them repeat more often."""
+    a, b, c = "첫째 줄은 어디에나 적혀 있는 글입니다", "둘째 줄도 어디에나 적혀 있는 글입니다", "셋째 줄은 절반에만 적혀 있는 글입니다"
+    rows = [(f"t{i}", f"{i}\n{a}\n짧음\n{b}\n{c}", f"d{i}") for i in range(5)] + [(f"u{i}", f"{a}\n{b}\n끝", f"e{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, doc_id string")
+    pos, blocks = lines.repeated_blocks(df, "chunk_id", "doc_id", "text", F.lit("s"))
+    want = {(f"t{i}", x, 5) for i in range(5) for x in ((2, 4, 5), (4, 5), (5,))} | {(f"u{i}", x, 10) for i in range(5) for x in ((1, 2), (2,))}
+    assert block_rows(pos) == want and {r.block_lines for r in blocks.collect()} == {1, 2, 3}
+
+
+def test_blocks_against_plain_python(spark):
+    import random
+
+    rng = random.Random(11)
+    words = [f"{w} 줄이 여러 문서에 되풀이되어 나옵니다" for w in ("하나", "둘", "셋", "넷", "다섯", "여섯", "일곱")]
+    rows = [(f"c{i}", "\n".join(rng.choice([*words, f"혼자 있는 줄이라서 되풀이되지 않습니다 {'가나다라마바사'[i % 7] * (i // 7 + 1)}", "-"]) for _ in range(rng.randrange(1, 12))), f"d{i % 17}") for i in range(60)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, doc_id string")
+    pos, _ = lines.repeated_blocks(df, "chunk_id", "doc_id", "text", F.lit("s"))
+    seqs = {k: [(i, x) for i, x in enumerate(t.split("\n"), 1) if len(x) > 2] for k, t, _ in rows}
+    docs = {}
+    for k, _, d in rows:
+        xs = [x for _, x in seqs[k]]
+        for i in range(len(xs)):
+            for j in range(i + 1, len(xs) + 1):
+                docs.setdefault(tuple(xs[i:j]), set()).add(d)
+    want = set()
+    for k, xs in seqs.items():
+        for i in range(len(xs)):
+            best = max((j for j in range(i + 1, len(xs) + 1) if len(docs[tuple(x for _, x in xs[i:j])]) >= 4), default=None)
+            if best:
+                want.add((k, tuple(n for n, _ in xs[i:best]), len(docs[tuple(x for _, x in xs[i:best])])))
+    assert block_rows(pos) == want and max(len(x) for _, x, _ in want) > 2
+
+
 def test_line_keys():
     assert lines.letters("  가-나 1다!　A") == "가나다a" and lines.letters("가") == "가" and lines.letters("①②Ⅳ") == ""
 
 
-def test_lines_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
-    rows = [(f"c{i}", f"같은 줄이 모든 문서에 들어 있습니다\n둘째 줄도 모든 문서에 들어 있습니다\n{i}", f"d{i}") for i in range(5)]
-    df = spark.createDataFrame(rows, "chunk_id string, text string, doc_id string")
+def test_lines_without_broadcast_and_long_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
+    many = "\n".join(f"{'가나다라마바사아자차'[k % 10] * (k // 10 + 1)} 줄이 모든 문서에 들어 있습니다" for k in range(lines.WIDTH + 6))
+    df = spark.createDataFrame([(f"c{i}", f"{many}\n{i}", f"d{i}") for i in range(5)], "chunk_id string, text string, doc_id string")
     pos, _ = lines.repeated_blocks(df, "chunk_id", "doc_id", "text", F.lit("s"))
-    assert {(r.id, r.line_no, r.block_lines) for r in pos.collect()} == {(f"c{i}", n, 3 - n) for i in range(5) for n in (1, 2)}
+    assert {(r.id, r.line_no) for r in lines.covered(pos).collect()} == {(f"c{i}", n) for i in range(5) for n in range(1, lines.WIDTH + 7)}
+    assert pos.agg(F.max("block_lines")).collect()[0][0] == lines.WIDTH
 
 
 # Tokens
