@@ -13,8 +13,8 @@ holds SPAN characters, each digit a placeholder of its own. A run of 50 characte
 enough whole symbols for a window of the first kind, or a half with so few symbols that a window of
 the second kind exists there. So no verbatim run of 50 or more is missed.
 
-Items are a stated query set: they are taken in blocks of at most BLOCK_ITEMS, whose windows are
-broadcast (a bounded size); each block is one pass over all documents.
+Items are a stated query set: they are taken in blocks of at most BLOCK_ITEMS items and about BLOCK_CHARS
+characters, whose windows are broadcast (a bounded size); each block is one pass over all documents.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ WINDOW = 16
 SPAN = 25
 SPARSE = 11  # symbols in SPAN characters up to which windows of the second kind are made
 BLOCK_ITEMS = 20_000
+BLOCK_CHARS = 2_000_000  # of passages; their windows take some 50 bytes a character
 MAX_NAMES = 200_000  # up to which names are broadcast as one pattern
 BITS = 22
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -110,20 +111,21 @@ def _hashes(codes: np.ndarray, width: int, at: np.ndarray | None = None) -> np.n
     return (h ^ (h >> np.uint64(32))) * _M
 
 
-def windows(s: str, everywhere: bool, slot: re.Pattern) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place in s) of all windows; of the second kind those where symbols are sparse, or all."""
+def windows(s: str, everywhere: bool, slot: re.Pattern) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place in s) of all windows; of the second kind those where symbols are sparse, or all.
+    Behind them the codes of the symbols, and where each begins."""
     codes, at, cp = symbols(s, slot)
     h1, p1 = _hashes(codes, WINDOW), at[: max(len(codes) - WINDOW + 1, 0)]
     if len(cp) < SPAN:
-        return h1, p1
+        return h1, p1, codes, at
     began = np.zeros(len(cp) + 1, np.int32)
     began[at[:-1] + 1] = 1
     began = np.cumsum(began)
     p2 = np.arange(len(cp) - SPAN + 1) if everywhere else np.flatnonzero(began[SPAN:] - began[:-SPAN] <= SPARSE)
     if not len(p2):
-        return h1, p1
+        return h1, p1, codes, at
     digits = np.where((cp >= 48) & (cp <= 57), np.uint64(_BASE + 16), cp)
-    return np.concatenate([h1, _hashes(digits, SPAN, p2) ^ np.uint64(1)]), np.concatenate([p1, p2])
+    return np.concatenate([h1, _hashes(digits, SPAN, p2) ^ np.uint64(1)]), np.concatenate([p1, p2]), codes, at
 
 
 class Items:
@@ -133,31 +135,36 @@ class Items:
         self.slot = slots(names)
         self.ids = [k for k, _ in rows]
         self.texts = [normal(t) for _, t in rows]
-        hs, who, where = [], [], []
+        hs, who, where, self.codes, self.at = [], [], [], [], []
         for i, s in enumerate(self.texts):
-            h, p = windows(s, True, self.slot)
+            h, p, codes, at = windows(s, True, self.slot)
             hs.append(h)
-            who.append(np.full(len(h), i))
-            where.append(p)
+            who.append(np.full(len(h), i, np.int32))
+            where.append(p.astype(np.int32))
+            self.codes.append(codes)
+            self.at.append(at)
         h = np.concatenate(hs) if hs else np.empty(0, np.uint64)
         o = np.argsort(h, kind="stable")
         self.h = h[o]
-        self.who = np.concatenate(who)[o] if hs else np.empty(0, int)
-        self.where = np.concatenate(where)[o] if hs else np.empty(0, int)
+        self.who = np.concatenate(who)[o] if hs else np.empty(0, np.int32)
+        self.where = np.concatenate(where)[o] if hs else np.empty(0, np.int32)
         self.bits = np.zeros(1 << BITS, bool)
         self.bits[self.h >> np.uint64(64 - BITS)] = True
 
     def hits(self, s: str):
-        """(place in s, item, place in the item) of every window in common, by place in s."""
-        h, p = windows(s, False, self.slot)
+        """((place in s, item, place in the item) of every window in common, by place in s; the symbols
+        of s; where each begins), or None if there is no window in common."""
+        h, p, codes, at = windows(s, False, self.slot)
         near = np.flatnonzero(self.bits[h >> np.uint64(64 - BITS)])
         if not len(near):
-            return
+            return None
         near = near[np.argsort(p[near], kind="stable")]  # both kinds of windows together
         lo, hi = np.searchsorted(self.h, h[near], "left"), np.searchsorted(self.h, h[near], "right")
-        for place, a, b in zip(p[near].tolist(), lo.tolist(), hi.tolist()):
-            for k in range(a, b):
-                yield place, int(self.who[k]), int(self.where[k])
+        n = hi - lo
+        if not n.any():
+            return None
+        k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return (np.repeat(p[near], n), self.who[k], self.where[k]), codes, at
 
 
 def common_run(s: str, i: int, t: str, j: int) -> tuple[int, int]:
@@ -174,8 +181,11 @@ def common_run(s: str, i: int, t: str, j: int) -> tuple[int, int]:
 def leaks_of(s: str, items: Items, run: int) -> dict[int, int]:
     """Items with the longest run of at least `run` characters in common with s."""
     best: dict[int, int] = {}
-    done: dict[tuple[int, int], int] = {}  # (item, diagonal) -> end of the run already followed
-    for i, who, j in items.hits(s):
+    done: dict[tuple[int, int], int] = {}  # (item, diagonal) -> end of the run already followed; hits come by place
+    found = items.hits(s)
+    if found is None:
+        return best
+    for i, who, j in zip(*(x.tolist() for x in found[0])):
         t = items.texts[who]
         if done.get((who, i - j), -1) > i:
             continue
@@ -188,43 +198,68 @@ def leaks_of(s: str, items: Items, run: int) -> dict[int, int]:
     return best
 
 
+def common_symbols(c: np.ndarray, x: int, d: np.ndarray, y: int) -> tuple[int, int]:
+    """(start in c, stop in c) of the symbols in common through c[x] and d[y]."""
+    back = min(x, y)
+    differ = np.flatnonzero(c[x - back : x] != d[y - back : y])
+    lo = x - back + (int(differ[-1]) + 1 if len(differ) else 0)
+    ahead = min(len(c) - x, len(d) - y)
+    differ = np.flatnonzero(c[x : x + ahead] != d[y : y + ahead])
+    return lo, x + (int(differ[0]) if len(differ) else ahead)
+
+
+def consistent_stretch(mine: list[str | None], theirs: list[str | None]) -> tuple[int, int, int]:
+    """(symbols, slots, slots that differ) of the longest stretch in which each value of theirs always
+    stands against the same value of mine, and some differ. Symbols that are no slots are None."""
+    best, left, slots_before, differ_before = (0, 0, 0), 0, [0], [0]
+    last: dict[str, tuple[str, int]] = {}
+
+    def close(stop: int) -> None:
+        nonlocal best
+        now = (stop - left, slots_before[stop] - slots_before[left], differ_before[stop] - differ_before[left])
+        if now[2] and now > best:
+            best = now
+
+    for k, (m, t) in enumerate(zip(mine, theirs)):
+        if t is not None:
+            was = last.get(t)
+            if was and was[0] != m and was[1] >= left:
+                close(k)
+                left = was[1] + 1
+            last[t] = (m, k)
+        slots_before.append(slots_before[-1] + (t is not None))
+        differ_before.append(differ_before[-1] + (m != t))
+    close(len(mine))
+    return best
+
+
 def reworded_of(s: str, items: Items, symbols_min: int) -> dict[int, tuple[int, int, int]]:
     """Items of which a stretch of at least `symbols_min` symbols occurs with other, consistent
-    slots: item -> (symbols, slots, slots that differ) of the longest."""
-    found: dict[int, tuple[int, int, int]] = {}
+    slots: item -> (symbols, slots, slots that differ) of the longest. A stretch of symbols in common
+    is followed once; where a value is replaced in two ways it is cut between the two."""
+    best: dict[int, tuple[int, int, int]] = {}
+    hits = items.hits(s)
+    if hits is None:
+        return best
+    (places, whos, wheres), codes, at = hits
     done: dict[tuple[int, int], int] = {}  # (item, diagonal of symbols) -> end of the stretch already followed
-    codes, at, _ = symbols(s, items.slot)
-    index = {int(x): k for k, x in enumerate(at[:-1])}
-    cache: dict[int, tuple] = {}
-    for i, who, j in items.hits(s):
-        if who not in cache:
-            c, a, _ = symbols(items.texts[who], items.slot)
-            cache[who] = (c, a, {int(x): k for k, x in enumerate(a[:-1])})
-        c, a, where = cache[who]
-        if i not in index or j not in where:
+    xs = np.searchsorted(at, places)
+    for i, x, who, j in zip(places.tolist(), xs.tolist(), whos.tolist(), wheres.tolist()):
+        c, a = items.codes[who], items.at[who]
+        y = int(np.searchsorted(a, j))
+        if at[x] != i or a[y] != j or done.get((who, x - y), -1) > x or x >= len(codes) or y >= len(c):
             continue
-        x, y = index[i], where[j]
-        if done.get((who, x - y), -1) > x:
+        lo, hi = common_symbols(codes, x, c, y)
+        done[who, x - y] = max(hi, x + 1)
+        if hi - lo < symbols_min:
             continue
-        lo_x, lo_y = x, y
-        while lo_x and lo_y and codes[lo_x - 1] == c[lo_y - 1]:
-            lo_x, lo_y = lo_x - 1, lo_y - 1
-        hi_x, hi_y = x, y
-        while hi_x < len(codes) and hi_y < len(c) and codes[hi_x] == c[hi_y]:
-            hi_x, hi_y = hi_x + 1, hi_y + 1
-        done[who, x - y] = hi_x
-        if hi_x - lo_x < symbols_min:
-            continue
-        t, pairs, n, differ, consistent = items.texts[who], {}, 0, 0, True
-        for k in range(hi_x - lo_x):
-            if codes[lo_x + k] >= _BASE:
-                mine, theirs = s[at[lo_x + k] : at[lo_x + k + 1]], t[a[lo_y + k] : a[lo_y + k + 1]]
-                n += 1
-                differ += mine != theirs
-                consistent &= pairs.setdefault(theirs, mine) == mine
-        if consistent and differ and hi_x - lo_x > found.get(who, (0, 0, 0))[0]:
-            found[who] = (hi_x - lo_x, n, differ)
-    return found
+        shift, t, mine, theirs = y - x, items.texts[who], [None] * (hi - lo), [None] * (hi - lo)
+        for k in np.flatnonzero(codes[lo:hi] >= _BASE).tolist():
+            mine[k], theirs[k] = s[at[lo + k] : at[lo + k + 1]], t[a[lo + shift + k] : a[lo + shift + k + 1]]
+        found = consistent_stretch(mine, theirs)
+        if found[0] >= symbols_min and found > best.get(who, (0, 0, 0)):
+            best[who] = found
+    return best
 
 
 def _scan(items, run: int):
@@ -262,12 +297,14 @@ def _scan_reworded(items, symbols_min: int):
 def _blocks(items: DataFrame, item_col: str, passage_col: str, names: Sequence[str]):
     """The query set in broadcast blocks of bounded size."""
     rows: list[tuple[str, str]] = []
+    size = 0
     kept = items.where(F.col(item_col).isNotNull() & F.col(passage_col).isNotNull()).select(F.col(item_col).cast("string"), passage_col).distinct()
     for r in kept.toLocalIterator():
         rows.append((r[0], r[1]))
-        if len(rows) == BLOCK_ITEMS:
+        size += len(r[1])
+        if len(rows) == BLOCK_ITEMS or size >= BLOCK_CHARS:
             yield Items(rows, names)
-            rows = []
+            rows, size = [], 0
     if rows:
         yield Items(rows, names)
 

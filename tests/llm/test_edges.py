@@ -268,6 +268,52 @@ def test_two_runs_on_one_diagonal():
     assert leak.leaks_of(s, leak.Items([("i", t)]), 50) == {0: 57}
 
 
+def test_runs_of_both_kinds_on_many_diagonals():
+    """Several runs, with single letters changed between them, against brute force."""
+    import random
+
+    rng = random.Random(8)
+    for trial in range(400):
+        digits = lambda n: "".join(rng.choices("0123456789", k=n))
+        words = lambda n: "".join(rng.choices("가나다라마바사아자차카타파하", k=n))
+        parts = [rng.choice([digits, words])(rng.randrange(8, 70)) for _ in range(rng.randrange(2, 7))]
+        t = "".join(parts)
+        s = list(t)
+        for _ in range(rng.randrange(0, 4)):
+            s[rng.randrange(len(s))] = rng.choice("뷁훼1")
+        s = words(rng.randrange(5)) + "".join(s) + digits(rng.randrange(5))
+        n = max((m for m in range(50, len(t) + 1) for i in range(len(t) - m + 1) if t[i : i + m] in s), default=0) if trial < 150 else None
+        got = leak.leaks_of(s, leak.Items([("i", t)]), 50).get(0, 0)
+        some = any(t[i : i + 50] in s for i in range(len(t) - 49))
+        assert got == n if n is not None else bool(got) == some, (s, t)
+
+
+def test_a_stretch_is_cut_where_a_value_is_replaced_in_two_ways():
+    rng = __import__("random").Random(6)
+    words = "".join(rng.choices("가나다라마바사아자차카타파하", k=150))
+    item = words[:20] + "7원" + words[20:50] + "7원" + words[50:140]
+    doc = words[:20] + "8원" + words[20:50] + "9원" + words[50:140]
+    assert leak.reworded_of(doc, leak.Items([("i", item)]), 60) == {0: (121, 1, 1)}
+    assert leak.consistent_stretch(["a", None, "b"], ["x", None, "x"]) == (2, 1, 1)
+    assert leak.consistent_stretch([None, "a"], [None, "a"]) == (0, 0, 0)
+
+
+def test_a_long_verbatim_copy_is_followed_once():
+    import time
+
+    rng = __import__("random").Random(7)
+    text = "".join(rng.choices("가나다라마바사아자차카타파하12", k=3000))
+    items = leak.Items([("i", text)])
+    began = time.time()
+    assert leak.reworded_of("앞" + text, items, 60) == {} and time.time() - began < 0.5
+
+
+def test_items_in_blocks_of_characters(spark, monkeypatch):
+    monkeypatch.setattr(leak, "BLOCK_CHARS", 100)
+    items = spark.createDataFrame([(f"i{k}", f"{k}번 " + PASSAGE) for k in range(4)], "item_id string, passage string")
+    assert leak.leaked_items(table(spark, [("d", PASSAGE)]), "id", "text", items).count() == 4
+
+
 # Residue
 
 
