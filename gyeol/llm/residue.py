@@ -1,11 +1,20 @@
 """Template residue: unfilled fields, filler, error and maintenance pages, notices that scripts are needed.
 
-Fields are found by one grammar per delimiter, also amid ordinary text; a field in a code block, or
-in a sentence that explains notation to the reader, is discounted, unless the text is nearly all code
-without a sentence beside it, which is an unrendered template. For the rest, all notices and
-filler are taken out of a text; it is a case if something was taken out and what remains is no more
-than navigation and a title. A text whose beginning already holds more ordinary text than that
-cannot be a case whatever follows, so long texts are decided early; all others are read whole.
+Fields. One grammar per delimiter, tried where its opening character stands. Delimiters that ordinary
+texts use as well (a single bracket, angle or guillemet) count only around the name of a slot (a date,
+number, amount... of something) or an instruction to fill in. A field in a code block is discounted,
+unless nearly all of the text is code without a sentence beside it (an unrendered template). A field whose
+sentence speaks about notation is explained; the others of its delimiter count by density, that is,
+if there are more of them in the text than explained ones, as a tutorial explains what it shows.
+
+Pages and filler. A text is read sentence by sentence. Filler is taken out by form: repeated phrases,
+rows of an alphabet or keyboard, mock Latin by the shape of its words, and statements that content is
+missing. A sentence is a notice by composition: a subject of its kind (a script, a page, a server, a
+session...) with a predicate of that kind (needed, not found, failed, expired...), in Korean, English
+or Vietnamese, and nothing that tells a reader about it (when it is shown, what it means). Requests and
+apologies around a notice may accompany it. The text is a case if there was a notice or filler and
+nothing else but navigation and a title. The first ordinary sentence decides that it is none, so
+most texts are left after one sentence, with no limit on how far a text is read.
 """
 
 from __future__ import annotations
@@ -18,138 +27,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_NAME = r"[^\W\d_][\w.\- ]{0,40}?"
-_IN = r"\s*" + _NAME + r"\s*"
-#: One grammar per delimiter.
-FIELDS = {
-    "mustache": rf"\{{\{{[{{&#^/]?{_IN}\}}?\}}\}}",
-    "tag": rf"\{{%-?{_IN}-?%\}}",
-    "server": rf"<%[=#@-]?{_IN}%>",
-    "shell": rf"\$\{{{_IN}\}}",
-    "hash": rf"#\{{{_IN}\}}",
-    "wiki": rf"\[\[{_IN}\]\]",
-    "percent": r"%%\s*[^\W\d_]\w{0,40}\s*%%",
-    "at": r"@@\s*[^\W\d_]\w{0,40}\s*@@",
-    "under": r"(?<![\w])__[^\W\d_]\w{0,40}?__(?![\w_])",
-    "brace": r"(?<![$#{%])\{\s*[^\W\d_]\w{0,40}\s*\}(?!\})",
-    "insert": r"\[\s*INSERT\s+[^\[\]\n]{1,40}?\s+HERE\s*\]",
-    "enter": r"\[\s*[^\W\d_][\w ]{0,30}\s+입력\s*\]",
-    "write": r"\(\s*여기에\s+[^()]{1,30}?\s+작성\s*\)",
-    "state": r"<\s*[^\W\d_][\w ]{0,30}\s+기재\s*>",
-    "todo": r"\bTODO\s*:\s*[^\W\d_]\w{0,40}\s+채우기",
+_B = r"(?:[^{}\n]|\n(?!\s*\n))*?"  # inside braces: anything but braces and empty lines
+_KOREAN_SLOT = r"(?:[가-힣]+ )*[가-힣]*(?:이름|성명|[가-힣]명|[가-힣]일|일자|날짜|기간|기한|번호|금액|[가-힣]액|금리|이율|주소|연락처|전화|이메일|코드|부서|지점|영업점|담당자|상품|한도)"
+_ENGLISH_SLOT = r"(?:[A-Za-z]+[ _])*(?:name|date|number|no|amount|address|phone|tel|email|e-mail|code|rate|company|branch|department|title|period|id|limit)"
+_FILL = r"(?:입력|기재|기입|작성|채우기|채워|삽입|넣기|넣을)"
+#: Grammars by opening character: (delimiter, pattern).
+GRAMMARS = {
+    "{": [
+        ("mustache", rf"\{{\{{\{{?[#/^&!>]?(?=[^{{}}]*\w){_B}\}}\}}\}}?"),
+        ("tag", r"\{%-?(?=[^%]*\w)(?:[^%]|%(?!\}))*?-?%\}"),
+        ("brace", r"(?<![$#{%\w\])\\])\{\s*[\w.\-]+(?: [\w.\-]+)?\s*\}(?!\})"),
+    ],
+    "$": [("shell", rf"\$\{{(?=[^{{}}]*\w){_B}\}}"), ("dollar", r"(?<![\w$])\$[A-Za-z가-힣][\w]{2,}\$(?![\w$])")],
+    "#": [("hash", rf"#\{{(?=[^{{}}]*\w){_B}\}}")],
+    "<": [
+        ("server", r"<%[=#@\-]?(?=[^%]*\w)(?:[^%]|%(?!>))*?%>"),
+        ("angle", rf"<\s*(?:[^<>\n]+ {_FILL}|{_KOREAN_SLOT}|(?=[^<>]*[A-Z_ ]){_ENGLISH_SLOT})\s*>"),
+    ],
+    "«": [("guillemet", rf"«\s*(?:{_KOREAN_SLOT}|{_ENGLISH_SLOT})\s*»")],
+    "[": [
+        ("wiki", r"\[\[(?=[^\[\]]*\w)[^\[\]]*\]\]"),
+        ("instruction", rf"\[\s*(?:(?:INSERT|ENTER|TYPE|ADD|YOUR)\b[^\[\]]*|[^\[\]\n]* {_FILL})\s*\]"),
+        ("square", rf"(?<!\])(?:(?<![\n])(?<!^)\[\s*(?:{_KOREAN_SLOT}|{_ENGLISH_SLOT})\s*\](?!\()|\[\s*{_KOREAN_SLOT}\s*\](?=[님께]))"),
+    ],
+    "%": [("percent", r"%%\s*\w+\s*%%|(?<![\w%])%(?!\d)[^\W\d][\w.\-]+%(?![\w%])")],
+    "@": [("at", r"@@\s*[\w.\-]+\s*@@")],
+    "_": [("under", r"(?<!\w)__[^\W\d_]\w*?__(?!\w)")],
+    "(": [("instruction", rf"\(\s*(?:여기에\s[^()]*{_FILL}\S*|(?:insert|enter|type)\s[^()]*\shere)\s*\)")],
+    "T": [("todo", rf"\bTODO\s*:\s*(?:[^\W\d_]\w*[ \t]+)+{_FILL}|\bTODO\s*:\s*(?:fill|add|insert|enter|replace|update)\b")],
 }
-_FIELD = re.compile("|".join(f"(?P<{k}>{p})" for k, p in FIELDS.items()))
-_OPENS = ("{", "%%", "@@", "__", "[[", "<%", "INSERT", "TODO", "기재", "여기에")
-_ENTER = re.compile(r"입력\s*\]")
+_TRY = {c: [(k, re.compile(p, re.I if k in ("instruction", "square", "angle", "guillemet") else 0)) for k, p in ps] for c, ps in GRAMMARS.items()}
+_AT = re.compile(r"[{<«\[@$#%_]")
+_SPOKEN = re.compile(r"\(|TODO")  # openings that need a word behind them
+_SPOKEN_WORDS = ("여기에", "nsert", "INSERT", "nter ", "ENTER ", "ype ", "TYPE ", "TODO")
 #: A sentence that speaks about notation.
-_EXPLAINS = re.compile(r"중괄호|대괄호|꺾쇠|괄호로\s*적|자리\s*표시|자리에는|치환자|템플릿\s*(?:문법|구문|엔진)|표기법|문법|구문|예약어|placeholder (?:syntax|name)|curly brac|square bracket|notation|syntax", re.I)
-_CODE = re.compile(r"```.*?```|<code>.*?</code>|<pre>.*?</pre>", re.S)
-_N = r"[\d][\d,.:]*"
-
-#: Notices and error pages, spaces standing for any white space.
-_NOTICES = [
-    # scripts are needed
-    r"Please (?:enable|turn on|activate) (?:JavaScript|scripts?|JS)[^.!]{0,80}[.!]",
-    r"(?:You need to|You must) (?:allow|enable) (?:JS|JavaScript|scripts?)[^.!]{0,80}[.!]",
-    r"This (?:page|site|app|website) (?:needs|requires) (?:scripts|JavaScript|JS)[^.!]{0,60}[.!](?: Turn (?:them|it) on[^.!]{0,60}[.!])?",
-    r"(?:JavaScript|Scripts?) (?:is|are|must be|has to be) (?:disabled|required|blocked|enabled|off)[^.!]{0,80}[.!]",
-    r"(?:Loading\.\.\.|Loading…)(?: If nothing appears[^.!]{0,90}[.!])?",
-    r"If nothing appears after[^.!]{0,90}[.!]",
-    r"Vui lòng bật JavaScript[^.!]{0,80}[.!]",
-    r"이 (?:화면|페이지|사이트)[을를] (?:보려면|이용하려면|사용하려면|표시하려면) 자바 ?스크립트를[^.]{0,40}[.](?: 브라우저 설정을 확인[^.]{0,30}[.])?",
-    r"브라우저에서 스크립트가 차단되어[^.]{0,60}[.](?: 허용한 뒤 새로 ?고침[^.]{0,20}[.])?",
-    r"스크립트 실행이 꺼져 있어[^.]{0,60}[.](?: ?\(안내 \d+\))?",
-    r"자바 ?스크립트를 지원하지 않는 (?:환경|브라우저)입니다[.](?: 일부 메뉴가[^.]{0,40}[.])?",
-    r"자바 ?스크립트(?:가|를) (?:비활성화|사용할 수 없|꺼져)[^.]{0,50}[.]",
-    # errors, missing pages, maintenance
-    rf"HTTP {_N} - [^.]{{0,80}}[.](?: Reference {_N})?",
-    r"(?:Error )?[45]\d\d (?:Not Found|Forbidden|Bad Gateway|Internal Server Error|Service Unavailable|Bad Request|Unauthorized)[.]?(?: The (?:document|page)[^.]{0,80}[.])?",
-    r"The (?:document|page) you (?:asked for|requested)[^.]{0,80}[.]",
-    rf"Service (?:temporarily )?unavailable[^.]{{0,60}}(?:until [^.]{{0,30}})?[.]",
-    r"Access denied[.](?: Your session[^.]{0,80}[.])?",
-    r"Your session [\d,]+ has no permission[^.]{0,40}[.]",
-    rf"Something went wrong[^.]{{0,40}}[.](?: Please try again[^.]{{0,40}}[.])?",
-    rf"Please try again (?:in|later)[^.]{{0,40}}[.]",
-    rf"Too many requests[.](?: You have been[^.]{{0,60}}[.])?",
-    r"You have been temporarily blocked[^.]{0,40}[.]",
-    r"Error establishing a database connection(?: ?\(code \d+\))?",
-    r"(?:Fatal error|Uncaught \w+|Unhandled exception)[^.\n]{0,80}[.]?",
-    r"java[.]lang[.]\w+(?: at [\w.]+\([\w.]+:\d+\))*",
-    r"Traceback \(most recent call last\):(?: File \"[^\"]{1,80}\",? line \d+,?(?: in \w+)?)*(?:,? ?\w+(?:Error|Exception): '?\w+'?)?",
-    r"(?:Key|Value|Type|Index|Name|Attribute)Error: '?\w+'?",
-    r"일시적인 오류가 발생하여[^.]{0,60}[.](?: 잠시 후 다시[^.]{0,40}[.])?",
-    r"잠시 후 다시 (?:접속|시도|이용)하여? ?주[^.]{0,20}[.]",
-    r"요청하신 (?:페이지|문서|자료)를 찾을 수 없습니다[.](?: 주소가 바뀌었거나[^.]{0,40}[.])?",
-    r"게시물이 존재하지 않거나[^.]{0,40}[.]",
-    r"데이터를 불러오는 중 문제가[^.]{0,40}[.](?: 새로 ?고침을[^.]{0,30}[.])?",
-    r"서버와 연결이 끊어졌습니다[.](?: 네트워크 상태를[^.]{0,50}[.])?",
-    r"시스템 점검 ?중입니다[.](?: 점검 시간[^.]{0,60}[.])?",
-    rf"점검 시간 {_N} ?~ ?{_N} 동안[^.]{{0,40}}[.]",
-    r"세션이 만료되었습니다[.](?: 다시 로그인하신[^.]{0,50}[.])?",
-    r"접속자가 많아 응답이 늦어지고 있습니다[.](?: 대기 순번 \d+번)?",
-    r"대기 순번 \d+번",
-    r"파일 변환에 실패하였습니다[.](?: 원본 문서를[^.]{0,40}[.])?",
-    r"원본 문서를 내려받지 못했습니다[.]",
-    r"허용되지 않은 접근입니다[.](?: 관리자에게[^.]{0,40}[.])?(?: ?\(코드 E\d+\))?",
-    r"관리자에게 문의하(?:십시오|세요)[.](?: ?\(코드 E\d+\))?",
-]
-#: Filler that authors leave (fixed values), and words of mock Latin.
-_FILLERS = [
-    r"Lorem ipsum placeholder copy goes here[.]?",
-    r"(?:asdf ?){2,}(?:qwer)?(?: \d+)?(?: ?test)*",
-    r"(?:sample text ?){1,}",
-    r"(?:샘플 문구 ?){1,}",
-    r"(?:더미 데이터 \d+ ?){1,}",
-    r"테스트 문서입니다[.](?: 테스트 \d+)?",
-    r"테스트 \d+",
-    r"여기에 (?:텍스트|내용|제목)를? 입력하(?:세요|십시오)[.]?",
-    r"(?:본문|상세)? ?내용이 들어갈 자리입니다[.]?",
-    r"내용 ?준비 ?중입니다[.](?: 추후 등록 예정)?",
-    r"추후 등록 예정",
-    r"(?:제목 없음 - )?초안 v\d+ ?\(작성 전\)",
-    r"(?:가나다라마바사 ?|아자차카타파하 ?){1,}",
-    r"(?:Under construction|Coming soon|Content goes here|Your text here|Insert text here)[.!]?",
-]
-MOCK_LATIN = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam "
-    "quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat "
-    "nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
-    "dolorem neque orbis marenda postulo tivat luris quintis homine serenum velarum calandi afficit fustra".split()
-)
-#: Words that a run of English has and mock Latin has not; invented words between those above are filler too.
-_ENGLISH = frozenset("the of and to is are for with on by this that you your we be will from or as can may not if it was has have our their when which".split())
-MOCK_SHARE = 0.3
-_LATIN_RUN = re.compile(r"[A-Za-z]+(?:[ ,]+[A-Za-z]+){3,}[.]?")
-#: Navigation and what stands around a page (fixed values).
-_NAVIGATION = [
-    r"전체메뉴 \| 로그인 \| 인증센터", r"홈 > 상품공시 > 설명서", r"HOME / 고객지원 / 자료실", r"Home > Documents > Terms", r"처음으로 이전화면 인쇄",
-    r"\[로고\] 상품안내", r"첫 화면으로 가기", r"이전 화면으로", r"문의: ?고객센터", r"Back to start", r"요청 번호 [0-9a-fA-F]{6,10}",
-    r"(?:홈|HOME|Home)(?: ?[>/|] ?[\w가-힣 ]{1,20}){1,4}",
-]
-
-
-def _any(patterns: list[str]) -> re.Pattern:
-    return re.compile("|".join(f"(?:{p})" for p in patterns))
-
+_EXPLAINS = re.compile(r"중괄호|대괄호|꺾쇠|괄호[로를]|자리\s*표시|자리에[는 ]|치환|템플릿\s*(?:문법|구문|엔진)|표기법|문법|구문|예약어|변수[로를는]|placeholder|curly brac|square bracket|angle bracket|\bbrac(?:e|ket)s\b|notation|syntax|stands for|is replaced by", re.I)
+_CODE = re.compile(r"```.*?```|<code>.*?</code>|<pre>.*?</pre>|`[^`\n]+`", re.S)
+CODE_SHARE = 0.8  # of the letters, from which on a text in code is a template
 
-_TAKEN, _NAV = _any(_NOTICES + _FILLERS), _any(_NAVIGATION)
 _SPACE = re.compile(r"\s+")
-_INVISIBLE = re.compile("[​-‏⁠﻿\x00-\x08\x0e-\x1f\x7f]")
+_INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff\x00-\x08\x0e-\x1f\x7f]")
 _WORD = re.compile(r"[^\W\d_]")
-#: Each notice and filler holds one of these, or is mock Latin.
-_ANCHORS = (
-    "JavaScript", "JS", "cript", "자바", "스크립트", "Loading", "If nothing", "HTTP", " Found", "Forbidden", "Gateway", "Internal", "Unavail", "unavail", "Bad Request",
-    "Unauth", "The document you", "The page you", "denied", "Your session", "wrong", "try again", "requests", "blocked", "database", "Fatal", "Uncaught", "Unhandled",
-    "java.", "Traceback", "Error", "오류가", "잠시 후", "요청하신", "게시물이", "데이터", "연결이", "점검", "세션이", "접속자가", "대기 순번", "변환에", "내려받지", "허용되지",
-    "관리자에게", "Lorem", "asdf", "sample text", "샘플 문구", "테스트", "여기에", "자리입니다", "준비", "추후", "초안", "가나다라", "아자차카", "Under con", "Coming", "Content goes", "Your text", "Insert text",
-)
-_LATIN_WORDS = re.compile(r"(?:[A-Za-z]+[ ,]+){3}[A-Za-z]")
-TITLE_LETTERS = 45
-CODE_SHARE = 0.8  # of the letters, from which on a text in code is a template
-_SENTENCE_END = re.compile(r"니다[.]|[a-z]{3}[.](?:\s|$)")
-NEAR = 500
-HEAD = 1200
-EDGE = 200
+_SENTENCE_END = re.compile(r"[가-힣][.!?]|[^\W\d_]{2,}[)\"'”’]*[.!?。](?:\s|$)")
 
 
 def _clean(text: str) -> str:
@@ -158,47 +77,203 @@ def _clean(text: str) -> str:
     return _INVISIBLE.sub("", text).replace("\xa0", " ")
 
 
+def fields(text: str) -> Iterator[tuple[str, int, int]]:
+    """(delimiter, start, stop) of each field in a text."""
+    for openings in (_AT, _SPOKEN) if any(w in text for w in _SPOKEN_WORDS) else (_AT,):
+        done = 0
+        for m in openings.finditer(text):
+            at = m.start()
+            if at < done:
+                continue
+            for kind, pattern in _TRY[text[at]]:
+                f = pattern.match(text, at)
+                if f:
+                    yield kind, at, f.end()
+                    done = f.end()
+                    break
+
+
 def _all_template(text: str, outside: str) -> bool:
     """Is a text with fields in code nearly all code? An unrendered template has no sentence beside it
     and at least CODE_SHARE of its letters in code; a text that shows code to the reader has sentences."""
     return len(_WORD.findall(outside)) < (1 - CODE_SHARE) * len(_WORD.findall(text)) and not _SENTENCE_END.search(outside) and not _EXPLAINS.search(outside)
 
 
+_STOPS = re.compile(r"다\.|[.!?]\s|\n\s*\n")
+
+
+def _sentence(text: str, a: int, b: int) -> str:
+    """The sentence around text[a:b]."""
+    lo = 0
+    for w in (300, 3000, len(text)):  # look near first; the whole text if need be
+        last = None
+        for last in _STOPS.finditer(text, max(0, a - w), a):
+            pass
+        if last or w >= a:
+            lo = last.end() if last else 0
+            break
+    end = _STOPS.search(text, b)
+    return text[lo : end.end() if end else len(text)]
+
+
 def unfilled(text: str) -> str | None:
-    """The delimiter of the first unfilled field, discounting code blocks and explanations."""
-    if not any(x in text for x in _OPENS) and not _ENTER.search(text):
-        return None
-    if "```" in text or "<code>" in text or "<pre>" in text:
+    """The delimiter of an unfilled field, discounting code blocks and explanations by density."""
+    if "`" in text or "<code>" in text or "<pre>" in text:
         outside = _CODE.sub(" ", text)
-        inside = _FIELD.search(text)
-        if inside and _all_template(text, outside):
-            return inside.lastgroup
-        text = outside
-    for m in _FIELD.finditer(text):
-        a = max(text.rfind(x, 0, m.start()) for x in (". ", "\n\n", "다.")) + 1
-        b = min((x for x in (text.find(". ", m.end()), text.find("\n\n", m.end()), text.find("다.", m.end())) if x >= 0), default=len(text))
-        if not _EXPLAINS.search(text[max(a, m.start() - 300) : min(b, m.end() + 300)]):
-            return m.lastgroup
-    return None
+        if outside != text:
+            inside = next(fields(text), None)
+            if inside and _all_template(text, outside):
+                return inside[0]
+            text = outside
+    plain: dict[str, int] = {}
+    explained: dict[str, int] = {}
+    for kind, a, b in fields(text):
+        to = explained if _EXPLAINS.search(_sentence(text, a, b)) else plain
+        to[kind] = to.get(kind, 0) + 1
+    return next((k for k, n in plain.items() if n > explained.get(k, 0)), None)
+
+
+# Notices, by composition
+
+
+def _re(*parts: str) -> re.Pattern:
+    """For lower-case text."""
+    return re.compile("|".join(parts))
+
+
+#: (subject, predicate) of each kind of notice.
+NOTICES = {
+    "script": (
+        _re(r"java ?script", r"\bjs\b", r"\bscripts?\b", "자바 ?스크립트", "스크립트"),
+        _re(r"\b(?:en|dis)abled?\b", r"\b(?:turn|switch)(?:ed)? ", r"\b(?:block|allow|requir|need|activat|support)\w*", r"\bwithout\b", "켜", "꺼", "허용", "활성", "차단", "제한", "지원하지", "사용하도록", "사용할 수 없", "필요", "bật", "tắt", "kích hoạt", "yêu cầu", "cho phép"),
+    ),
+    "missing": (
+        _re(r"\b(?:page|document|url|link|file|post|resource|content|article|product)s?\b", "페이지", "문서", "자료", "게시[물글]", "화면", "주소", "상품", "경로", "파일", r"\btrang\b", "tài liệu", "nội dung"),
+        _re(r"not (?:be )?found", r"(?:can(?:'t|not| not)|could ?n(?:o|')t|unable to) (?:be )?(?:found|find|load)", r"(?:does ?n(?:o|')t|no longer) (?:exist|available)", r"no longer", r"(?:has|have|was|were) been? ?(?:removed|deleted|moved)", "찾을 수 없", "찾지 못", "존재하지 않", "(?:페이지|문서|게시[물글])[가이는은]? 없습니다", "삭제되었거나", "(?:삭제|이동)된", "열람 권한", "받지 못했", "không tìm thấy", "không tồn tại"),
+    ),
+    "failure": (
+        _re(r"\b(?:error|exception|problem)\b", r"something went wrong", r"went wrong", "오류", "에러", "문제[가는]", "장애", r"\blỗi\b", "sự cố", "실패"),
+        _re(r"occurr?ed", r"encounter", r"happened", r"went wrong", r"establishing", r"unexpected", r"internal", r"unknown", r"try again", "발생(?:하였|했|하여)", "생겼", "(?:시스템|서버|내부|일시적인?|알 수 없는) ?(?:오류|에러|장애)", "표시(?:하지|할 수)", "처리하는 중", "(?:가져오|불러오|처리하|내려받)지 못", "불러오는 중", "실패(?:하였|했)", "xảy ra"),
+    ),
+    "server": (
+        _re(r"\b(?:server|service|gateway|connection|database|network|site|website|system)\b", "서버", "서비스", "홈페이지", "사이트", "연결", "네트워크", "통신", "접속", "응답", "hệ thống", "máy chủ"),
+        _re(r"unavailable", r"not (?:respond|answer)", r"timed? ?-?out", r"refused", r"\blost\b", r"\bis down\b", r"bad gateway", "끊어졌", "끊겼", "응답이 없", "(?:늦어지|지연되)고 있", "중단(?:되었|됩|합|하고)", "불안정", "gián đoạn"),
+    ),
+    "maintenance": (_re(r"maintenance", r"upgrad", "점검", "개편", "bảo trì", "nâng cấp"), _re(r"currently", r"undergoing", r"\bdown\b", r"be back", r"check back", r"until", "중입니다", "중이", "동안", "중단", "이용하실 수 없", "제한됩", "đang", "quay lại")),
+    "access": (
+        _re(r"\b(?:access|permission|session|login|authori[sz]\w+)\b", "접근", "권한", "세션", "로그인", "로그아웃", r"\bphiên\b", "quyền"),
+        _re(r"denied", r"forbidden", r"expired", r"timed? ?out", r"not (?:have |allowed|permitted|authori)", r"no permission", r"blocked", "만료", "허용되지", "거부", "차단", "권한이 없", "로그아웃되", "hết hạn", "từ chối"),
+    ),
+    "load": (_re(r"too many requests", r"temporarily blocked", "(?:접속|이용|사용)자가 많", "대기 순번", r"^[^.]{0,40}\bloading\b", r"please wait", "불러오는 중", "로딩 ?중", "đang tải"), _re("")),
+    "trace": (
+        _re(r"\bhttp\s?(?:error\s*)?[45]\d\d\b", r"\b[45]\d\d\b[\s:\-–]*(?:error|not found|page not|forbidden|bad |internal|service|unauthori|gateway)", r"traceback \(most", r"\b\w*(?:exception|error)\b\s*(?::|\(|at\b)", r"fatal error", r"uncaught", r"unhandled", r"stack ?trace", r"\bat [\w.$<>]+\([\w.]+:\d+\)", r'file "[^"]+", line \d+', r"\bon line \d+"),
+        _re(""),
+    ),
+}
+#: What may stand beside a notice: requests, apologies, hints.
+_BESIDE = _re(
+    r"try again", r"\b(?:re)?load\b", r"refresh", r"\bcheck (?:your|the|back)", r"contact (?:the |your |our )?(?:admin|support|us|help)", r"sorry|apolog|oops", r"(?:log|sign) ?in\b", r"\bback (?:soon|shortly|later)", r"be back", r"(?:has|have) been notified", r"turn (?:it|them) on", r"enable it", r"allow (?:it|them)", r"may be (?:broken|switched off|missing)", r"slow down",
+    "다시 (?:시도|접속|로그인|이용|확인|열)", "재시도", "새로 ?고침", "확인(?:하여|해) ?(?:주|보)", "확인하(?:시|십)", "확인(?:한 후| 바랍)", "문의(?:하|바)", "불편을", "죄송", "양해", "이용(?:해|하여) 주", "기다려", "보이지 않을 수", "되었을 수 있", "바뀌었거나", "허용(?:해|하여|한)", "thử lại", "quay lại", "liên hệ", "kiểm tra",
+)
+#: What tells a reader about errors, scripts or outages instead of being one.
+_TELLS = _re(
+    r"(?:나오|나타나|표시되|보이|뜨|생기|발생하|되풀이되|못하|누르|하)면", "방법", "이란", "라는", "뜻", "의미", "설명(?!서)", "예를 들", "(?:매|격)(?:월|주|년|일|분기)", "분기마다", "때에?는?[ ,]", "경우", "까지", "것이 좋", "것으로 보",
+    r"\bmeans?\b", r"refers? to", r"for example", r"\bevery\b", r"\bif (?:the|you|your|a|an|it)\b", r"\bwhen (?:the|you|your|a)\b", r"as described", r"stands for", r"how to", r"\bonly (?:during|if|when)\b", r"\bnếu\b", r"\bkhi\b",
+)
+NOTICE_LETTERS = 160  # a longer sentence tells something
+
+# Filler, by form
+
+_ROWS = ("가나다라마바사아자차카타파하", "abcdefghijklmnopqrstuvwxyz", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwer", "ㅁㄴㅇㄹ", "ㄱㄴㄷㄹㅁㅂㅅ", "ㅂㅈㄷㄱ")
+_ROW_TOKENS = frozenset(r[i:j] for r in _ROWS for i in range(len(r)) for j in range(i + 3, len(r) + 1))
+_TOKEN = re.compile(r"(?<!\w)\w{3,}(?!\w)")
+_REPEATED = re.compile(r"(?<!\S)(\S+(?: \S+){0,3}?)(?: \1){2,}(?!\S)")
+_MISSING_CONTENT = re.compile("|".join((
+    r"(?:placeholder|dummy|sample|filler|mock|test) (?:text|copy|content|data|document|page|title)s?(?: goes)?(?: here)?(?: \d+)?[.]?",
+    r"(?:this is |here is )?(?:a )?(?:placeholder|dummy|sample|filler)(?: text| copy| content)?[.]",
+    r"(?:your |the |insert |more )?(?:text|content|title|body|copy) (?:goes|will go|to be added|will be added)? ?here[.!]?",
+    r"(?:replace|edit|change) (?:it|this)(?: text| content)?(?: with your own)?(?: text| content)?[.!]?", r"click (?:here )?to (?:edit|add)(?: this)?(?: text| content| title)?[.!]?",
+    r"(?:page |site |website )?under construction[.!]?", r"coming soon[.!]?", r"come back soon[.!]?", r"\b(?:tbd|tba)\b[.]?",
+    r"(?:더미|샘플|테스트|임시|예시|가짜) ?(?:데이터|문구|텍스트|문서|내용|글|페이지|제목)?(?:입니다)?[.]?(?: \d+)?",
+    rf"(?:여기|이곳|이 자리)에 (?:\S+ ){{0,3}}?{_FILL}\S*(?: 주\S+)?[.!]?",
+    r"(?:본문|상세)? ?내용이 들어갈 자리\S*", r"(?:내용|자료|페이지|화면|상품|콘텐츠|문서|본문)(?:[은는이가] | )?준비 ?중\S*", r"(?:추후|나중에|차후) \S+ ?예정\S*", r"실제 \S+ (?:바꿔|바꾸|교체|대체)\S*(?: 주\S+)?[.]?",
+    r"제목 없음(?: ?-)?", r"내용 없음", r"\b무제\b", r"\buntitled(?: document| page)?\b", r"(?:초안|draft) ?v?\d*(?: ?\((?:작성 전|미작성|빈 문서|empty)\))?",
+)), re.I)
+_LATIN_RUN = re.compile(r"(?<![\w가-힣])[A-Za-z]+(?:,? [A-Za-z]+){3,}[.,;]?(?!\w)")
+#: Classic mock Latin (fixed values).
+_LOREM = frozenset(
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam "
+    "quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat "
+    "nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum dolorem neque".split()
+)
+#: Words that a run of English has and mock Latin has not.
+_ENGLISH = frozenset("the of and to is are for with on by this that you your we be will from or as can may not if it was has have our their when which an at page back home".split())
+_LATIN_WORD = re.compile(r"(?:qu|[b-df-hj-np-tvxz]|[aeiou])*?[aeiou](?:s|m|t|r|n|nt|ns|x|c|d|l)?", re.I)
+_UNLATIN = re.compile(r"[kwyj]|th|sh|ck|gh|oo|ee|ou|ing$|ed$|([bhkvz])\1", re.I)
+LATIN_SHARE = 0.8
 
 
 def _mock_latin(m: re.Match) -> str:
-    words = [w.lower() for w in re.findall(r"[A-Za-z]+", m[0])]
-    if _ENGLISH.intersection(words):
+    """A run of words is mock Latin if it has no word of English grammar, and either a third of it is of the
+    classic text or nearly all of it has the shape of Latin words, as running text (not a name in capitals)."""
+    words = re.findall(r"[A-Za-z]+", m[0])
+    low = [w.lower() for w in words]
+    if _ENGLISH.intersection(low) or sum(w.islower() for w in words[1:]) < LATIN_SHARE * (len(words) - 1):
         return m[0]
-    return "\x01" if sum(w in MOCK_LATIN for w in words) >= MOCK_SHARE * len(words) else m[0]
+    known = sum(w in _LOREM for w in low)
+    shaped = sum(bool(_LATIN_WORD.fullmatch(w)) and not _UNLATIN.search(w) for w in low)
+    return " \x01 " if 3 * known >= len(low) or (len(low) > 5 and shaped >= LATIN_SHARE * len(low)) else m[0]
+
+
+def _without_filler(s: str) -> str:
+    """A sentence with its filler marked."""
+    s = _MISSING_CONTENT.sub(" \x01 ", s)
+    s = _LATIN_RUN.sub(_mock_latin, s)
+    s = _REPEATED.sub(" \x01 ", s)
+    if not _ROW_TOKENS.isdisjoint(_TOKEN.findall(s.lower())):
+        s = _TOKEN.sub(lambda m: " \x01 " if m[0].lower() in _ROW_TOKENS else m[0], s)
+    return s
+
 
+def is_notice(s: str) -> bool:
+    """Is a sentence a notice by its composition?"""
+    low = s.lower()
+    return any(b.search(low) and a.search(low) for a, b in NOTICES.values()) and len(_WORD.findall(s)) <= NOTICE_LETTERS and not _TELLS.search(low)
 
-def _has_mock_latin(text: str) -> bool:
-    return any(w.strip(",").lower() in MOCK_LATIN for run in _LATIN_WORDS.findall(text) for w in run.split())
 
+_PART = re.compile(r"\S.*?(?:[.!?。…]+[\"'”’)\]]*(?=\s|$)|$)", re.S)
+_ENDS = re.compile(r"[^\W\d_][\"'”’)\]]*[.!?。…]+[\"'”’)\]]*\s*$")
+#: Navigation: short labels between separators; identifiers of requests.
+_NAVIGATION = re.compile(r"(?:[\w가-힣\[\]]+(?: [\w가-힣]+)? ?[>/|»·] ?)+[\w가-힣]+|(?:번호|reference|ref|code|id|코드)[ .:#]*[0-9a-f][\w,-]*", re.I)
+TITLE = 45  # letters beside a notice that may be a title and links; Latin letters count half
 
-def _left(text: str) -> tuple[str, int]:
-    """(what remains of a text, number of notices and fillers taken out)."""
-    t = _SPACE.sub(" ", text)
-    t, n = _TAKEN.subn("\x01", t)
-    t = _LATIN_RUN.sub(_mock_latin, t)
-    return _NAV.sub(" ", t), n + t.count("\x01")
+
+def _weight(s: str) -> float:
+    letters = _WORD.findall(_NAVIGATION.sub(" ", s))
+    return sum(0.5 if c < "\u0250" or "\u1e00" <= c < "\u1f00" else 1 for c in letters)
+
+
+def is_page(text: str) -> bool:
+    """Is a text a notice or filler in place of content?"""
+    found, rest = False, 0.0
+    for m in _PART.finditer(text):
+        s = _SPACE.sub(" ", m[0])
+        if is_notice(s):
+            found = True
+            continue
+        marked = _without_filler(s)
+        left = marked.replace("\x01", " ").strip(" .,;:!-–()")
+        found |= "\x01" in marked
+        if not left:
+            continue
+        if _ENDS.search(marked):  # an ordinary sentence, or what stands beside a notice
+            if _TELLS.search(s.lower()) or not _BESIDE.search(s.lower()) or len(_WORD.findall(s)) > NOTICE_LETTERS:
+                return False
+            continue
+        rest += _weight(left)
+        if rest > TITLE:
+            return False
+    return found
 
 
 def residue_kind(text: str | None) -> str | None:
@@ -208,21 +283,7 @@ def residue_kind(text: str | None) -> str | None:
     t = _clean(text)
     if unfilled(t):
         return "field"
-    if len(t) > NEAR:
-        near = _SPACE.sub(" ", t[:NEAR])
-        if not any(a in near for a in _ANCHORS) and not _has_mock_latin(near) and len(_WORD.findall(_NAV.sub(" ", near[:-EDGE]))) > TITLE_LETTERS:
-            return None
-    if len(t) > HEAD:
-        left, _ = _left(t[:HEAD])
-        if len(_WORD.findall(left)) > TITLE_LETTERS + EDGE:  # a notice cut at the edge is shorter than EDGE
-            return None
-    left, n = _left(t)
-    if not n:
-        return None
-    left = left.replace("\x01", " ").strip()
-    if len(_WORD.findall(left)) <= TITLE_LETTERS and not _SENTENCE_END.search(left):
-        return "page"
-    return None
+    return "page" if is_page(t) else None
 
 
 def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

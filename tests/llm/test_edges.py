@@ -333,7 +333,43 @@ def test_residue(text, kind):
 
 def test_mock_latin_with_invented_words():
     assert residue.residue_kind("Lorem ipsum gravonti sit perluna consectetur melvaris tendo elit sorvanti dolore") == "page"
+    assert residue.residue_kind("Porvanti melura dosint carella ventis solum ardentis pirola monsi.") == "page"
     assert residue.residue_kind("Guide to the elit sit in do card") is None
+    assert residue.residue_kind("Riverside Flexible Savings Select Bonus Plan Terms.") is None
+
+
+def test_fields_of_ordinary_delimiters():
+    for t in ("문의는 <고객명>님께", "만기일은 [만기일자]입니다.", "Dear %CUSTOMER_NAME%,", "No. $ACCOUNT_NO$", "{0}원을 이체", "«이름» 고객님", "{{" + "a" * 300 + "}}", "{{1}}"):
+        assert residue.residue_kind(t) == "field", t
+    for t in ("[안내] 예금", "<개정 2024.01.01>", "[별첨 1] 참조", "5%에서 10%로", "$5에서 $3로", "성명 ____ 생년월일 ____", "<|endoftext|> [MASK] </s>", "<b>굵게</b>", "x = a{2}", "[기준금리]\n연 3%입니다."):
+        assert residue.residue_kind(t) is None, t
+
+
+def test_explained_fields_by_density():
+    told = "경로의 중괄호 안 {id} 자리에는 번호를 넣습니다. "
+    assert residue.residue_kind(told + "예를 들어 {id}처럼 적습니다.") is None
+    assert residue.residue_kind(told + "고객 {name}님, {date}까지 {place}로 오십시오.") == "field"
+
+
+def test_held_out_wordings():
+    """Texts worded apart from the rules; the README gives the figures."""
+    from tests.llm.residue_heldout import cases
+
+    got = [(bool(residue.residue_kind(t)), want) for t, want in cases()]
+    n, m = sum(w for _, w in got), sum(not w for _, w in got)
+    assert n >= 200 and m >= 180
+    assert sum(x and w for x, w in got) >= 0.9 * n and sum(x and not w for x, w in got) <= 0.05 * m
+
+
+def test_long_texts_are_read_whole():
+    import time
+
+    notice = "요청하신 페이지를 찾을 수 없습니다. "
+    began = time.time()
+    assert residue.residue_kind(notice * 20000) == "page"
+    assert residue.residue_kind(notice * 20000 + "계약은 서면으로 해지하여야 합니다.") is None
+    assert residue.residue_kind("글 " * 200000 + "{{ name }}") == "field"
+    assert residue.residue_kind("글과 글 " * 200000) == "page" and time.time() - began < 30
 
 
 def test_unrendered_template_in_a_fence():
