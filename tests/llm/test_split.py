@@ -28,7 +28,7 @@ def small_ranges(monkeypatch):
 def stitched(reports):
     """stitch() in plain Python, over the reports of one document."""
     units, off, breaks, last, opened = {}, 0, 0, None, 0
-    for n, (b, first_mark, fb, lb, s, e), structure in reports:
+    for n, (b, first_mark, fb, lb, s, e, _), structure in reports:
         if s:
             need = 1 if structure in S.MARKS else 2
             opens = bool(first_mark and (last is None or breaks + fb - last >= need))
@@ -49,7 +49,7 @@ def test_ranges_of_any_size_give_the_same_units(structure, size):
     words = ["제1조(가)", "제 ２ 조【나 다】", "①", "②", "1. ", "2) ", "Q.", "A.", "\n", "\n\n", "\n \n", " ", "글", "제3조", "　", "끝."]
     for trial in range(40):
         text = "".join(rng.choice(words) for _ in range(rng.randrange(60)))
-        reps = [(len(text[i : i + size]), S.report(text[i : i + size], text[i + size : i + size + S.HALO], structure), structure) for i in range(0, max(len(text), 1), size)]
+        reps = [(len(text[i : i + size]), S.report(text, i, min(i + size, len(text)), structure), structure) for i in range(0, max(len(text), 1), size)]
         got = {n: text[a:b] for n, (a, b) in stitched(reps).items()}
         assert got == {n: u for n, u in plain_units(text, structure).items() if u}, (text, size)
 
@@ -69,19 +69,48 @@ def test_documents_rows_and_files(spark, tmp_path, monkeypatch):
         files.append((str(p), k, p.stat().st_size))
     pieces = {}
     for r in S.split_documents(df, "doc_id").collect():
-        pieces.setdefault((r.doc_id, r.unit_no), []).append((r.piece_no, r.start, r.text))
+        pieces.setdefault((r.doc_id, r.unit_no), []).append((r.piece_no, r.start, r.section, r.text))
     for size in (97, 1000, 1 << 20):
-        units = {(r.path.rsplit("/", 1)[1], r.unit_no): (r.start, r.stop) for r in S.file_units(spark, files, size, 512).collect()}
+        units = {(r.path.rsplit("/", 1)[1], r.unit_no): (r.start, r.stop) for r in S.file_units(spark, files, size).collect()}
         assert {k: v for k, v in units.items() if k[0] != "none"} == {k: v for k, v in got.items() if k[0] not in ("nostruct", "flat2")}
         filed = {}
         for r in S.file_pieces(spark, files, size).collect():
-            filed.setdefault((r.path.rsplit("/", 1)[1], r.unit_no), []).append((r.piece_no, r.start, r.text))
+            filed.setdefault((r.path.rsplit("/", 1)[1], r.unit_no), []).append((r.piece_no, r.start, r.section, r.text))
         for key, ps in filed.items():
             if key[0] in pieces or key in pieces:
                 assert sorted(ps) == sorted(pieces[key]), key
         assert sizes == {} and {k for k in filed if k[0] != "none"} == {k for k in pieces if k[0] not in ("nostruct", "flat2")}
 
 
+@pytest.mark.parametrize("size", [64, 97, 1000, 8192])
+def test_headings_longer_than_any_halo(spark, tmp_path, monkeypatch, size):
+    """Brackets, blanks and digits of a heading may go on over many ranges."""
+    monkeypatch.setattr(S, "RANGE", size)
+    text = "머리말 글\n제1조(" + "긴 제목 " * 1500 + ")\n본문입니다. " + "가나다 " * 300 + "\n제" + " " * 5000 + "2" * 50 + "조 【나】 끝.\n제3조(" + "닫히지 않음 " * 900 + "\n제4조(라) 끝\n제5조(" + "마" * 5000
+    want = {n: u for n, u in plain_units(text, "article").items() if u}
+    assert len(want) == 4
+    df = spark.createDataFrame([("d", text, "article")], "doc_id string, text string, structure string")
+    assert {r.unit_no: text[r.start : r.stop] for r in S.units(df, "doc_id").collect()} == want
+    rows = sorted((r.unit_no, r.piece_no, r.start, r.section, r.text) for r in S.split_documents(df, "doc_id").collect())
+    assert all(text[a : a + len(t)] == t and len(t) <= 900 for _, _, a, _, t in rows)
+    for n, u in want.items():
+        assert [(a, b) for a, b in ((r[2], r[2] + len(r[4])) for r in rows if r[0] == n)] == [(text.index(u) + a, text.index(u) + b) for a, b in S.pieces_of(u)]
+    if size >= 97:
+        path = tmp_path / "f"
+        path.write_bytes(text.encode())
+        files = [(str(path), "article", path.stat().st_size)]
+        assert {r.unit_no: text[r.start : r.stop] for r in S.file_units(spark, files, size).collect()} == want
+        if size > 97:
+            assert sorted((r.unit_no, r.piece_no, r.start, r.section, r.text) for r in S.file_pieces(spark, [(f"file://{path}", *files[0][1:])], size).collect()) == rows
+
+
+def test_repeated_rows_and_sections(spark):
+    text = "제1조(목적) 글\n제2조(정의) " + "글입니다. " * 300
+    df = spark.createDataFrame([("d", text, "article"), ("d", text, "article"), (None, text, "article")], "doc_id string, text string, structure string")
+    got = S.split_documents(df, "doc_id").collect()
+    assert len(got) == 3 * (1 + len(S.pieces_of(text[text.index("제2조") :].strip()))) and {r.section for r in got if r.unit_no == 2} == {"제2조(정의)"}
+
+
 def test_pieces():
     for text in ["가" * 5000, "글입니다. " * 700, "a" * 900, "a" * 901, "a\n" * 1500, "x"]:
         ps = S.pieces_of(text)
