@@ -7,8 +7,9 @@ that agree make candidates; a two-bit sketch of the signature drops most false o
 deviations below the threshold); the rest are verified on the texts themselves, so the result is
 exact up to candidates missed by all bands: (1 - 0.7^6)^50, 0.2 % right at the threshold.
 
-Scale. Band rows are 16 bytes, deduplicated within a task, shuffled once by band value and sorted;
-pairs come from runs in a stream, so no bucket is held in memory. A bucket with more than MAX_RUN
+Scale. One pass hashes the texts; its band rows (two longs) and member rows go through one shuffle by
+band value, into as many partitions as there are PART_ROWS band rows, and are sorted; pairs come from
+runs in a stream, so no bucket is held in memory. A bucket with more than MAX_RUN
 members is not paired there: its members are split into blocks by salt and compared block against
 block by the sketch, each block pair its own group of bounded size, and only similar pairs leave.
 Copies of one text have one node, so a copied text is a single member however often it occurs.
@@ -17,10 +18,12 @@ Texts are shuffled only where a candidate needs them.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +40,8 @@ SEED = 20260105
 #: Up to so many ids of texts that candidates need are broadcast to pick them; more are joined by shuffle.
 BROADCAST_IDS = 100_000
 BLOCK_CHARS = 65_536
+PART_ROWS = 1_000_000  # band rows of a shuffle partition
+MAX_PARTS = 20_000
 
 _rng = np.random.default_rng(SEED)
 _MUL = _rng.integers(0, 2**32, EVALS, dtype=np.uint32) | np.uint32(1)
@@ -128,40 +133,73 @@ def _eligible(batch: pa.RecordBatch, min_chars: int):
                 yield i, k, s
 
 
-def _band_rows(min_chars: int):
+_FACTS = struct.Struct(f"<{1 + SKETCH_LONGS}q")
+
+
+def _hashed_rows(min_chars: int):
+    """From texts, in one pass: a row per band of each text new to the task (band, node), and a row per
+    member (band = node, facts: node2, sketch, id; the sketch only with the first of a text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            texts, nodes = [], []
-            for _, _, s in _eligible(batch, min_chars):
-                node = node_of(s)[0]
-                if node not in seen:
+            members, texts, nodes = [], [], []
+            for _, k, s in _eligible(batch, min_chars):
+                node, node2 = node_of(s)
+                new = node not in seen
+                if new:
                     if len(seen) < 2_000_000:  # rows left twice only cost time; a later distinct removes them
                         seen.add(node)
                     texts.append(s)
                     nodes.append(node)
+                members.append((node, node2, len(texts) - 1 if new else -1, k.encode("utf-8", "surrogatepass")))
             for lo in range(0, len(texts), 4096):
-                part = texts[lo : lo + 4096]
-                values = band_values(signatures(part)).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.repeat(np.array(nodes[lo : lo + 4096], np.int64), BANDS))], ["band", "node"])
+                sig = signatures(texts[lo : lo + 4096])
+                sk = sketches(sig) if lo == 0 else np.concatenate([sk, sketches(sig)])
+                values = band_values(sig).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.repeat(np.array(nodes[lo : lo + 4096], np.int64), BANDS)), pa.nulls(len(values), pa.binary())], ["band", "node", "facts"])
+            none = (0,) * SKETCH_LONGS
+            facts = [_FACTS.pack(n2, *(sk[i].tolist() if i >= 0 else none)) + (b"\1" if i >= 0 else b"\0") + k for _, n2, i, k in members]
+            own = pa.array([m[0] for m in members], pa.int64())
+            yield pa.RecordBatch.from_arrays([own, own, pa.array(facts, pa.binary())], ["band", "node", "facts"])
 
     return run
 
 
-def _member_rows(min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(_eligible(batch, min_chars))
-            for lo in range(0, len(found), 4096):
-                part = found[lo : lo + 4096]
-                nodes = [node_of(s) for _, _, s in part]
-                sk = sketches(signatures([s for _, _, s in part], SKETCH_VALUES // 2))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for _, k, _ in part], pa.string()), pa.array([a for a, _ in nodes], pa.int64()), pa.array([b for _, b in nodes], pa.int64()), *[pa.array(np.ascontiguousarray(sk[:, j])) for j in range(SKETCH_LONGS)]],
-                    ["id", "node", "node2", *[f"s{j}" for j in range(SKETCH_LONGS)]],
-                )
+RUN_COLUMNS = ["kind", "a", "b", "id", *[f"s{j}" for j in range(SKETCH_LONGS)]]
 
-    return run
+
+def _split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of _hashed_rows to pairs and long runs (kinds 0 and 1, see _runs_to_pairs) and
+    members (kind 2: a is node, b is node2)."""
+    kept: list[pa.RecordBatch] = []
+
+    def bands():
+        for batch in batches:
+            member = batch.column("facts").is_valid()
+            kept.append(batch.filter(member))
+            yield batch.filter(pa.compute.invert(member)).select(["band", "node"])
+
+    def wide(b: pa.RecordBatch) -> pa.RecordBatch:
+        n = b.num_rows
+        return pa.RecordBatch.from_arrays([*b.columns, pa.nulls(n, pa.string()), *[pa.nulls(n, pa.int64())] * SKETCH_LONGS], RUN_COLUMNS)
+
+    def members():
+        while kept:
+            m = kept.pop()
+            facts = m.column("facts").to_pylist()
+            if not facts:
+                continue
+            rows = [_FACTS.unpack_from(f) for f in facts]
+            has = [f[_FACTS.size] == 1 for f in facts]
+            ids = [f[_FACTS.size + 1 :].decode("utf-8", "surrogatepass") for f in facts]
+            sk = [pa.array([r[1 + j] if h else None for r, h in zip(rows, has)], pa.int64()) for j in range(SKETCH_LONGS)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), 2, np.int8)), m.column("node"), pa.array([r[0] for r in rows], pa.int64()), pa.array(ids, pa.string()), *sk], RUN_COLUMNS)
+
+    for out in _runs_to_pairs(bands()):
+        yield wide(out)
+        yield from members()
+    yield from members()
 
 
 def _runs_to_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,13 +312,14 @@ class NearDuplicates:
         min_chars = max(min_chars, SHINGLE)
         src = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
         cols = ", ".join(f"s{j} bigint" for j in range(SKETCH_LONGS))
-        rows = materialize(src.mapInArrow(_member_rows(min_chars), f"id string, node bigint, node2 bigint, {cols}"), "members")
+        hashed = src.mapInArrow(_hashed_rows(min_chars), "band bigint, node bigint, facts binary")
+        parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * BANDS // PART_ROWS)), MAX_PARTS)
+        runs = hashed.repartition(parts, "band").sortWithinPartitions("band").mapInArrow(_split_rows, f"kind tinyint, a bigint, b bigint, id string, {cols}")
+        runs = materialize(runs, "runs")
+        rows = runs.where("kind = 2").select("id", F.col("a").alias("node"), F.col("b").alias("node2"), *[f"s{j}" for j in range(SKETCH_LONGS)])
         self.members = rows.select("id", "node", "node2").distinct()
-        bands = src.select("id", "text").mapInArrow(_band_rows(min_chars), "band bigint, node bigint")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        runs = bands.repartition(parts, "band").sortWithinPartitions("band").mapInArrow(_runs_to_pairs, "kind tinyint, a bigint, b bigint")
-        runs = materialize(runs.distinct(), "runs")
-        sk = rows.dropDuplicates(["node"]).select("node", *[f"s{j}" for j in range(SKETCH_LONGS)])
+        sk = rows.where("s0 is not null").dropDuplicates(["node"]).select("node", *[f"s{j}" for j in range(SKETCH_LONGS)])
+        runs = runs.where("kind < 2").select("kind", "a", "b").distinct()
         floor = sketch_floor(threshold)
         light = runs.where("kind = 0").select("a", "b")
         light = light.join(sk.alias("x"), F.col("a") == F.col("x.node")).join(sk.alias("y"), F.col("b") == F.col("y.node")).where(_agree("x", "y") >= floor).select("a", "b")
@@ -316,15 +355,17 @@ class NearDuplicates:
         return every.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
 
     def groups(self, rounds: int = 30) -> DataFrame:
-        """id, group_id (the smallest id of its group), n_links (links of its text to other texts).
+        """id, group_id (the smallest id of its group), n_links (links of its text to other texts): one
+        row per id and text.
 
         Components by the smallest label among neighbours, with the labels of labels taken each
-        round (path halving), until nothing changes; each round is written to the shared folder.
+        round (path halving), until nothing changes; each round is written to the shared folder. A label
+        is an id with its text, so ids that stand for two texts keep them apart.
         Raises if `rounds` don't suffice, rather than giving split groups.
         """
         links = self.links
         both = materialize(links.union(links.select("b", "b2", "a", "a2")), "edges")
-        rep = self.members.groupBy("node", "node2").agg(F.min("id").alias("label"))
+        rep = self.members.groupBy("node", "node2").agg(F.min("id").alias("id")).select("node", "node2", F.struct("id", "node", "node2").alias("label"))
         labels = materialize(both.select(F.col("a").alias("node"), F.col("a2").alias("node2")).distinct().join(rep, ["node", "node2"]), "labels")
         labels = labels.withColumn("start", F.col("label"))
         for _ in range(rounds):
@@ -340,8 +381,8 @@ class NearDuplicates:
             raise RuntimeError(f"components need more than {rounds} rounds")
         degree = both.groupBy(F.col("a").alias("node"), F.col("a2").alias("node2")).agg(F.count("*").alias("n_links"))
         return (
-            self.members.join(rep.withColumnRenamed("label", "own"), ["node", "node2"])
-            .join(labels.select("node", "node2", "label"), ["node", "node2"], "left")
+            self.members.join(rep.select("node", "node2", F.col("label.id").alias("own")), ["node", "node2"])
+            .join(labels.select("node", "node2", F.col("label.id").alias("group")), ["node", "node2"], "left")
             .join(degree, ["node", "node2"], "left")
-            .select("id", F.coalesce("label", "own").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+            .select("id", F.coalesce("group", "own").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
         )

@@ -37,6 +37,21 @@ def test_near_duplicates_edges(spark, monkeypatch):
     assert e.pairs().count() == 0 and e.groups().count() == 0
 
 
+def test_an_id_with_two_texts(spark):
+    """Its texts stay apart: one row per id and text, no row twice."""
+    a, b = sample_text(5), sample_text(6)
+    rows = [("a", a), ("a", b), ("b", a + " 끝"), ("c", b + " 끝"), ("d", b + " 또")]
+    n = neardup.NearDuplicates(table(spark, rows), "id", "text")
+    assert sorted((r.id, r.group_id, r.n_links) for r in n.groups().collect()) == [("a", "a", 1), ("a", "a", 2), ("b", "a", 1), ("c", "a", 2), ("d", "a", 2)]
+    assert {(r.id_a, r.id_b) for r in n.pairs().collect()} == {("a", "b"), ("a", "c"), ("a", "d"), ("c", "d")}
+
+
+def test_partitions_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PART_ROWS", 20)
+    rows = [(f"k{i}", sample_text(i)) for i in range(8)] + [("z", sample_text(1) + "!")]
+    assert [(r.id_a, r.id_b) for r in neardup.NearDuplicates(table(spark, rows), "id", "text").pairs().collect()] == [("k1", "z")]
+
+
 def test_hot_bucket_is_split_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "MAX_RUN", 5)
     base = sample_text(3, 120)
