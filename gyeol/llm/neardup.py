@@ -133,7 +133,8 @@ def _eligible(batch: pa.RecordBatch, min_chars: int):
                 yield i, k, s
 
 
-_FACTS = struct.Struct(f"<{1 + SKETCH_LONGS}q")
+_FACTS = f"<{1 + SKETCH_LONGS}q"
+_FACTS_SIZE = struct.calcsize(_FACTS)
 
 
 def _hashed_rows(min_chars: int):
@@ -159,7 +160,7 @@ def _hashed_rows(min_chars: int):
                 values = band_values(sig).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.repeat(np.array(nodes[lo : lo + 4096], np.int64), BANDS)), pa.nulls(len(values), pa.binary())], ["band", "node", "facts"])
             none = (0,) * SKETCH_LONGS
-            facts = [_FACTS.pack(n2, *(sk[i].tolist() if i >= 0 else none)) + (b"\1" if i >= 0 else b"\0") + k for _, n2, i, k in members]
+            facts = [struct.pack(_FACTS, n2, *(sk[i].tolist() if i >= 0 else none)) + (b"\1" if i >= 0 else b"\0") + k for _, n2, i, k in members]
             own = pa.array([m[0] for m in members], pa.int64())
             yield pa.RecordBatch.from_arrays([own, own, pa.array(facts, pa.binary())], ["band", "node", "facts"])
 
@@ -190,9 +191,9 @@ def _split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             facts = m.column("facts").to_pylist()
             if not facts:
                 continue
-            rows = [_FACTS.unpack_from(f) for f in facts]
-            has = [f[_FACTS.size] == 1 for f in facts]
-            ids = [f[_FACTS.size + 1 :].decode("utf-8", "surrogatepass") for f in facts]
+            rows = [struct.unpack_from(_FACTS, f) for f in facts]
+            has = [f[_FACTS_SIZE] == 1 for f in facts]
+            ids = [f[_FACTS_SIZE + 1 :].decode("utf-8", "surrogatepass") for f in facts]
             sk = [pa.array([r[1 + j] if h else None for r, h in zip(rows, has)], pa.int64()) for j in range(SKETCH_LONGS)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), 2, np.int8)), m.column("node"), pa.array([r[0] for r in rows], pa.int64()), pa.array(ids, pa.string()), *sk], RUN_COLUMNS)
 
