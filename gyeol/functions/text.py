@@ -16,7 +16,12 @@ CATEGORIES = ("digital_banking", "retirement_pension", "derivatives", "deposit",
 KIND_WORDS = ("상품설명서", "설명서", "약관", "약정서", "계약서", "동의서", "신청서", "확인서", "권유문서", "포트폴리오")
 COMMON_TERMS = (
     "예금", "적금", "대출", "은행", "고객", "계좌", "통장", "이자", "이율", "금리", "신청", "가입", "해지", "거래", "서비스", "상품", "경우", "기간",
-    "지급", "발급", "이용", "확인", "제공", "하나", "본인", "가능", "불가", "해당", "관련", "내용", "사항", "방법", "필요",
+    "지급", "발급", "이용", "확인", "제공", "하나", "하나은행", "본인", "가능", "불가", "해당", "관련", "내용", "사항", "방법", "필요",
+)
+#: Words of a question that tell nothing about its subject.
+QUESTION_WORDS = (
+    "하나은행", "하나", "은행", "경우", "어떻게", "무엇", "어떤", "언제", "얼마", "있나요", "하나요", "되나요", "인가요", "합니까", "됩니까",
+    "가능", "필요", "제가", "저는", "내가", "우리", "그거", "이거", "때문", "위해", "대해",
 )
 BLANK_PATTERN = r"\(\s*\)|\(\s*%\s*\)|（\s*）|_{3,}|\.{5,}|☐|□"
 LABELS = r"^(?:(?:Q\.|A\.|질문|답변)\s*){1,2}"
@@ -61,6 +66,11 @@ def normalize_text(c: Column | str) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(t, LINE_END, "\n"), "\n{3,}", "\n\n"))
 
 
+def plain_text(c: Column | str) -> Column:
+    """NFC, plain spaces, runs of blanks as one; lines stay as they are."""
+    return strip(F.regexp_replace(nfc(c), r"[ \t\x{a0}\x{3000}]+", " "))
+
+
 _SPACED = re.compile(r"(?:[가-힣]\s){2,}[가-힣]")
 
 
@@ -105,20 +115,25 @@ def structure(c: Column) -> Column:
     )
 
 
+#: The printed number of an approval, and that of the triage, which knows terms only.
 COMPLIANCE = r"(?U)제?\s*(\d{4})\s*-\s*(약관|상품|설명서)\s*-\s*(\d+)\s*호"
 
 
+TERMS_COMPLIANCE = r"(?U)(\d{4})\s*-\s*약관\s*-\s*(\d+)\s*호"
+
+
 def compliance_no(c: Column) -> Column:
     parts = [F.regexp_extract(c, COMPLIANCE, i) for i in (1, 2, 3)]
     return F.when(c.rlike(COMPLIANCE), F.concat_ws("-", *parts))
 
 
-def compliance_date(c: Column, window: int = 40) -> Column:
-    hit = F.regexp_extract(c, COMPLIANCE, 0)
+def compliance_date(c: Column, window: int = 40, number: str = COMPLIANCE) -> Column:
+    """The date in brackets within `window` characters behind the number."""
+    hit = F.regexp_extract(c, number, 0)
     tail = F.substr(c, F.instr(c, hit) + F.length(hit), F.lit(window))
     d = r"\((\d{4})[.\-](\d{1,2})[.\-](\d{1,2})\)"
     ymd = F.concat_ws("-", F.regexp_extract(tail, d, 1), F.lpad(F.regexp_extract(tail, d, 2), 2, "0"), F.lpad(F.regexp_extract(tail, d, 3), 2, "0"))
-    return F.when(c.rlike(COMPLIANCE) & tail.rlike(d), F.try_to_date(ymd, "yyyy-MM-dd"))
+    return F.when(c.rlike(number) & tail.rlike(d), F.try_to_date(ymd, "yyyy-MM-dd"))
 
 
 def is_scan(chars: Column, pages: Column, threshold: int = 100) -> Column:
@@ -184,10 +199,10 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def terms(c: Column) -> Column:
-    """Words of two letters or more without a particle at the end and without stop words; repeats stay."""
+    """Words of two letters or more without a particle at the end and without words of questions; repeats stay."""
     words = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([가-힣A-Za-z]{2,})"), F.lit(1))
     bare = F.transform(words, lambda w: F.regexp_replace(w, f"(?:{PARTICLES})$", ""))
-    return F.filter(bare, lambda w: (F.length(w) >= 2) & ~w.isin(*COMMON_TERMS))
+    return F.filter(bare, lambda w: (F.length(w) >= 2) & ~w.isin(*QUESTION_WORDS))
 
 
 def lexical_overlap(words: Column, text: Column) -> Column:

@@ -24,6 +24,15 @@ def evidence(hits: DataFrame, chunks: DataFrame, top: int = 3, max_chars: int =
     return g.withColumn("block", F.array_join(F.transform("evidence", line), "\n\n"))
 
 
+def gate_evidence(hits: DataFrame, chunks: DataFrame, top: int = 3, max_chars: int = 700) -> DataFrame:
+    """query_id, block: what a verdict is asked on. Unlike `evidence`, the name stands as it is, without a date."""
+    c = chunks.select(F.col("chunk_id").alias("id"), F.concat_ws(" ", F.nullif("doc_display_name", F.lit("")), F.nullif("section", F.lit(""))).alias("header"), F.coalesce("text", F.lit("")).alias("text"))
+    j = hits.where(F.col("rank") <= top).join(c, "id", "left")
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce("header", F.lit("")), F.lit("\n"), F.coalesce(F.substring("text", 1, max_chars), F.lit("")))
+    g = j.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("e"))  # at most `top` a question
+    return g.select("query_id", F.array_join(F.transform("e", lambda x: x["line"]), "\n\n").alias("block"))
+
+
 def build_answers(decisions: DataFrame, evidence_rows: DataFrame, generated: DataFrame | None = None) -> DataFrame:
     """query_id, decision, stage, reason, answer, evidence, has_old, json. A refusal by wording has no
     evidence; an answer comes from `generated` (query_id, answer), and without one is the safe message."""

@@ -12,6 +12,8 @@ SUFFIXES = ("요약 상품설명서", "상품설명서(핵심/요약)", "핵심
 QUOTED = "[『「](.+?)[』」]"
 #: All brackets and document kinds at the end of a title at once.
 TAILS = r"(?:\s*(?:[(（][^)）]*[)）]|" + "|".join(s.replace("(", r"\(").replace(")", r"\)") for s in SUFFIXES) + r"))+\s*$"
+#: Names of the families that general terms stand for, by category.
+FAMILIES = {"deposit": "예금", "loan": "대출", "digital_banking": "전자금융", "fx": "외환", "trust": "신탁·투자", "retirement_pension": "퇴직연금", "derivatives": "장외파생", "others": "기타"}
 OVERLAP_LEAST = 4
 GENERIC_DF = 10
 
@@ -44,7 +46,8 @@ def product(c: Column) -> Column:
 
 def catalog(docs: DataFrame) -> DataFrame:
     """doc_id, bucket (product, family, general, or skipped_...), name, key of the documents outside
-    the FAQ; latest and parsable ones with a title have a name."""
+    the FAQ; latest and parsable ones with a title have a name, general terms that of the family of
+    their category (the category itself if it has none)."""
     d = docs.where(F.coalesce("doc_type", F.lit("")) != "FAQ").withColumn("p", product(F.col("title")))
     general = ((F.col("doc_type") == "약관") & F.col("title").contains("약관")) | F.col("title").rlike("기본약관|이용약관")
     bucket = (
@@ -56,7 +59,10 @@ def catalog(docs: DataFrame) -> DataFrame:
         .when(F.col("p.granularity") == "specific_product", "product")
         .otherwise("family")
     )
-    name = F.when(bucket == "general", F.col("category")).when(~bucket.startswith("skipped"), F.col("p.name"))
+    family = F.col("category")
+    for category, word in FAMILIES.items():
+        family = F.when(F.col("category") == category, word).otherwise(family)
+    name = F.when(bucket == "general", family).when(~bucket.startswith("skipped"), F.col("p.name"))
     return d.select("doc_id", bucket.alias("bucket"), name.alias("name"), T.catalog_key(name).alias("key"), "doc_type", "category")
 
 

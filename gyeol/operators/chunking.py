@@ -177,13 +177,14 @@ def chunk_documents(docs: DataFrame, by_structure: bool = True) -> DataFrame:
             .when(s == "numbered", structural(text, packed_pieces(text, NUMBERED, number_label)))
         )
     name = display_name(F.col("title"), F.col("subtitle"), F.col("orig_filename"))
-    needed = ["doc_id", "text", "structure", "title", "subtitle", "orig_filename", "doc_type", "category", "effective_date", "source_url"]
-    rows = spread(docs.where(F.col("is_parsable") & text.isNotNull()).select(*needed)).select("doc_id", name.alias("doc_display_name"), "doc_type", "category", "effective_date", "source_url", F.posexplode_outer(pieces.otherwise(flat)).alias("pos", "piece"))
+    needed = ["doc_id", "text", "structure", "title", "subtitle", "orig_filename", "doc_type", "category", "effective_date", "source_url", "compliance_no", "is_latest"]
+    rows = spread(docs.where(F.col("is_parsable") & text.isNotNull()).select(*needed)).select("doc_id", name.alias("doc_display_name"), "doc_type", "category", "effective_date", "source_url", s.alias("structure"), "compliance_no", "is_latest", F.posexplode_outer(pieces.otherwise(flat)).alias("pos", "piece"))
     rows = rows.where("pos is not null")  # posexplode itself would add a filter that makes all pieces a second time
     order = F.col("pos") + 1
     return rows.select(
         F.format_string("%s_c%03d", "doc_id", order).alias("chunk_id"), "doc_id", order.alias("chunk_order"), F.col("piece.text").alias("text"), F.col("piece.label").alias("section"),
         F.length("piece.text").alias("char_count"), "doc_display_name", "doc_type", "category", F.coalesce(F.col("effective_date").cast("string"), F.lit("")).alias("effective_date"), "source_url",
+        F.struct("structure", "compliance_no", "is_latest").alias("metadata"),
     )
 
 

@@ -9,7 +9,8 @@ it falls into, which is closed in recorded time and written again, shorter; noth
 The sweep: the days of a key are break points, each known since its first record. The end of an
 interval that starts at day d, as R grows, is the smallest later day known at R, so it only ever
 shrinks: scanning the days after d, only those known earlier than all between d and them ever bound
-it. That staircase is found with one stack per key. A key has at most one break point per calendar
+it, up to the first that is known no later than d itself. That staircase is found with one stack per
+key, from which what a day passes is taken, so all staircases together are linear in the days. A key has at most one break point per calendar
 day, so the arrays that are gathered per key are bounded by the calendar, not by the rows; rows are
 reduced to one per (key, day, recorded time) by partial aggregates before anything is gathered.
 """
@@ -27,7 +28,7 @@ END_OF_TIME = "9999-12-31"
 
 
 def _staircases(days: pd.Series, known: pd.Series) -> pd.Series:
-    """For each day the later days that bound it at some recorded time, nearest first."""
+    """For each day the later days that bound it at some recorded time since it is known, nearest first."""
     out = []
     for ds, ks in zip(days, known):
         n = len(ds)
@@ -39,6 +40,8 @@ def _staircases(days: pd.Series, known: pd.Series) -> pd.Series:
                 if best is None or ks[j] < best:
                     row.append({"day": int(ds[j]), "since": int(ks[j])})
                     best = ks[j]
+                if best <= ks[i]:
+                    break
             steps[i] = row
             while stack and ks[stack[-1]] >= ks[i]:
                 stack.pop()

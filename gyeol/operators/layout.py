@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 from gyeol.functions import text as T
 
 #: Lines that are never a title or a subtitle.
-NOT_TITLE = r"준법감시인|보존년한|^\d+$|^-?\s*\d+\s*-?$"
-NOT_SUBTITLE = r"이 설명서는|반드시|참고|유의|안내"
+NOT_TITLE = r"준법감시인|심의필|심사필|보존년한|페이지|Page|\d+\s*/\s*\d+|^\(cid:"
+NOT_SUBTITLE = r"이\s*(설명서|약정서|계약서)는|참고자료|알려드리기\s*위한|이해를\s*돕|내부통제기준|(합니다|입니다|한다|됩니다|바랍니다)\s*[.]?\s*$"
 
 
 def lines_by_font(words: DataFrame, k: int = 2) -> DataFrame:

@@ -66,6 +66,7 @@ def apply_overrides(docs: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
+#: How a sentence ends.
 SENTENCE = r"(합니다|입니다|한다|됩니다|바랍니다)[.\s]*$"
 
 
@@ -143,10 +144,17 @@ def boilerplate(chunks: DataFrame, length: int = 150, min_docs: int = 3) -> Data
     return fp.join(often, "fp").select("chunk_id", "n_docs")
 
 
+#: Phrases of notices that many documents share.
+BOILERPLATE = (
+    r"금융감독원|분쟁조정을 신청|고객상담센터|1599-1111|1588-1111|자료열람요구권|위법계약해지|청약철회권|위법사실을 안 날|책임을 지지 않습니다|보증하지 않습니다|정확성을 보증"
+    r"|참고용으로 제공되는|모든 요인을 설명한 것이 아|어떠한 손실에 대해서도|서명 또는 인|준법감시인|보존년한|이해를 돕고|참고자료이며|반드시 읽어보시기"
+)
+
+
 def suitable(text: Column, shortest: int = 150, longest: int = 900, foreign: float = 0.45) -> Column:
-    """Long enough, short enough, and mostly Hangul."""
+    """Long enough, short enough, mostly Hangul, and without a phrase of shared notices."""
     other = F.length(F.regexp_replace(text, r"(?U)[가-힣\s]", ""))
-    return F.length(text).between(shortest, longest) & (other / F.length(text) <= foreign)
+    return F.length(text).between(shortest, longest) & ~text.rlike(BOILERPLATE) & (other / F.length(text) <= foreign)
 
 
 def quota_sample(pool: DataFrame, shares: dict[str, float], n: int, seed: str = "42", per_doc: dict[str, int] | None = None, default_per_doc: int = 3) -> DataFrame:
@@ -167,6 +175,19 @@ def quota_sample(pool: DataFrame, shares: dict[str, float], n: int, seed: str =
     return h.where(F.col("rt") <= quota).select("chunk_id", "doc_type", "category", F.col("rt").alias("pick"))
 
 
+def expand_labels(sources: DataFrame, hits: DataFrame, verdicts: DataFrame, judge_top: int = 5) -> DataFrame:
+    """query_id, found_rank, n_added, relevant (joined by a bar, the source first): the source chunk of each
+    query (query_id, source), and of its first `judge_top` hits (query_id, chunk_id, rank) those with a yes
+    (query_id, chunk_id). A source that isn't among the hits has rank 0 and nothing is added to it, as
+    a failed search proves nothing."""
+    found = sources.join(hits.select("query_id", F.col("chunk_id").alias("source"), "rank"), ["query_id", "source"], "left").select("query_id", "source", F.coalesce("rank", F.lit(0)).alias("found_rank"))
+    near = hits.where(F.col("rank") <= judge_top).join(verdicts.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi")
+    more = near.join(found.where("found_rank > 0"), "query_id").where("chunk_id <> source").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("m"))  # at most `judge_top`
+    j = found.join(more, "query_id", "left")
+    ids = F.concat(F.array("source"), F.coalesce(F.transform("m", lambda x: x["chunk_id"]), F.array().cast("array<string>")))
+    return j.select("query_id", "found_rank", F.coalesce(F.size("m"), F.lit(0)).cast("bigint").alias("n_added"), F.array_join(ids, "|").alias("relevant"))
+
+
 def remap_labels(labels: DataFrame, old: DataFrame, new: DataFrame, least: float = 0.25, most: int = 3) -> DataFrame:
     """query_id, old_id, new_id, similarity, rank: old labelled chunks onto new chunks of the same
     document. An id that is still there with the same text stays; else the best by overlap of
@@ -174,7 +195,8 @@ def remap_labels(labels: DataFrame, old: DataFrame, new: DataFrame, least: float
     the greatest. Labels are joined to their document's chunks only."""
     plain = lambda c: F.regexp_replace(c, "[^가-힣A-Za-z0-9]", "")
     sets = lambda df, i, t, g: df.select("doc_id", F.col("chunk_id").alias(i), plain(F.col("text")).alias(t)).withColumn(g, T.gram_set(F.col(t)))
-    o = labels.select("query_id", F.col("chunk_id").alias("old_id")).distinct().join(sets(old, "old_id", "ot", "og"), "old_id")
+    labelled = old.join(labels.select("chunk_id").distinct(), "chunk_id", "left_semi")  # sequences are made for labelled chunks
+    o = labels.select("query_id", F.col("chunk_id").alias("old_id")).distinct().join(sets(labelled, "old_id", "ot", "og"), "old_id")
     wanted = o.select("doc_id").distinct()  # sequences are made for the documents of labels only
     pairs = o.join(sets(new.join(wanted, "doc_id", "left_semi"), "new_id", "nt", "ng"), "doc_id")
     same = (F.col("old_id") == F.col("new_id")) & (F.col("ot") == F.col("nt"))

@@ -17,10 +17,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gyeol.session import materialize, stored
+
 K1, B, IDF_FLOOR = 1.2, 0.75, 0.25
 BLOCK_QUERIES = 4096
 #: Up to so many weights of query terms are broadcast; more are joined by shuffle.
@@ -41,13 +43,29 @@ def bm25_index(docs: DataFrame, id_col: str, tokens: Column) -> tuple[DataFrame,
     """(postings, df with idf, stats, tokens per document): Okapi BM25; an idf below zero becomes `IDF_FLOOR` times the
     mean idf, the mean being over the values as they were."""
     p = postings(docs, id_col, tokens)
+    return p, *_idf_and_stats(p, docs, tokens), docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"))
+
+
+def _idf_and_stats(p: DataFrame, docs: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
     sizes = docs.select(F.size(tokens).cast("double").alias("dl"))
     stats = sizes.agg(F.count("*").cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
     df = p.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     raw = df.crossJoin(F.broadcast(stats)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean_idf") * IDF_FLOOR).otherwise(F.col("raw")).alias("idf"))
-    return p, idf, stats, docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"))
+    return idf, stats
+
+
+def stored_bm25_index(spark: SparkSession, name: str, key: str, docs: DataFrame, id_col: str, tokens: Column) -> tuple[DataFrame, ...]:
+    """bm25_index over tables of the shared folder: texts are tokenized once, and terms counted once."""
+
+    def build():
+        t = materialize(docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")), f"{name}-tokens")
+        terms = t.select("id", F.explode(F.array_distinct("tokens")).alias("term"))
+        return t, *_idf_and_stats(terms, t, F.col("tokens"))
+
+    t, idf, stats = stored(spark, name, key, build)
+    return postings(t, "id", F.col("tokens")), idf, stats, t
 
 
 def query_terms(queries: DataFrame, query_col: str, tokens: Column) -> DataFrame:

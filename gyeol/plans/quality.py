@@ -177,9 +177,12 @@ def sample_strata(spark: SparkSession, d: str) -> DataFrame:
 
 def remap(spark: SparkSession, d: str) -> DataFrame:
     """Labels carried from the given chunks to chunks cut anew by structure."""
-    old = chunks_once(spark, d, "doc_id", "text").select("chunk_id", "doc_id", "text")
-    new = C.chunk_documents(_docs(spark, d)).select("chunk_id", "doc_id", "text")
-    return Q.remap_labels(labels_long(spark, d), old, new)
+    labels = labels_long(spark, d)
+    ids = labels.select("chunk_id").distinct()
+    old = chunks_once(spark, d, "doc_id", "text").join(ids, "chunk_id", "left_semi").select("chunk_id", "doc_id", "text")
+    wanted = table(spark, d, "chunks").join(ids, "chunk_id", "left_semi").select("doc_id").distinct()  # only documents of labels are cut anew
+    new = C.chunk_documents(_docs(spark, d).join(wanted, "doc_id", "left_semi")).select("chunk_id", "doc_id", "text")
+    return Q.remap_labels(labels, old, new)
 
 
 def remap_self(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +206,7 @@ _DUP = f"""du AS (SELECT doc_id, orig_filename, content_hash, count(*) OVER (PAR
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(nfc_normalize({0}), chr(12288), ' '), chr(160), ' '), '[ \t]+', ' ', 'g'), ' *\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))"
 _SENT = "(합니다|입니다|한다|됩니다|바랍니다)[.\\s]*$"
 _KINDS = "|".join(T.KIND_WORDS)
-_OKAY = rf"length(text) BETWEEN 150 AND 900 AND length(regexp_replace(text, '[가-힣\s\p{{Z}}\x0b\x{{85}}]', '', 'g')) / length(text)::DOUBLE <= 0.45"
+_OKAY = rf"length(text) BETWEEN 150 AND 900 AND length(regexp_replace(text, '[가-힣\s\p{{Z}}\x0b\x{{85}}]', '', 'g')) / length(text)::DOUBLE <= 0.45" + " AND NOT regexp_matches(text, '금융감독원|분쟁조정을 신청|고객상담센터|1599-1111|1588-1111|자료열람요구권|위법계약해지|청약철회권|위법사실을 안 날|책임을 지지 않습니다|보증하지 않습니다|정확성을 보증|참고용으로 제공되는|모든 요인을 설명한 것이 아|어떠한 손실에 대해서도|서명 또는 인|준법감시인|보존년한|이해를 돕고|참고자료이며|반드시 읽어보시기')"
 _BOIL = f"fp AS (SELECT chunk_id, doc_id, substr(regexp_replace(text, '[^가-힣]', '', 'g'), 1, 150) AS fp FROM c), bo AS (SELECT chunk_id, n_docs FROM fp JOIN (SELECT fp, count(DISTINCT doc_id) AS n_docs FROM fp WHERE length(fp) = 150 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3) USING (fp))"
 _FILEKIND = "CASE WHEN contains(orig_filename, '_terms_') THEN '약관' ELSE '설명서' END"
 _FILECAT = "CASE " + " ".join(f"WHEN contains(orig_filename, '_{c}_') THEN '{c}'" for c in T.CATEGORIES) + " ELSE 'unknown' END"

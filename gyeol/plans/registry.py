@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("general", "text", "search", "quality", "gate", "service")
+MODULES = ("general", "text", "search", "quality", "gate", "service", "review")
 
 
 def queries() -> dict[str, Query]:

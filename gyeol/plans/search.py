@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gyeol.functions import text as T
 from gyeol.operators import retrieval as R
 from gyeol.plans.text import CHUNKS_ONCE, LABELS, TOKENS, chunks_once, labels_long
-from gyeol.session import materialize
+from gyeol.session import fingerprint, materialize
 from gyeol.sources.tables import table
 
 METRICS = ("recall_1", "recall_5", "recall_10", "full_recall_5", "precision_5", "rr", "ndcg_10")
@@ -24,7 +24,9 @@ def _chunk_tokens():
 
 
 def chunk_index(spark: SparkSession, d: str):
-    return R.bm25_index(chunks_once(spark, d, "doc_display_name", "section", "text").select("chunk_id", "doc_display_name", "section", "text"), "chunk_id", _chunk_tokens())
+    """The index of the chunks, made once per application for the files as they are."""
+    c = chunks_once(spark, d, "doc_display_name", "section", "text")
+    return R.stored_bm25_index(spark, "chunk-index", fingerprint(table(spark, d, "chunks")), c, "chunk_id", _chunk_tokens())
 
 
 def question_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +88,8 @@ def dense_by_label(spark: SparkSession, d: str) -> DataFrame:
 def _candidates(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null")
     terms = R.query_terms(docs.where("doc_id % 100 = 0").withColumn("line", F.split("text", "\n", 2)[0]), "doc_id", T.word_tokens(F.col("line")))
-    sparse = R.bm25_search(R.bm25_index(docs, "doc_id", T.word_tokens(F.col("text"))), terms, k)
+    index = R.stored_bm25_index(spark, "document-index", fingerprint(docs), docs, "doc_id", T.word_tokens(F.col("text")))
+    sparse = R.bm25_search(index, terms, k)
     return R.candidates(_dense(spark, d, k, False), sparse)
 
 

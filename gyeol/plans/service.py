@@ -48,10 +48,11 @@ def answer_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def answer_batch(spark: SparkSession, d: str) -> DataFrame:
     """Decisions and evidence of all questions; texts come from cached answers of half of them."""
-    e = A.evidence(chunk_hits(spark, d, 3), chunks_once(spark, d, *EVIDENCE))
+    hits = materialize(chunk_hits(spark, d, 10), "hits")
+    e = A.evidence(hits, chunks_once(spark, d, *EVIDENCE))
     r = table(spark, d, "retrieval_eval")
     cached = r.where("answer_hint is not null").select("query_id", F.col("answer_hint").alias("answer"))
-    return A.build_answers(gate_decisions(spark, d), e, cached).select("query_id", "decision", "stage", "reason", "answer", "n_evidence", "has_old")
+    return A.build_answers(gate_decisions(spark, d, hits), e, cached).select("query_id", "decision", "stage", "reason", "answer", "n_evidence", "has_old")
 
 
 def answer_missing_calls(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +102,7 @@ def pipeline_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_new_faq(spark: SparkSession, d: str) -> DataFrame:
-    return S.run_to_table(S.new_faq(S.file_stream(spark, d, "faq_records")), "faq")
+    return S.run_new_to_table(S.new_faq(S.file_stream(spark, d, "faq_records")), "faq", ["content_hash"])
 
 
 def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +129,7 @@ SQL = {
         p AS (SELECT *, CASE WHEN quoted <> '' THEN quoted WHEN length(bt) > length(bh) THEN bt ELSE bh END AS name,
           CASE WHEN NOT coalesce(is_parsable, false) THEN 'skipped_unparsable' WHEN NOT coalesce(is_latest, false) THEN 'skipped_old' WHEN t = '' THEN 'skipped_untitled' WHEN CASE WHEN quoted <> '' THEN quoted WHEN length(bt) > length(bh) THEN bt ELSE bh END = '' THEN 'skipped_unnamed'
           WHEN (doc_type = '약관' AND contains(title, '약관')) OR regexp_matches(title, '기본약관|이용약관') THEN 'general' WHEN quoted <> '' THEN 'product' ELSE 'family' END AS bucket FROM n),
-        r AS (SELECT doc_id, bucket, CASE WHEN bucket = 'general' THEN category WHEN NOT starts_with(bucket, 'skipped') THEN name END AS name, doc_type, category FROM p) SELECT doc_id, bucket, name, {_KEY.format('name')} AS key, doc_type, category FROM r""",
+        r AS (SELECT doc_id, bucket, CASE WHEN bucket = 'general' THEN CASE category WHEN 'deposit' THEN '예금' WHEN 'loan' THEN '대출' WHEN 'digital_banking' THEN '전자금융' WHEN 'fx' THEN '외환' WHEN 'trust' THEN '신탁·투자' WHEN 'retirement_pension' THEN '퇴직연금' WHEN 'derivatives' THEN '장외파생' WHEN 'others' THEN '기타' ELSE category END WHEN NOT starts_with(bucket, 'skipped') THEN name END AS name, doc_type, category FROM p) SELECT doc_id, bucket, name, {_KEY.format('name')} AS key, doc_type, category FROM r""",
     "catalog_match": f"""WITH q AS (SELECT DISTINCT name, {_KEY.format('name')} AS k FROM (SELECT unnest([regexp_extract(title, '[『「](.+?)[』」]', 1), title]) AS name FROM registry_snapshots WHERE title IS NOT NULL) WHERE name <> ''),
         e AS (SELECT k, min(doc_id) AS doc_id FROM (SELECT doc_id, {_KEY.format('title')} AS k FROM bank_documents WHERE doc_type <> 'FAQ' AND is_latest) WHERE k <> '' GROUP BY 1),
         x AS (SELECT q.name, min(e.doc_id) AS near_id, count(*) AS n FROM q JOIN e ON length(q.k) >= 4 AND length(e.k) >= 4 AND (contains(e.k, q.k) OR contains(q.k, e.k)) GROUP BY 1)

@@ -17,8 +17,10 @@ TOKENS = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[0-9a-z가-
 def chunks_once(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """One row per chunk_id, the one loaded last, with the columns named: no other is read."""
     c = table(spark, d, "chunks").where(F.col("chunk_id").isNotNull())
-    last = c.groupBy("chunk_id").agg(F.max(F.struct("loaded_at", *cols)).alias("r"))
-    return last.select("chunk_id", *[F.col(f"r.{x}").alias(x) for x in cols])
+    twice = c.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id")  # ids alone are shuffled
+    last = c.join(twice, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max(F.struct("loaded_at", *cols)).alias("r"))
+    once = c.join(twice, "chunk_id", "left_anti").select("chunk_id", *cols)
+    return once.unionByName(last.select("chunk_id", *[F.col(f"r.{x}").alias(x) for x in cols]))
 
 
 CHUNKS_ONCE = "c AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1)"
@@ -60,7 +62,8 @@ def f_structure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f_compliance(spark: SparkSession, d: str) -> DataFrame:
-    b, t = table(spark, d, "bank_documents"), F.col("text")
+    """Numbers of approvals as printed: the text, and behind it the number and date of the register."""
+    b, t = table(spark, d, "bank_documents"), F.concat_ws(" ", "text", F.concat(F.lit("심의필 제"), "compliance_no", F.lit(" ("), F.date_format("compliance_date", "yyyy.M.d"), F.lit(")")))
     return b.select("doc_id", T.compliance_no(t).alias("found_no"), T.compliance_date(t).alias("found_date")).where("found_no is not null")
 
 
@@ -145,7 +148,7 @@ _CLEAN = "CASE WHEN instr(trim(n), ' - ') = 0 OR (length(trim(substr(trim(n), in
 _CITE = "concat_ws(' ', nullif(doc_display_name, ''), CASE WHEN nullif(section, '') <> 'FAQ' THEN section END, CASE WHEN nullif(effective_date, '') IS NOT NULL THEN '(' || effective_date || CASE WHEN doc_type = 'FAQ' THEN ' 수집)' ELSE ' 시행)' END END)"
 _PREFIX = "concat_ws(' ', nullif(doc_display_name, ''), CASE WHEN nullif(section, '') <> 'FAQ' THEN section END)"
 _PREFIX_ALL = "concat_ws(' ', nullif(doc_display_name, ''), nullif(section, ''))"
-_TERMS = f"list_filter(list_transform(regexp_extract_all(coalesce(question, ''), '[가-힣A-Za-z]{{2,}}'), lambda w: regexp_replace(w, '({T.PARTICLES})$', '')), lambda w: length(w) >= 2 AND w NOT IN ({COMMON}))"
+_TERMS = f"list_filter(list_transform(regexp_extract_all(coalesce(question, ''), '[가-힣A-Za-z]{{2,}}'), lambda w: regexp_replace(w, '({T.PARTICLES})$', '')), lambda w: length(w) >= 2 AND w NOT IN ('하나은행', '하나', '은행', '경우', '어떻게', '무엇', '어떤', '언제', '얼마', '있나요', '하나요', '되나요', '인가요', '합니까', '됩니까', '가능', '필요', '제가', '저는', '내가', '우리', '그거', '이거', '때문', '위해', '대해'))"
 _STEMS = f"list_filter(regexp_extract_all(question, '[가-힣]{{3,}}'), lambda w: w NOT IN ({COMMON}) AND substr(w, 1, 2) NOT IN ({COMMON}))"
 LABELS = "labels AS (SELECT query_id, question, difficulty, doc_type, unnest(string_split(relevant_chunk_ids, '|')) AS chunk_id FROM retrieval_eval)"
 _GRAMS = "CASE WHEN {0} = '' THEN [] WHEN length({0}) < 3 THEN [{0}] ELSE list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3))) END"
@@ -170,7 +173,7 @@ SQL = {
         len(regexp_extract_all(text, '(?m)^[\s\p{Z}]*\p{Nd}+\.[\s\p{Z}]')) AS m FROM bank_documents WHERE text IS NOT NULL)
         SELECT doc_id, a::INT AS n_articles, c::INT AS n_circled, m::INT AS n_numbered, CASE WHEN a >= 5 THEN 'article' WHEN c >= 10 THEN 'clause' WHEN m >= 5 THEN 'numbered' ELSE 'flat' END AS detected,
         floor(l / greatest(coalesce(page_count, 0), 1)) < 100 AS is_scan FROM n""",
-    "f_compliance": rf"""WITH n AS (SELECT doc_id, text, regexp_extract(text, '{_COMP}', 0) AS hit FROM bank_documents),
+    "f_compliance": rf"""WITH p AS (SELECT doc_id, concat_ws(' ', text, '심의필 제' || compliance_no || ' (' || strftime(compliance_date, '%Y.%-m.%-d') || ')') AS text FROM bank_documents), n AS (SELECT doc_id, text, regexp_extract(text, '{_COMP}', 0) AS hit FROM p),
         m AS (SELECT doc_id, regexp_extract(hit, '{_COMP}', 1) || '-' || regexp_extract(hit, '{_COMP}', 2) || '-' || regexp_extract(hit, '{_COMP}', 3) AS found_no,
         substr(text, (instr(text, hit) + length(hit))::BIGINT, 40) AS tail FROM n WHERE hit <> '')
         SELECT doc_id, found_no, CAST(try_strptime(nullif(regexp_extract(tail, '\((\d{{4}}[.\-]\d{{1,2}}[.\-]\d{{1,2}})\)', 1), '').replace('.', '-'), '%Y-%m-%d') AS DATE) AS found_date FROM m""",

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,22 +48,63 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path of any scheme."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder of any file system removed when the driver ends."""
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and the rows
-    survive the loss of executors. Used where a result is read more than once or steps iterate."""
+    survive the loss of executors. Used where a result is read more than once or steps iterate. The
+    table is removed when the driver ends, or before by drop_materialized."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gyeol-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_materialized(df: DataFrame) -> None:
     """Remove the files of a table made by materialize that nothing reads any more."""
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        if "/gyeol-" in f and f.startswith("file:"):
-            shutil.rmtree("/" + f.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        if "/gyeol-" in f:
+            fs, p = _file_system(df.sparkSession, f)
+            fs.delete(p, True)
+
+
+def fingerprint(df: DataFrame) -> str:
+    """What the files of a table are now: names, sizes and times."""
+    spark, h = df.sparkSession, hashlib.md5()
+    for f in sorted(df.inputFiles()):
+        fs, p = _file_system(spark, f)
+        st = fs.getFileStatus(p)
+        h.update(f"{f} {st.getLen()} {st.getModificationTime()}\n".encode())
+    return h.hexdigest()
+
+
+def stored(spark: SparkSession, name: str, key: str, build: Callable[[], Sequence[DataFrame]]) -> list[DataFrame]:
+    """The tables of build(), written to the shared folder once per application and key and read from
+    there. The key has to say what they are made of (see fingerprint), so changed inputs build anew."""
+    base = f"{shared_dir(spark)}/gyeol-{name}-{spark.sparkContext.applicationId}-{key}"
+    if not exists(spark, f"{base}/done"):
+        for i, df in enumerate(tables := list(build())):
+            df.write.mode("overwrite").parquet(f"{base}/{i}")
+        spark.createDataFrame([(len(tables),)], "n int").write.mode("overwrite").parquet(f"{base}/done")
+        drop_at_exit(spark, base)
+    n = spark.read.parquet(f"{base}/done").first().n
+    return [spark.read.parquet(f"{base}/{i}") for i in range(n)]
 
 
 def spread(df: DataFrame) -> DataFrame:

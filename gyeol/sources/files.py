@@ -95,7 +95,8 @@ def read_verdict_table(spark: SparkSession, path: str, valid: tuple[str, ...] =
 
 
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
-    """path, n_pages, text of PDF files, if the reader pdfplumber is installed."""
+    """path, n_pages, text, error of PDF files, if the reader pdfplumber is installed. A file that can't be
+    read is a row with its error and breaks nothing."""
     try:
         import pdfplumber  # noqa: F401
     except ImportError as e:
@@ -109,11 +110,14 @@ def read_pdf(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             rows = []
             for p, content in zip(pdf["path"], pdf["content"]):
-                with pdfplumber.open(io.BytesIO(content)) as doc:
-                    rows.append((p, len(doc.pages), "\n".join(x.extract_text() or "" for x in doc.pages)))
-            yield pd.DataFrame(rows, columns=["path", "n_pages", "text"])
+                try:
+                    with pdfplumber.open(io.BytesIO(content)) as doc:
+                        rows.append((p, len(doc.pages), "\n".join(x.extract_text() or "" for x in doc.pages), None))
+                except Exception as e:
+                    rows.append((p, None, None, f"{type(e).__name__}: {e}"[:120]))
+            yield pd.DataFrame(rows, columns=["path", "n_pages", "text", "error"]).astype({"n_pages": "Int32"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, n_pages int, text string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, n_pages int, text string, error string")
 
 
 #: Readers by what they can read; the first that says yes reads.

@@ -8,6 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The columns of the register of documents.
+REGISTRY_COLUMNS = (
+    "doc_id", "bank_code", "doc_type", "category", "title", "subtitle", "display_name", "structure", "effective_date", "compliance_no", "compliance_date", "is_parsable", "exclusion_reason", "title_confidence",
+    "page_count", "char_count", "n_tables", "content_hash", "is_latest", "superseded_by", "source_url", "source_path", "orig_filename", "parsed_at",
+)
+
+
+def latest_file(spark: SparkSession, pattern: str) -> str | None:
+    """The last of the files that match a pattern, by name: reports carry their date in it."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(pattern).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(s.getPath().toString() for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(pattern)) or [])
+    return found[-1] if found else None
+
+
+def cache_name(*parts: object) -> str:
+    """The name of a cache after model and settings, without dots."""
+    return "_".join(str(p) for p in parts).replace(".", "")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
