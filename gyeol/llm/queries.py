@@ -56,17 +56,18 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """The texts of both tables under common columns; chunk rows are made one per chunk_id later."""
+    """The texts of both tables under common columns; chunk rows are made one per chunk_id later. Rows without
+    id are each a text of their own, told apart by `row`."""
     c = table(spark, d, "chunks").select(F.lit("chunks").alias("origin"), F.col("chunk_id").alias("text_id"), F.col("doc_type").alias("source"), tokens.language(F.col("lang")).alias("lang"), F.col("category").alias("domain"), F.col("loaded_at").alias("at"), "text")
     x = table(spark, d, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").cast("string").alias("text_id"), "source", tokens.language(F.col("lang")).alias("lang"), "domain", F.col("collected_at").alias("at"), "text")
-    return c.unionByName(x)
+    return c.unionByName(x).withColumn("row", F.when(F.col("text_id").isNull(), F.monotonically_increasing_id()))
 
 
 def p6_tokens(spark: SparkSession, d: str) -> DataFrame:
     """origin, text_id, source, lang, domain, n_chars, n_tokens: one row per text, each chunk_id
     counted once, by its row loaded last."""
-    rows = tokens.token_counts(_texts(spark, d), ["origin", "text_id", "source", "lang", "domain", "at"])
-    last = rows.groupBy("origin", "text_id").agg(F.max(F.struct("at", "n_chars", "n_tokens", "source", "lang", "domain")).alias("r"))
+    rows = tokens.token_counts(_texts(spark, d), ["origin", "text_id", "row", "source", "lang", "domain", "at"])
+    last = rows.groupBy("origin", "text_id", "row").agg(F.max(F.struct("at", "n_chars", "n_tokens", "source", "lang", "domain")).alias("r"))
     return last.select("origin", "text_id", "r.source", "r.lang", "r.domain", "r.n_chars", "r.n_tokens")
 
 
@@ -173,8 +174,39 @@ UNION ALL SELECT DISTINCT chunk_id, NULL, 0 FROM chunks WHERE text IS NULL
 """
 
 
+_W = r"[\s\p{Z}\x0b\x{85}]"
+_DIGITS = rf"[0-9０-９]({_W}*[0-9０-９])*"
+P1_FOUND = rf"""
+WITH d AS (
+  SELECT doc_id, text, CASE WHEN lower(trim(structure)) IN ('article', 'clause', 'numbered', 'qa_pair') THEN lower(trim(structure)) ELSE 'flat' END AS kind
+  FROM bank_documents WHERE is_parsable AND text IS NOT NULL),
+l AS (SELECT doc_id, kind, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+m AS (
+  SELECT *, CASE kind
+    WHEN 'article' THEN regexp_matches(line, '^{_W}*제{_W}*{_DIGITS}{_W}*조{_W}*(의{_W}*{_DIGITS}{_W}*)?[(（\[［{{｛<＜〈《「『【〔〖〘⟨⟪].*[)）\]］}}｝>＞〉》」』】〕〗〙⟩⟫]')
+    WHEN 'clause' THEN regexp_matches(line, '^{_W}*[①-⑳⓪-⓴⓵-⓾❶-➓㉑-㉟㊱-㊿]')
+    WHEN 'numbered' THEN regexp_matches(line, '^{_W}*[0-9]{{1,2}}[.)]{_W}')
+    WHEN 'qa_pair' THEN regexp_matches(line, '^{_W}*[QA]\.')
+    ELSE regexp_matches(line, '[^\s\p{{Z}}\x0b\x{{85}}]') AND coalesce(NOT regexp_matches(lag(line) OVER w, '[^\s\p{{Z}}\x0b\x{{85}}]'), true) END AS opens
+  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, i, line, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS unit_no FROM m),
+u AS (SELECT doc_id, unit_no::INT AS unit_no, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^{_W}+|{_W}+$', '', 'g') AS t FROM n GROUP BY 1, 2)
+SELECT doc_id, unit_no FROM u WHERE length(t) > 900
+"""
+
+P8_FOUND = r"""
+WITH d AS (SELECT doc_id, regexp_replace(lower(nfc_normalize(text)), '[^\p{L}\p{N}]', '', 'g') AS s FROM documents WHERE text IS NOT NULL),
+t AS (SELECT item_id, regexp_replace(lower(nfc_normalize(passage)), '[^\p{L}\p{N}]', '', 'g') AS s FROM eval_items WHERE passage IS NOT NULL),
+g AS (SELECT DISTINCT item_id, substr(s, i, 50) AS run FROM (SELECT item_id, s, unnest(generate_series(1, length(s) - 49)) AS i FROM t)),
+x AS (SELECT doc_id, substr(s, i, 50) AS run FROM (SELECT doc_id, s, unnest(generate_series(1, length(s) - 49)) AS i FROM d))
+SELECT DISTINCT doc_id, item_id FROM x JOIN g USING (run)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": P1_FOUND,
+        "p8_found": P8_FOUND,
         "p3_found": f"WITH {P3_LINES} SELECT DISTINCT chunk_id, line_no::INT AS line_no FROM hit WHERE chunk_id IS NOT NULL",
         "p3_blocks": P3_BLOCKS,
         "p3_clean": P3_CLEAN,
