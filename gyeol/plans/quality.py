@@ -9,7 +9,8 @@ from gyeol.functions import text as T
 from gyeol.operators import chunking as C
 from gyeol.operators import quality as Q
 from gyeol.operators import similar as S
-from gyeol.plans.text import _GRAMS, CHUNKS_ONCE, LABELS, SP, chunks_once, labels_long
+from gyeol.plans import chunk_sql
+from gyeol.plans.text import _GRAMS, _NAME, CHUNKS_ONCE, LABELS, SP, chunks_once, labels_long
 from gyeol.sources.tables import table
 
 
@@ -18,11 +19,11 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_structural(spark: SparkSession, d: str) -> DataFrame:
-    return C.chunk_documents(_docs(spark, d))
+    return C.chunk_documents(_docs(spark, d)).select("*", "metadata.*").drop("metadata")
 
 
 def chunk_flat(spark: SparkSession, d: str) -> DataFrame:
-    return C.chunk_documents(_docs(spark, d), by_structure=False)
+    return C.chunk_documents(_docs(spark, d), by_structure=False).select("*", "metadata.*").drop("metadata")
 
 
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -212,6 +213,8 @@ _FILEKIND = "CASE WHEN contains(orig_filename, '_terms_') THEN '약관' ELSE '
 _FILECAT = "CASE " + " ".join(f"WHEN contains(orig_filename, '_{c}_') THEN '{c}'" for c in T.CATEGORIES) + " ELSE 'unknown' END"
 
 SQL = {
+    "chunk_structural": chunk_sql.chunks(True, _NAME),
+    "chunk_flat": chunk_sql.chunks(False, _NAME),
     "chunk_stats": f"""WITH {CHUNKS_ONCE}, s AS (SELECT doc_type, list_sort(list(length(text))) AS l FROM c WHERE text IS NOT NULL GROUP BY 1)
         SELECT doc_type, len(l) AS n, floor(list_sum(l) / len(l))::BIGINT AS avg_chars, l[(len(l) // 2 + 1)::BIGINT]::INT AS median_chars, l[(floor(len(l) * 0.95::DOUBLE) + 1)::BIGINT]::INT AS p95_chars, l[-1]::INT AS max_chars, len(list_filter(l, lambda x: x > 900)) AS n_over FROM s""",
     "chunk_stats_by_doc": f"WITH {CHUNKS_ONCE} SELECT doc_id, count(*) AS n_chunks, (sum(length(text)) // count(*))::BIGINT AS avg_chars, max(length(text))::INT AS max_chars FROM c WHERE text IS NOT NULL GROUP BY 1",
