@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -183,34 +182,64 @@ def bm25_search(index: tuple[DataFrame, ...], terms: DataFrame, k: int, k1: floa
 # Dense
 
 
-def _dense_block(queries: tuple[list, np.ndarray], k: int):
-    ids, matrix = queries
+def _dense_best(queries, k: int):
+    """From vectors: for each query those among the k best of the task, ties kept until the final window."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            keys = pdf["id"].to_numpy()
-            scores = matrix @ np.array(pdf["vector"].tolist(), np.float64).T
-            n = min(k, scores.shape[1])
-            rounded = np.round(scores, 9)
-            for i, q in enumerate(ids):
-                floor = np.partition(rounded[i], -n)[-n]
-                at = np.flatnonzero(rounded[i] >= floor)  # ties stay until the final window
-                yield pd.DataFrame({"query_id": q, "id": keys[at], "score": scores[i][at]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, nq = queries.value, len(queries.value)
+        floor = np.full(nq, -np.inf)
+        q_all, s_all, id_all, held = [], [], [], 0
+
+        def compact():
+            nonlocal q_all, s_all, id_all, held
+            q, s, ids = np.concatenate(q_all), np.concatenate(s_all), pa.concat_arrays(id_all)
+            order = np.lexsort((-s, q))
+            q, s = q[order], s[order]
+            first = np.searchsorted(q, np.arange(nq + 1))
+            kth = first[:-1] + k - 1
+            full = kth < first[1:]
+            floor[full] = np.round(s[kth[full]], 9)
+            keep = np.round(s, 9) >= floor[q]
+            q_all, s_all, id_all, held = [q[keep]], [s[keep]], [ids.take(pa.array(order[keep]))], int(keep.sum())
+
+        step = max(1, 4_000_000 // max(nq, 1))
+        for batch in batches:
+            ids, vectors = batch.column("id"), batch.column("vector")
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+            for lo in range(0, len(vectors), step):
+                scores = matrix @ flat[lo : lo + step].T
+                rounded = np.round(scores, 9)
+                n = rounded.shape[1]
+                least = np.maximum(floor, np.partition(rounded, n - k, axis=1)[:, n - k]) if n > k else floor
+                q, d = np.nonzero(rounded >= least[:, None])
+                q_all.append(q)
+                s_all.append(scores[q, d])
+                id_all.append(ids.take(pa.array(d + lo)))
+                held += len(q)
+                if held > 3_000_000:
+                    compact()
+        if held:
+            compact()
+            for lo in range(0, held, 200_000):
+                cut = slice(lo, lo + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(q_all[0][cut].astype(np.int32)), id_all[0][cut], pa.array(s_all[0][cut])], ["q", "id", "score"])
 
     return run
 
 
 def dense_search(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_col: str, query_vector: str, k: int, exclude_self: bool = False) -> DataFrame:
-    """query_id, id, score, rank by exact inner product, ties by id. k beyond the table gives all."""
+    """query_id, id, score, rank by exact inner product, ties by id. k beyond the table gives all. All
+    vectors have one dimension. Queries go in blocks of BLOCK_QUERIES, each broadcast once and matched in one
+    pass over the vectors; only the k best of a task leave it."""
     spark = vectors.sparkSession
     src = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     kind, qkind = src.schema["id"].dataType.simpleString(), queries.schema[query_col].dataType.simpleString()
     out, ids, rows = None, [], []
 
     def block(out):
-        part = src.mapInPandas(_dense_block((list(ids), np.array(rows, np.float64)), k + exclude_self), f"query_id {qkind}, id {kind}, score double")
+        part = src.mapInArrow(_dense_best(spark.sparkContext.broadcast(np.array(rows, np.float64)), k + exclude_self), f"q int, id {kind}, score double")
+        names = spark.createDataFrame(list(enumerate(ids)), f"q int, query_id {qkind}")
+        part = part.join(F.broadcast(names), "q").select("query_id", "id", "score")  # at most BLOCK_QUERIES rows
         return part if out is None else out.union(part)
 
     for r in queries.where(F.col(query_vector).isNotNull()).select(query_col, query_vector).toLocalIterator():

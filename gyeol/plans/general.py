@@ -63,6 +63,29 @@ v AS (
   FROM starts WINDOW w AS (PARTITION BY doc_id ORDER BY as_of))
 """
 
+P2_LEDGER = """
+WITH u AS (
+  SELECT * EXCLUDE rn FROM (
+    SELECT doc_id, as_of::DATE AS d, coalesce(received_at::TIMESTAMP, TIMESTAMP '1970-01-01') AS r, effective_date, nullif(regexp_replace(compliance_no, '[\\s\\p{Z}\\x0b\\x{85}]+', '', 'g'), '') AS compliance_no,
+           is_latest, nullif(superseded_by, '') AS superseded_by,
+           row_number() OVER (PARTITION BY doc_id, as_of, coalesce(received_at::TIMESTAMP, TIMESTAMP '1970-01-01') ORDER BY update_id DESC) AS rn
+    FROM document_updates WHERE doc_id IS NOT NULL AND as_of IS NOT NULL) WHERE rn = 1),
+since AS (SELECT doc_id, d, min(r) AS known FROM u GROUP BY 1, 2),
+seen AS (SELECT s.doc_id, s.d, p.r FROM since s JOIN (SELECT DISTINCT doc_id, r FROM u) p ON s.doc_id = p.doc_id AND p.r >= s.known),
+state AS (
+  SELECT seen.doc_id, seen.d, seen.r, arg_max({'e': u.effective_date, 'c': u.compliance_no, 'l': u.is_latest, 's': u.superseded_by}, u.r) AS st
+  FROM seen JOIN u ON seen.doc_id = u.doc_id AND seen.d = u.d AND u.r <= seen.r GROUP BY 1, 2, 3),
+bound AS (
+  SELECT seen.doc_id, seen.d, seen.r, min(s.d) AS vto FROM seen LEFT JOIN since s ON seen.doc_id = s.doc_id AND s.d > seen.d AND s.known <= seen.r GROUP BY 1, 2, 3),
+cells AS (SELECT doc_id, d, r, st, coalesce(vto, DATE '9999-12-31') AS vto FROM state JOIN bound USING (doc_id, d, r)),
+starts AS (
+  SELECT * FROM (
+    SELECT *, lag(r) OVER w IS NULL OR lag(st) OVER w IS DISTINCT FROM st OR lag(vto) OVER w <> vto AS new FROM cells WINDOW w AS (PARTITION BY doc_id, d ORDER BY r)) WHERE new)
+SELECT doc_id, st.e AS effective_date, st.c AS compliance_no, st.l AS is_latest, st.s AS superseded_by, d AS valid_from, vto AS valid_to, r AS recorded_from,
+       lead(r) OVER (PARTITION BY doc_id, d ORDER BY r) AS recorded_to
+FROM starts
+"""
+
 P4_CHANGES = """
 last AS (
   SELECT * FROM (
@@ -82,6 +105,7 @@ changes AS (
 QUERIES = {"p2_found": p2_found, "p2_versions": p2_versions, "p2_ledger": p2_ledger, "p4_found": p4_found, "p4_summary": p4_summary}
 
 SQL = {
+    "p2_ledger": P2_LEDGER,
     "p2_found": f"WITH {P2_STATES} SELECT doc_id, version_no::INT AS version_no, strftime(valid_from, '%Y-%m-%d') AS valid_from, strftime(valid_to, '%Y-%m-%d') AS valid_to FROM v",
     "p2_versions": f"WITH {P2_STATES} SELECT doc_id, version_no::INT AS version_no, effective_date, compliance_no, is_latest, superseded_by, valid_from, valid_to FROM v",
     "p4_found": f"WITH {P4_CHANGES} SELECT snapshot_no, doc_id, change_kind FROM changes WHERE change_kind IS NOT NULL",

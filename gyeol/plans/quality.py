@@ -263,6 +263,12 @@ SQL = {
         SELECT chunk_id, doc_type, category, rt::INT AS pick FROM e WHERE rt <= CASE doc_type WHEN '설명서' THEN 50 WHEN '약관' THEN 30 WHEN 'FAQ' THEN 20 ELSE 0 END""",
     "sample_blank": rf"WITH {CHUNKS_ONCE} SELECT doc_id, arg_min(chunk_id, (md5('7' || chunk_id), chunk_id)) AS chunk_id FROM c WHERE regexp_matches(text, '\(\s*\)|\(\s*%\s*\)|（\s*）|_{{3,}}|\.{{5,}}|☐|□') GROUP BY 1",
     "sample_strata": "SELECT query_id, difficulty, doc_type, pick::INT AS pick FROM (SELECT query_id, coalesce(difficulty, 'none') AS difficulty, doc_type, row_number() OVER (PARTITION BY coalesce(difficulty, 'none'), doc_type ORDER BY md5('42' || query_id), query_id) AS pick FROM retrieval_eval) WHERE pick <= 2",
+    "remap": f"""WITH {CHUNKS_ONCE}, {LABELS}, o AS (SELECT DISTINCT query_id, chunk_id AS old_id, doc_id, regexp_replace(text, '[^가-힣A-Za-z0-9]', '', 'g') AS t FROM (SELECT query_id, chunk_id FROM labels) JOIN (SELECT chunk_id, doc_id, text FROM c) USING (chunk_id)),
+        n AS (SELECT chunk_id AS new_id, doc_id, regexp_replace(text, '[^가-힣A-Za-z0-9]', '', 'g') AS u FROM ({chunk_sql.chunks(True, _NAME)}) WHERE doc_id IN (SELECT doc_id FROM o)),
+        og AS (SELECT *, {_GRAMS.format('t')} AS a FROM o), ng AS (SELECT *, {_GRAMS.format('u')} AS b FROM n),
+        p AS (SELECT query_id, old_id, new_id, CASE WHEN old_id = new_id AND t = u THEN 2 WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b))::DOUBLE ELSE 0 END AS s FROM og JOIN ng USING (doc_id)),
+        r AS (SELECT *, row_number() OVER w AS rank, max(s) OVER (PARTITION BY query_id, old_id) AS best FROM p WHERE s >= 0.25 WINDOW w AS (PARTITION BY query_id, old_id ORDER BY round(s, 9) DESC, new_id DESC))
+        SELECT query_id, old_id, new_id, round(least(s, 1), 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= 3 AND (best < 2 AND s >= best * 0.5 OR s = 2)""",
     "remap_self": f"""WITH {CHUNKS_ONCE}, {LABELS}, o AS (SELECT DISTINCT query_id, chunk_id AS old_id, doc_id, regexp_replace(text, '[^가-힣A-Za-z0-9]', '', 'g') AS t FROM (SELECT query_id, chunk_id FROM labels) JOIN (SELECT chunk_id, doc_id, text FROM c WHERE text IS NOT NULL) USING (chunk_id)),
         n AS (SELECT chunk_id || 'n' AS new_id, doc_id, regexp_replace(text, '[^가-힣A-Za-z0-9]', '', 'g') AS u FROM c WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM o)),
         og AS (SELECT *, {_GRAMS.format('t')} AS a FROM o), ng AS (SELECT *, {_GRAMS.format('u')} AS b FROM n),
