@@ -176,22 +176,48 @@ UNION ALL SELECT DISTINCT chunk_id, NULL, 0 FROM chunks WHERE text IS NULL
 
 _W = r"[\s\p{Z}\x0b\x{85}]"
 _DIGITS = rf"[0-9０-９]({_W}*[0-9０-９])*"
-P1_FOUND = rf"""
-WITH d AS (
-  SELECT doc_id, text, CASE WHEN lower(trim(structure)) IN ('article', 'clause', 'numbered', 'qa_pair') THEN lower(trim(structure)) ELSE 'flat' END AS kind
-  FROM bank_documents WHERE is_parsable AND text IS NOT NULL),
-l AS (SELECT doc_id, kind, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+_HEADS = {
+    "article": rf"제{_W}*{_DIGITS}{_W}*조{_W}*(?:의{_W}*{_DIGITS}{_W}*)?[(（\[［{{｛<＜〈《「『【〔〖〘⟨⟪].*?[)）\]］}}｝>＞〉》」』】〕〗〙⟩⟫]",
+    "clause": "[①-⑳⓪-⓴⓵-⓾❶-➓㉑-㉟㊱-㊿]",
+    "numbered": rf"[0-9]{{1,2}}[.)]{_W}",
+    "qa_pair": r"[QA]\.",
+}
+_TEXT = r"[^\s\p{Z}\x0b\x{85}]"
+P1_UNITS = rf"""
+d AS (
+  SELECT doc_id, text, is_parsable, CASE WHEN lower(trim(structure)) IN ('article', 'clause', 'numbered', 'qa_pair') THEN lower(trim(structure)) ELSE 'flat' END AS kind
+  FROM bank_documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, is_parsable, kind, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 m AS (
-  SELECT *, CASE kind
-    WHEN 'article' THEN regexp_matches(line, '^{_W}*제{_W}*{_DIGITS}{_W}*조{_W}*(의{_W}*{_DIGITS}{_W}*)?[(（\[［{{｛<＜〈《「『【〔〖〘⟨⟪].*[)）\]］}}｝>＞〉》」』】〕〗〙⟩⟫]')
-    WHEN 'clause' THEN regexp_matches(line, '^{_W}*[①-⑳⓪-⓴⓵-⓾❶-➓㉑-㉟㊱-㊿]')
-    WHEN 'numbered' THEN regexp_matches(line, '^{_W}*[0-9]{{1,2}}[.)]{_W}')
-    WHEN 'qa_pair' THEN regexp_matches(line, '^{_W}*[QA]\.')
-    ELSE regexp_matches(line, '[^\s\p{{Z}}\x0b\x{{85}}]') AND coalesce(NOT regexp_matches(lag(line) OVER w, '[^\s\p{{Z}}\x0b\x{{85}}]'), true) END AS opens
+  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, CASE kind
+    {' '.join(f"WHEN '{k}' THEN regexp_matches(line, '^{_W}*{h}')" for k, h in _HEADS.items())}
+    ELSE regexp_matches(line, '{_TEXT}') AND coalesce(NOT regexp_matches(lag(line) OVER w, '{_TEXT}'), true) END AS opens
   FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-n AS (SELECT doc_id, i, line, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS unit_no FROM m),
-u AS (SELECT doc_id, unit_no::INT AS unit_no, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^{_W}+|{_W}+$', '', 'g') AS t FROM n GROUP BY 1, 2)
-SELECT doc_id, unit_no FROM u WHERE length(t) > 900
+n AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS unit_no FROM m),
+r AS (SELECT doc_id, any_value(is_parsable) AS is_parsable, any_value(kind) AS kind, unit_no::INT AS unit_no, min(off) AS off, string_agg(line, chr(10) ORDER BY i) AS raw FROM n GROUP BY doc_id, unit_no),
+u AS (SELECT *, regexp_replace(raw, '^{_W}+|{_W}+$', '', 'g') AS t, off + length(raw) - length(regexp_replace(raw, '^{_W}+', '')) AS start FROM r)
+"""
+P1_FOUND = f"WITH {P1_UNITS} SELECT doc_id, unit_no FROM u WHERE is_parsable AND length(t) > 900"
+# a cut depends on its own cell of the grid only: goal 600 j + 220, the 220 characters before it
+P1_CHUNKS = rf"""
+WITH {P1_UNITS},
+g AS (
+  SELECT doc_id, unit_no, start, t, length(t) AS n,
+    CASE WHEN unit_no = 0 THEN '' ELSE regexp_replace(CASE kind {' '.join(f"WHEN '{k}' THEN regexp_extract(t, '^({h})', 1)" for k, h in _HEADS.items())} ELSE '' END, '{_W}+$', '') END AS section,
+    unnest(generate_series(0, length(t) // 600 + 2)) AS j FROM u WHERE t <> ''),
+c AS (
+  SELECT *, 600 * j AS lo, 600 * j + 220 AS goal, substr(t, (600 * j + 1)::BIGINT, 221) AS win, substr(t, (600 * j + 2)::BIGINT, 219) AS inner_win FROM g),
+k AS (
+  SELECT *, CASE WHEN j = 0 THEN 0
+    WHEN regexp_matches(win, '(?s)[.!?。…]["''”’)\]』」】]*\s') THEN lo + length(regexp_extract(win, '(?s)^(.*[.!?。…]["''”’)\]』」】]*)\s', 1))
+    WHEN contains(inner_win, chr(10)) THEN lo + 2 + length(regexp_extract(inner_win, '(?s)^(.*)\n', 1))
+    WHEN contains(inner_win, ' ') THEN lo + 2 + length(regexp_extract(inner_win, '(?s)^(.*) ', 1))
+    ELSE goal END AS cut FROM c),
+p AS (
+  SELECT *, n - (cut - CASE WHEN j > 0 THEN 80 ELSE 0 END) > 900 AS more, lead(cut) OVER w AS next_cut, lag(n - (cut - CASE WHEN j > 0 THEN 80 ELSE 0 END) > 900) OVER w AS before
+  FROM k WINDOW w AS (PARTITION BY doc_id, unit_no ORDER BY j)),
+q AS (SELECT *, CASE WHEN j > 0 THEN cut - 80 ELSE 0 END AS a, CASE WHEN more THEN next_cut ELSE n END AS b FROM p WHERE j = 0 OR before)
+SELECT doc_id, unit_no, j::INT AS piece_no, (start + a)::BIGINT AS start, section, substr(t, (a + 1)::BIGINT, (b - a)::BIGINT) AS text FROM q
 """
 
 P8_FOUND = r"""
@@ -206,6 +232,7 @@ SELECT DISTINCT doc_id, item_id FROM x JOIN g USING (run)
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_FOUND,
+        "p1_chunks": P1_CHUNKS,
         "p8_found": P8_FOUND,
         "p3_found": f"WITH {P3_LINES} SELECT DISTINCT chunk_id, line_no::INT AS line_no FROM hit WHERE chunk_id IS NOT NULL",
         "p3_blocks": P3_BLOCKS,
