@@ -47,6 +47,31 @@ def build_answers(decisions: DataFrame, evidence_rows: DataFrame, generated: Dat
     return out.withColumn("json", F.to_json(F.struct("query_id", "decision", "stage", "reason", "answer", "evidence")))
 
 
+#: Marks and headings of an answer as shown.
+MARKS = "①②③④⑤⑥⑦⑧⑨⑩"
+ANSWERED, REFUSED, EVIDENCE, STALE = "[답변]", "[답변 불가]", "[근거]", "  ※ 최신본이 아닐 수 있음"
+
+
+def display(answers: DataFrame, max_chars: int = 600) -> DataFrame:
+    """query_id, display: an answer, or why there is none, and its evidence as it stands, up to `max_chars`
+    of each piece; what isn't the latest is marked. answers: rows of build_answers."""
+    mark = lambda x: F.when(x["rank"] <= len(MARKS), F.substr(F.lit(MARKS), x["rank"], F.lit(1))).otherwise(F.concat(F.lit("["), x["rank"].cast("string"), F.lit("]")))
+    body = lambda x: F.concat(F.substring(x["text"], 1, max_chars), F.when(F.length(x["text"]) > max_chars, " …").otherwise(""))
+    one = lambda x: F.concat(F.lit("\n\n"), mark(x), F.lit(" "), x["header"], F.when(x["is_latest"], "").otherwise(STALE), F.lit("\n   "), body(x))
+    why = F.concat(F.lit("\n\n(사유: "), "reason", F.lit(" / 판정: "), "stage", F.lit(")"))
+    head = F.when(F.col("decision") == "answer", F.concat(F.lit(f"{ANSWERED}\n"), "answer")).otherwise(F.concat(F.lit(f"{REFUSED}\n"), "answer", F.coalesce(why, F.lit(""))))
+    shown = F.when(F.size("evidence") > 0, F.concat(F.lit(f"\n\n{EVIDENCE}"), F.array_join(F.transform("evidence", one), ""))).otherwise("")
+    return answers.select("query_id", F.concat(head, F.coalesce(shown, F.lit(""))).alias("display"))
+
+
+def grown_cache(cache: DataFrame, results: DataFrame) -> DataFrame:
+    """The cache (key, ...) with the results (same columns) of keys it lacks; the first of each key by its values."""
+    new = results.join(cache.select("key").distinct(), "key", "left_anti")
+    rest = [c for c in cache.columns if c != "key"]
+    first = new.groupBy("key").agg(F.min(F.struct(*rest)).alias("r")).select("key", *[F.col(f"r.{c}").alias(c) for c in rest])
+    return cache.unionByName(first.select(*cache.columns))
+
+
 def missing_calls(requests: DataFrame, cache: DataFrame, *parts: Column, separator: str = "|") -> DataFrame:
     """requests with their key, those that the cache (key, ...) lacks: only these need a call."""
     keyed = requests.withColumn("key", T.cache_key(*parts, separator=separator))

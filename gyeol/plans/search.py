@@ -132,6 +132,11 @@ def fusion_grid(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def fusion_best(spark: SparkSession, d: str) -> DataFrame:
+    """The configuration with the best hit rate at 5, then rank, then name."""
+    return fusion_grid(spark, d).orderBy(F.desc("recall_5"), F.desc("mrr"), "config").limit(1)
+
+
 def _eval(spark: SparkSession, d: str, doc_level: bool = False) -> DataFrame:
     q = table(spark, d, "retrieval_eval").select("query_id", "difficulty", "doc_type")
     relevant = labels_long(spark, d).select("query_id", F.col("chunk_id").alias("id")).distinct()
@@ -185,7 +190,7 @@ def typical_terms(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "bm25_top10": bm25_top10, "bm25_terms": bm25_terms, "bm25_score_all": bm25_score_all, "self_check": self_check, "dense_top10": dense_top10, "dense_norms": dense_norms,
-    "dense_by_label": dense_by_label, "hybrid_weighted": hybrid_weighted, "hybrid_weighted_z": hybrid_weighted_z, "hybrid_rrf": hybrid_rrf, "fusion_grid": fusion_grid,
+    "dense_by_label": dense_by_label, "hybrid_weighted": hybrid_weighted, "hybrid_weighted_z": hybrid_weighted_z, "hybrid_rrf": hybrid_rrf, "fusion_grid": fusion_grid, "fusion_best": fusion_best,
     "eval_per_query": eval_per_query, "eval_averages": eval_averages, "eval_doc_level": eval_doc_level, "eval_failures": eval_failures, "eval_crosstab": eval_crosstab,
     "eval_success_scores": eval_success_scores, "vocabulary": vocabulary, "typical_terms": typical_terms,
 }
@@ -296,3 +301,4 @@ SQL["fusion_grid"] = f"""{_CANDS}, q AS (SELECT doc_id AS query_id, source, doc_
     hits AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS config, query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id {o}) AS rank FROM ({f})" for n, (f, o) in _GRID.items()) + """),
     fh AS (SELECT config, query_id, min(rank) AS r FROM hits JOIN rl USING (query_id, id) WHERE rank <= 10 GROUP BY 1, 2)
     SELECT config, count(*) AS n, round(avg((coalesce(r, 99) <= 5)::INT), 4) AS recall_5, round(avg(coalesce(1.0::DOUBLE / r, 0)), 4) AS mrr FROM (SELECT DISTINCT config FROM hits) CROSS JOIN (SELECT query_id FROM q) LEFT JOIN fh USING (config, query_id) GROUP BY 1"""
+SQL["fusion_best"] = f"SELECT * FROM ({SQL['fusion_grid']}) ORDER BY recall_5 DESC, mrr DESC, config LIMIT 1"

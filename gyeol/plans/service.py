@@ -63,11 +63,27 @@ def answer_missing_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_support(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of answers of the FAQ, each counted as supported if its first term is in the question."""
-    f = table(spark, d, "faq_records").groupBy("faq_id").agg(F.max(F.struct("answer", "question")).alias("r")).select("faq_id", "r.*")
-    s = f.select(F.col("faq_id").alias("id"), "question", F.explode(F.filter(F.split("answer", r"\n"), lambda x: F.length(x) > 5)).alias("sentence"))
-    v = s.withColumn("supported", F.coalesce(F.contains("question", F.substring("sentence", 1, 2)), F.lit(False)))
-    return A.sentence_support(v)
+    """Sentences of answers of the FAQ with cached verdicts on each, here by the hash of its place for three in
+    four; a sentence without verdict isn't supported."""
+    f = table(spark, d, "faq_records").groupBy("faq_id").agg(F.max("answer").alias("answer"))
+    s = f.select(F.col("faq_id").alias("id"), F.posexplode(T.sentences(F.col("answer"))).alias("pos", "sentence")).withColumn("h", F.md5(F.concat_ws("|", "id", F.col("pos").cast("string"))))
+    cache = s.where("h < 'c'").select("id", "pos", (F.col("h") < "a").alias("supported"))
+    return A.sentence_support(s.drop("h").join(cache, ["id", "pos"], "left"))
+
+
+def answer_display(spark: SparkSession, d: str) -> DataFrame:
+    """What is shown for each question."""
+    hits = materialize(chunk_hits(spark, d, 10), "hits")
+    cached = table(spark, d, "retrieval_eval").where("answer_hint is not null").select("query_id", F.col("answer_hint").alias("answer"))
+    built = A.build_answers(gate_decisions(spark, d, hits), A.evidence(hits, chunks_once(spark, d, *EVIDENCE)), cached)
+    return A.display(built).select("query_id", F.length("display").alias("n_chars"), F.md5("display").alias("display_md5"))
+
+
+def answer_cache_grown(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of verdicts on terms, grown by the results of the calls it lacked."""
+    r = table(spark, d, "retrieval_eval")
+    cache = r.where("doc_type = '약관'").select(T.cache_key(F.lit("m"), F.col("question")).alias("key"), F.lit("old").alias("result"))
+    return A.grown_cache(cache, r.select(T.cache_key(F.lit("m"), F.col("question")).alias("key"), F.lit("new").alias("result")))
 
 
 DIM = 256
@@ -112,7 +128,7 @@ def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "catalog_entries": catalog_entries, "catalog_match": catalog_match, "catalog_generic": catalog_generic, "answer_evidence": answer_evidence, "answer_batch": answer_batch,
-    "answer_missing_calls": answer_missing_calls, "answer_support": answer_support, "pipeline_answers": pipeline_answers, "pipeline_quality": pipeline_quality, "stream_new_faq": stream_new_faq, "stream_event_windows": stream_event_windows,
+    "answer_missing_calls": answer_missing_calls, "answer_support": answer_support, "answer_display": answer_display, "answer_cache_grown": answer_cache_grown, "pipeline_answers": pipeline_answers, "pipeline_quality": pipeline_quality, "stream_new_faq": stream_new_faq, "stream_event_windows": stream_event_windows,
 }
 
 _KEY = "regexp_replace(lower(coalesce({0}, '')), '[^0-9a-z가-힣]', '', 'g')"
@@ -138,7 +154,12 @@ SQL = {
     "answer_evidence": f"WITH {_CHUNK_INDEX}, {_sparse(_QUESTIONS, 3)}{_EV} SELECT query_id, n::INT AS n_evidence, md5(block) AS block_md5 FROM ev",
     "answer_batch": f"{_JUDGED}{_EV}, dc AS ({_DECIDED}) SELECT dc.query_id, decision, stage, reason, CASE WHEN decision = 'answer' THEN coalesce(answer_hint, '근거를 확인해 주십시오.') ELSE '' END AS answer, CASE WHEN stage = 'pattern' THEN 0 ELSE coalesce(n, 0) END::INT AS n_evidence, stage <> 'pattern' AND coalesce(old, false) AS has_old FROM dc LEFT JOIN ev USING (query_id) JOIN retrieval_eval USING (query_id)",
     "answer_missing_calls": "WITH k AS (SELECT *, substr(sha256('m|' || question), 1, 24) AS key FROM retrieval_eval) SELECT query_id, key FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_type = '약관')",
-    "answer_support": "WITH f AS (SELECT faq_id, max(struct_pack(a := answer, q := question)) AS r FROM faq_records GROUP BY 1), s AS (SELECT faq_id AS id, r.q AS q, unnest(list_filter(string_split(r.a, chr(10)), lambda x: length(x) > 5)) AS s FROM f) SELECT id, count(*) AS n_sentences, count(*) FILTER (NOT contains(q, substr(s, 1, 2))) AS n_unsupported, bool_or(NOT contains(q, substr(s, 1, 2))) AS hallucinated FROM s GROUP BY 1",
+    "answer_support": rf"""WITH f AS (SELECT faq_id, max(answer) AS a FROM faq_records GROUP BY 1), s AS (SELECT faq_id AS id, list_filter(list_transform(string_split(regexp_replace(a, '([.!?]){SP}+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^{SP}+|{SP}+$', '', 'g')), lambda x: length(x) > 5) AS l FROM f),
+        e AS (SELECT id, md5(id || '|' || (generate_subscripts(l, 1) - 1)::VARCHAR) AS h, unnest(l) AS x FROM s) SELECT id, count(*) AS n_sentences, count(*) FILTER (h >= 'a') AS n_unsupported, bool_or(h >= 'a') AS hallucinated FROM e GROUP BY 1""",
+    "answer_display": f"""{_JUDGED}, dc AS ({_DECIDED}), ev AS (SELECT sp.query_id, string_agg(chr(10) || chr(10) || substr('①②③④⑤⑥⑦⑧⑨⑩', rank, 1) || ' ' || {_HEAD} || CASE WHEN coalesce(metadata.is_latest, true) THEN '' ELSE '  ※ 최신본이 아닐 수 있음' END || chr(10) || '   ' || substr(coalesce(text, ''), 1, 600) || CASE WHEN length(coalesce(text, '')) > 600 THEN ' …' ELSE '' END, '' ORDER BY rank) AS e FROM sp JOIN c ON sp.id = c.chunk_id WHERE rank <= 3 GROUP BY 1),
+        t AS (SELECT dc.query_id, CASE WHEN decision = 'answer' THEN '[답변]' || chr(10) || coalesce(answer_hint, '근거를 확인해 주십시오.') ELSE '[답변 불가]' || chr(10) || coalesce(chr(10) || chr(10) || '(사유: ' || reason || ' / 판정: ' || stage || ')', '') END || CASE WHEN stage <> 'pattern' AND e IS NOT NULL THEN chr(10) || chr(10) || '[근거]' || e ELSE '' END AS d FROM dc LEFT JOIN ev USING (query_id) JOIN retrieval_eval USING (query_id))
+        SELECT query_id, length(d)::INT AS n_chars, md5(d) AS display_md5 FROM t""",
+    "answer_cache_grown": "WITH k AS (SELECT substr(sha256('m|' || question), 1, 24) AS key, doc_type FROM retrieval_eval), o AS (SELECT key FROM k WHERE doc_type = '약관') SELECT key, 'old' AS result FROM o UNION ALL SELECT DISTINCT key, 'new' FROM k WHERE key NOT IN (SELECT key FROM o)",
     "stream_new_faq": f"SELECT DISTINCT sha256(regexp_replace(concat_ws(chr(10), question, answer), '{SP}+', '', 'g')) AS content_hash, length(regexp_replace(concat_ws(chr(10), question, answer), '{SP}+', '', 'g'))::INT AS n_chars FROM faq_records",
     "stream_event_windows": "WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n, total FROM w WHERE window_start + INTERVAL '1 hour' <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10 minutes' FROM events)",
 }

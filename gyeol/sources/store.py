@@ -38,6 +38,15 @@ def load_dense(spark: SparkSession, path: str) -> DataFrame:
     return v
 
 
+def save_catalog(entries: DataFrame, path: str, force: bool = False) -> None:
+    """The catalog as JSON lines; refuses to overwrite unless forced."""
+    entries.write.mode("overwrite" if force else "errorifexists").json(path)
+
+
+def load_catalog(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id string, bucket string, name string, key string, doc_type string, category string").json(path)
+
+
 def index_name(chunks: str) -> str:
     """The name of an index after the file of its chunks: chunks.jsonl is the base."""
     stem = chunks.rsplit("/", 1)[-1].split(".", 1)[0]
