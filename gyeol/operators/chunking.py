@@ -166,7 +166,8 @@ def faq_pieces(text: Column) -> Column:
 
 def chunk_documents(docs: DataFrame, by_structure: bool = True) -> DataFrame:
     """chunk_id, doc_id, chunk_order, text, section, char_count and what chunks inherit. Documents
-    that aren't parsable or have no text give none; unknown structures are flat."""
+    that aren't parsable or have no text give none; unknown structures are flat. metadata holds structure,
+    compliance_no and is_latest, the last two null where docs has no such column."""
     s, text = F.lower(F.coalesce("structure", F.lit("flat"))), F.col("text")
     flat = _labelled(F.transform(split_by_length(text), strip), F.lit(""))
     pieces = F.when(s == "qa_pair", faq_pieces(text))
@@ -177,8 +178,9 @@ def chunk_documents(docs: DataFrame, by_structure: bool = True) -> DataFrame:
             .when(s == "numbered", structural(text, packed_pieces(text, NUMBERED, number_label)))
         )
     name = display_name(F.col("title"), F.col("subtitle"), F.col("orig_filename"))
-    needed = ["doc_id", "text", "structure", "title", "subtitle", "orig_filename", "doc_type", "category", "effective_date", "source_url", "compliance_no", "is_latest"]
-    rows = spread(docs.where(F.col("is_parsable") & text.isNotNull()).select(*needed)).select("doc_id", name.alias("doc_display_name"), "doc_type", "category", "effective_date", "source_url", s.alias("structure"), "compliance_no", "is_latest", F.posexplode_outer(pieces.otherwise(flat)).alias("pos", "piece"))
+    needed = ["doc_id", "text", "structure", "title", "subtitle", "orig_filename", "doc_type", "category", "effective_date", "source_url"]
+    more = [F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("compliance_no", "string"), ("is_latest", "boolean"))]
+    rows = spread(docs.where(F.col("is_parsable") & text.isNotNull()).select(*needed, *more)).select("doc_id", name.alias("doc_display_name"), "doc_type", "category", "effective_date", "source_url", s.alias("structure"), "compliance_no", "is_latest", F.posexplode_outer(pieces.otherwise(flat)).alias("pos", "piece"))
     rows = rows.where("pos is not null")  # posexplode itself would add a filter that makes all pieces a second time
     order = F.col("pos") + 1
     return rows.select(
