@@ -187,7 +187,8 @@ def word_tokens(c: Column) -> Column:
 
 def gram_set(c: Column, n: int = 3) -> Column:
     """Distinct n-character sequences of letters and digits; a shorter text is its own."""
-    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substr(t, i, F.lit(n))))
+    every = lambda t: F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))  # noqa: E731  one pass over the text
+    grams = lambda t: F.when(F.length(t) < n, F.array(t)).otherwise(F.array_distinct(every(t)))
     plain = F.regexp_replace(F.coalesce(c, F.lit("")), "[^가-힣A-Za-z0-9]", "")
     return let(plain, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(grams(t)))
 

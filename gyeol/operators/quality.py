@@ -198,7 +198,8 @@ def remap_labels(labels: DataFrame, old: DataFrame, new: DataFrame, least: float
     labelled = old.join(labels.select("chunk_id").distinct(), "chunk_id", "left_semi")  # sequences are made for labelled chunks
     o = labels.select("query_id", F.col("chunk_id").alias("old_id")).distinct().join(sets(labelled, "old_id", "ot", "og"), "old_id")
     wanted = o.select("doc_id").distinct()  # sequences are made for the documents of labels only
-    pairs = o.join(sets(new.join(wanted, "doc_id", "left_semi"), "new_id", "nt", "ng"), "doc_id")
+    n = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes make much work here and would be put into one task
+    pairs = o.repartition(n, "doc_id").join(sets(new.join(wanted, "doc_id", "left_semi").repartition(n, "doc_id"), "new_id", "nt", "ng"), "doc_id")
     same = (F.col("old_id") == F.col("new_id")) & (F.col("ot") == F.col("nt"))
     sim = F.when(same, 2.0).otherwise(T.overlap(F.col("og"), F.col("ng")))
     s = pairs.select("query_id", "old_id", "new_id", sim.alias("s")).where(F.col("s") >= least)

@@ -377,7 +377,7 @@ def vocabulary(docs: DataFrame, id_col: str, kind_col: str, tokens: Column, quer
     """term, df, ratio, type_std (over all kinds, also those without the term), query_count, verdict."""
     base = docs.select(F.col(id_col).alias("id"), F.col(kind_col).alias("kind"), F.array_distinct(tokens).alias("tokens"))
     totals = base.groupBy("kind").agg(F.count("*").alias("total"))
-    counts = base.select("kind", F.explode("tokens").alias("term")).groupBy("term", "kind").agg(F.count("*").alias("n"))
+    counts = base.select("kind", F.explode_outer("tokens").alias("term")).where("term is not null").groupBy("term", "kind").agg(F.count("*").alias("n"))
     sums = totals.agg(F.sum("total").alias("n_all"), F.count("*").alias("n_kinds"))
     rated = counts.join(F.broadcast(totals), "kind").withColumn("r", F.col("n") / F.col("total"))  # a row per kind of document
     per = rated.groupBy("term").agg(F.sum("n").alias("df"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2")).crossJoin(F.broadcast(sums))
@@ -393,7 +393,7 @@ def typical_terms(docs: DataFrame, id_col: str, kind_col: str, tokens: Column, k
     """The k terms of each kind most over-represented in it (10 texts, 15 %, 3 times the rest)."""
     base = docs.select(F.col(kind_col).alias("kind"), F.array_distinct(tokens).alias("tokens"))
     totals = base.groupBy("kind").agg(F.count("*").alias("total"))
-    counts = base.select("kind", F.explode("tokens").alias("term")).groupBy("term", "kind").agg(F.count("*").alias("n"))
+    counts = base.select("kind", F.explode_outer("tokens").alias("term")).where("term is not null").groupBy("term", "kind").agg(F.count("*").alias("n"))
     alls = totals.agg(F.sum("total").alias("n_all"))
     df = counts.groupBy("term").agg(F.sum("n").alias("df"))
     big = counts.where("n >= 10").join(df, "term").join(F.broadcast(totals), "kind").crossJoin(F.broadcast(alls))

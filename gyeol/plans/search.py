@@ -177,15 +177,20 @@ def eval_success_scores(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("success").agg(F.count("*").alias("n"), F.round(F.avg("top1_score"), 4).alias("avg_top1"), F.round(F.avg("score_gap"), 4).alias("avg_gap"))
 
 
+def _typed_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of the index with the type of their chunk."""
+    return chunk_index(spark, d)[3].join(chunks_once(spark, d, "doc_type").select(F.col("chunk_id").alias("id"), "doc_type"), "id")
+
+
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "retrieval_eval").select("query_id", F.explode(F.array_distinct(T.word_tokens(F.col("question")))).alias("term"))
     counts = r.groupBy("term").agg(F.countDistinct("query_id").alias("query_count"))
-    v = R.vocabulary(chunks_once(spark, d, "doc_type", "doc_display_name", "section", "text"), "chunk_id", "doc_type", _chunk_tokens(), counts)
+    v = R.vocabulary(_typed_tokens(spark, d), "id", "doc_type", F.col("tokens"), counts)
     return v.select("term", "df", F.round("ratio", 6).alias("ratio"), F.round("type_std", 5).alias("type_std"), "query_count", "verdict")
 
 
 def typical_terms(spark: SparkSession, d: str) -> DataFrame:
-    return R.typical_terms(chunks_once(spark, d, "doc_type", "doc_display_name", "section", "text"), "chunk_id", "doc_type", _chunk_tokens())
+    return R.typical_terms(_typed_tokens(spark, d), "id", "doc_type", F.col("tokens"))
 
 
 QUERIES = {
