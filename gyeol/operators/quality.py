@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gyeol.functions import text as T
+from gyeol.operators.overlaps import best_overlaps
 from gyeol.session import materialize
 
 
@@ -188,21 +189,18 @@ def expand_labels(sources: DataFrame, hits: DataFrame, verdicts: DataFrame, judg
     return j.select("query_id", "found_rank", F.coalesce(F.size("m"), F.lit(0)).cast("bigint").alias("n_added"), F.array_join(ids, "|").alias("relevant"))
 
 
-def remap_labels(labels: DataFrame, old: DataFrame, new: DataFrame, least: float = 0.25, most: int = 3) -> DataFrame:
+def remap_labels(labels: DataFrame, old: DataFrame, new: DataFrame, least: float = 0.25, most: int = 3, sizes: DataFrame | None = None) -> DataFrame:
     """query_id, old_id, new_id, similarity, rank: old labelled chunks onto new chunks of the same
     document. An id that is still there with the same text stays; else the best by overlap of
     3-character sequences, from `least`, at most `most`, none under half of the best; ties by id from
-    the greatest. Labels are joined to their document's chunks only."""
-    plain = lambda c: F.regexp_replace(c, "[^가-힣A-Za-z0-9]", "")
-    sets = lambda df, i, t, g: df.select("doc_id", F.col("chunk_id").alias(i), plain(F.col("text")).alias(t)).withColumn(g, T.gram_set(F.col(t)))
-    labelled = old.join(labels.select("chunk_id").distinct(), "chunk_id", "left_semi")  # sequences are made for labelled chunks
-    o = labels.select("query_id", F.col("chunk_id").alias("old_id")).distinct().join(sets(labelled, "old_id", "ot", "og"), "old_id")
-    wanted = o.select("doc_id").distinct()  # sequences are made for the documents of labels only
-    n = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes make much work here and would be put into one task
-    pairs = o.repartition(n, "doc_id").join(sets(new.join(wanted, "doc_id", "left_semi").repartition(n, "doc_id"), "new_id", "nt", "ng"), "doc_id")
-    same = (F.col("old_id") == F.col("new_id")) & (F.col("ot") == F.col("nt"))
-    sim = F.when(same, 2.0).otherwise(T.overlap(F.col("og"), F.col("ng")))
-    s = pairs.select("query_id", "old_id", "new_id", sim.alias("s")).where(F.col("s") >= least)
+    the greatest. Labels meet their document's chunks only, those of large documents block by block.
+    sizes: doc_id, n, about how many new chunks a document has, where counting `new` is dear."""
+    plain = lambda c, name: F.regexp_replace(c, "[^가-힣A-Za-z0-9]", "").alias(name)
+    wanted = labels.select("query_id", F.col("chunk_id").alias("old_id")).distinct()
+    labelled = old.join(labels.select("chunk_id").distinct(), "chunk_id", "left_semi").select("doc_id", F.col("chunk_id").alias("old_id"), plain("text", "ot"))
+    sizes = new.groupBy("doc_id").agg(F.count("*").alias("n")) if sizes is None else sizes
+    s = best_overlaps(labelled, new.select("doc_id", F.col("chunk_id").alias("new_id"), plain("text", "nt")), sizes, least, most)
+    s = wanted.join(s, "old_id").select("query_id", "old_id", "new_id", "s")
     w = Window.partitionBy("query_id", "old_id").orderBy(F.round("s", 9).desc(), F.col("new_id").desc())
     s = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).withColumn("best", F.max("s").over(Window.partitionBy("query_id", "old_id")))
     kept = s.where((F.col("best") < 2) & (F.col("s") >= F.col("best") * 0.5) | (F.col("s") == 2))

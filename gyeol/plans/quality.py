@@ -11,6 +11,7 @@ from gyeol.operators import quality as Q
 from gyeol.operators import similar as S
 from gyeol.plans import chunk_sql
 from gyeol.plans.text import _GRAMS, _NAME, CHUNKS_ONCE, LABELS, SP, chunks_once, labels_long
+from gyeol.session import materialize
 from gyeol.sources.tables import table
 
 
@@ -183,14 +184,19 @@ def remap(spark: SparkSession, d: str) -> DataFrame:
     old = chunks_once(spark, d, "doc_id", "text").join(ids, "chunk_id", "left_semi").select("chunk_id", "doc_id", "text")
     wanted = table(spark, d, "chunks").join(ids, "chunk_id", "left_semi").select("doc_id").distinct()  # only documents of labels are cut anew
     new = C.chunk_documents(_docs(spark, d).join(wanted, "doc_id", "left_semi")).select("chunk_id", "doc_id", "text")
-    return Q.remap_labels(labels, old, new)
+    sizes = table(spark, d, "chunks").groupBy("doc_id").agg(F.count("*").alias("n"))  # new chunks are about as many, and are made once
+    return Q.remap_labels(labels, old, new, sizes=sizes)
 
 
 def remap_self(spark: SparkSession, d: str) -> DataFrame:
     """Labels carried from the given chunks to the same chunks under the ids of their successors."""
-    old = chunks_once(spark, d, "doc_id", "text").select("chunk_id", "doc_id", "text").where("text is not null")
+    labels, c = labels_long(spark, d), table(spark, d, "chunks")
+    wanted = c.join(labels.select("chunk_id").distinct(), "chunk_id", "left_semi").select("doc_id").distinct()
+    there = c.join(wanted, "doc_id", "left_semi").select("chunk_id").distinct()  # ids alone, so texts are moved once
+    last = c.join(there, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max(F.struct("loaded_at", "doc_id", "text")).alias("r"))
+    old = materialize(last.select("chunk_id", "r.doc_id", "r.text").where("text is not null"), "remapped")  # it is read as old, as new and for sizes
     new = old.withColumn("chunk_id", F.concat(F.col("chunk_id"), F.lit("n")))
-    return Q.remap_labels(labels_long(spark, d), old, new)
+    return Q.remap_labels(labels, old, new)
 
 
 QUERIES = {
